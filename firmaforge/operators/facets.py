@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmaforge.operators.filters import missing, present
@@ -21,19 +21,14 @@ def facets(df: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
     counts = (
         df.select(F.inline(pairs)).filter("value IS NOT NULL").groupBy("facet", "value").agg(F.count("*").alias("count"))
     )
-    ranked = top_rows(counts, ["facet"], [F.desc("count"), F.asc("value")], max(sizes.values()))
-    if len(set(sizes.values())) > 1:
-        # Tighter facets are cut once more among the few rows that are left.
-        limit = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("facet").orderBy(F.desc("count"), F.asc("value"))
-        ranked = (
-            ranked.withColumn("_r", F.row_number().over(order))
-            .filter(F.col("_r") <= F.element_at(limit, F.col("facet")))
-            .drop("_r")
-        )
-    return ranked
+    limit = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
+    order = Window.partitionBy("facet").orderBy(F.desc("count"), F.asc("value"))
+    # The literal bound lets every task cut its share before the shuffle (see top_rows).
+    return (
+        counts.withColumn("_r", F.row_number().over(order))
+        .filter((F.col("_r") <= max(sizes.values())) & (F.col("_r") <= F.element_at(limit, F.col("facet"))))
+        .drop("_r")
+    )
 
 
 def terms(df: DataFrame, field: str, size: int, **metrics: Column) -> DataFrame:
@@ -66,7 +61,7 @@ def nested_terms(
         .groupBy(outer, inner)
         .agg(F.count("*").alias("inner_count"))
     )
-    kept = children.join(parents, outer)
+    kept = parents.join(children, outer, "left")
     return top_rows(kept, [outer], [F.desc("inner_count"), F.asc(inner)], inner_size)
 
 
