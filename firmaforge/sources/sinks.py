@@ -53,14 +53,18 @@ def action_counts(planned: DataFrame) -> DataFrame:
     return planned.groupBy("action").agg(F.count("*").alias("rows"))
 
 
-def bulk_update(docs: DataFrame, updates: DataFrame, id_col: str = "id") -> DataFrame:
+def bulk_update(docs: DataFrame, updates: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
     """Lay the non-null fields of ``updates`` over the documents with that id, insert the rest.
 
-    Several updates of one document apply field by field; the greatest value of a field is
-    kept when they disagree.
+    Several updates of one document apply field by field; the last by ``order`` wins (the
+    greatest value where no order is given).
     """
-    fields = [c for c in updates.columns if c != id_col]
-    one = updates.groupBy(id_col).agg(*[F.max(f).alias(f"_u_{f}") for f in fields])
+    fields = [c for c in updates.columns if c not in (id_col, order)]
+
+    def last(f: str) -> Column:
+        return F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))) if order else F.max(f)
+
+    one = updates.groupBy(id_col).agg(*[last(f).alias(f"_u_{f}") for f in fields])
     columns = [*docs.columns, *[f for f in fields if f not in docs.columns]]
 
     def value(name: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from firmaforge.sources.raw import merge_by_key
+from firmaforge.sources.raw import latest_per_key
 from firmaforge.session import new_shared_path
 
 
@@ -69,10 +69,11 @@ class VersionedTable:
 
 
 def upsert_latest(stream: DataFrame, table: VersionedTable, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Keep the latest row per key: the batch merge of the bronze load, per micro-batch."""
+    """Keep the latest row per key; an older row that arrives late changes nothing."""
 
     def step(batch: DataFrame, number: int) -> None:
-        table.write(merge_by_key_keeping_latest(table.before(number), batch, keys, order), number)
+        both = table.before(number).unionByName(batch)
+        table.write(latest_per_key(both, keys, order), number)
 
     return (
         stream.writeStream.foreachBatch(step)
@@ -82,12 +83,6 @@ def upsert_latest(stream: DataFrame, table: VersionedTable, keys: list[str], ord
     )
 
 
-def merge_by_key_keeping_latest(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """As ``merge_by_key``, but an older incoming row does not replace a newer stored one."""
-    both = existing.unionByName(incoming.select(*existing.columns))
-    return merge_by_key(existing.limit(0), both, keys, order)
-
-
 def complete_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Rewrite a small result table (bounded by its keys) after every micro-batch."""
     return (
