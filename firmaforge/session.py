@@ -40,9 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage and forget its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from there.
+
+    A table rather than a checkpointed RDD: it survives lost executors just the same, and the
+    steps that follow read only the columns they need and know its size.
+    """
+    path = new_shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:
