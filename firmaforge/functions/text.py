@@ -182,12 +182,20 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     Stop words are compared before folding, as the analyser chain orders it.
     """
     lowered = F.lower(F.translate(text, "İ", "i"))
-    words = F.filter(F.split(lowered, r"(?U)[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    if stop_words:
-        words = F.filter(words, lambda w: ~w.isin(stop_words))
+    if not stop_words:
+        return F.array_remove(F.split(fold_latin(lowered), NOT_IN_WORDS), "")
+    words = F.filter(F.split(lowered, NOT_IN_WORDS), lambda w: (F.length(w) > 0) & ~w.isin(stop_words))
     return F.transform(words, fold_latin)
 
 
+NOT_IN_WORDS = r"[^\p{L}\p{N}]+"
+
+
+def token_count(text: Column) -> Column:
+    """How many :func:`tokens` a text has, without making them."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))
+
+
 # Accented Latin letters and their plain forms.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿğış"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyygis"

@@ -11,8 +11,8 @@ fields at once. Nothing that can reach the threshold is missed.
 
 Copies (records equal in everything that is compared) are folded into one profile first, so
 a group of copies costs one row however large it is. A key shared by very many profiles is
-cut into slices and the slices are paired as separate join keys, so no task gets the group
-as a whole; inside the join a bound on the graded fields discards hopeless pairs.
+cut into slices that are paired tile by tile, as separate join keys, so no task gets the
+group as a whole; inside the join a bound on the graded fields discards hopeless pairs.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ class MatchConfig:
     exact: float = EXACT
     review: float = REVIEW
     minimum: float = MINIMUM
-    # Profiles per slice when one key holds more than that.
-    slice_rows: int = 2000
+    # Profiles per slice of a key; a tile of two slices is one unit of comparing.
+    slice_rows: int = 1000
 
 
 def candidate_rules(weights: dict[str, float], threshold: float) -> list[tuple[str, ...]]:
@@ -173,11 +173,12 @@ def _flag(cond: Column) -> Column:
     return F.when(cond, 1.0).otherwise(0.0)
 
 
-def _sliced(keyed: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a self-join on ``_k`` with hot keys cut into slices.
+def _tiled(keyed: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join on ``_k`` with hot keys cut into square tiles.
 
-    Left rows go to the slice their profile hashes to, right rows to every slice: the two
-    agree on (key, slice), so a key of n profiles becomes n/rows independent groups.
+    A key of n profiles is cut into s = n/rows slices. Tile (i, j) pairs slice i with slice j,
+    i <= j, so every pair meets in exactly one tile and no task holds more than two slices of
+    a key. Keys that fit one slice have the single tile (0, 0).
     """
     hot = (
         keyed.groupBy("_k")
@@ -187,10 +188,18 @@ def _sliced(keyed: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     )
     # At most one row per ``rows`` profiles, usually none; AQE broadcasts it only when small.
     sized = keyed.join(hot, "_k", "left").withColumn("_slices", F.coalesce("_slices", F.lit(1)))
-    own = F.pmod(F.xxhash64("profile"), F.col("_slices")).cast("int")
-    left = sized.withColumn("_slice", own).drop("_slices")
-    right = sized.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-    return left, right.drop("_slices")
+    sized = sized.withColumn("_own", F.pmod(F.xxhash64("profile"), F.col("_slices")).cast("int"))
+    left = sized.withColumn("_i", F.col("_own")).withColumn(
+        "_j", F.explode(F.sequence(F.col("_own"), F.col("_slices") - 1))
+    )
+    right = sized.withColumn("_j", F.col("_own")).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), F.col("_own")))
+    )
+    # Few bytes may mean many comparisons, so these partitions are counted out and not left to
+    # be coalesced by size.
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    on = ["_k", "_i", "_j"]
+    return left.drop("_slices").repartition(parts, *on), right.drop("_slices").repartition(parts, *on)
 
 
 def _equal_flags() -> dict[str, Column]:
@@ -246,7 +255,7 @@ def _candidates(prof: DataFrame, rules: list[tuple[str, ...]], at: int, cfg: Mat
     rule = rules[at]
     c = F.col
     base, key = prof, [c("block")]
-    once = [c("a.id") < c("b.id")]
+    once = []
     if "domain" in rule:
         base, key = base.filter(c("domain") != ""), [*key, c("domain")]
     if "phone" in rule:
@@ -267,10 +276,13 @@ def _candidates(prof: DataFrame, rules: list[tuple[str, ...]], at: int, cfg: Mat
         )
         shared = F.array_min(F.array_intersect(c("a._near"), c("b._far")))
         once += [c("a._piece") == c("b._piece"), c("a._piece") == shared]
-        on = c("a._k") == c("b._k")
+        on = (c("a._k") == c("b._k")) & (c("a.id") < c("b.id"))
     else:
-        left, right = _sliced(base.withColumn("_k", F.xxhash64(*key)), cfg.slice_rows)
-        on = (c("a._k") == c("b._k")) & (c("a._slice") == c("b._slice"))
+        left, right = _tiled(base.withColumn("_k", F.xxhash64(*key)), cfg.slice_rows)
+        on = F.lit(True)
+        for part in ("_k", "_i", "_j"):
+            on = on & (c(f"a.{part}") == c(f"b.{part}"))
+        once.append((c("a._i") < c("a._j")) | (c("a.id") < c("b.id")))
     equal = _equal_flags()
     for earlier in rules[:at]:
         found = F.lit(True)
@@ -295,19 +307,29 @@ def _scored(pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
         F.struct(*[F.col(f"a_{f}").alias(f) for f in ("id", "copies", *PROFILE)]).alias("a"),
         F.struct(*[F.col(f"b_{f}").alias(f) for f in ("id", "copies", *PROFILE)]).alias("b"),
     )
-    ratios = both.withColumn(
-        "_name_lcs", sim.lcs_length_arrow(F.col("a.name"), F.col("b.name"))
-    ).withColumn("_address_lcs", sim.lcs_length_arrow(F.col("a.address"), F.col("b.address")))
+
+    def common(field: str) -> Column:
+        # Equal texts need no counting; a null costs nothing.
+        one, two = F.col(f"a.{field}"), F.col(f"b.{field}")
+        return sim.lcs_length_arrow(F.when(one != two, one), two)
+
+    ratios = both.withColumns({"_name_lcs": common("name"), "_address_lcs": common("address")})
     name, address = _graded(
         sim.ratio_from_lcs(F.col("_name_lcs"), F.col("a.name"), F.col("b.name")),
         sim.ratio_from_lcs(F.col("_address_lcs"), F.col("a.address"), F.col("b.address")),
     )
     parts = _parts(_equal_flags(), name, address)
+    in_order = F.col("a.id") < F.col("b.id")
+
+    def first_of(field: str, swap: bool) -> Column:
+        one, two = F.col(f"a.{field}"), F.col(f"b.{field}")
+        return F.when(in_order, two if swap else one).otherwise(one if swap else two)
+
     return ratios.select(
-        F.col("a.id").alias("company_a_id"),
-        F.col("b.id").alias("company_b_id"),
-        F.col("a.copies").alias("copies_a"),
-        F.col("b.copies").alias("copies_b"),
+        first_of("id", False).alias("company_a_id"),
+        first_of("id", True).alias("company_b_id"),
+        first_of("copies", False).alias("copies_a"),
+        first_of("copies", True).alias("copies_b"),
         _weighted(cfg.weights, parts).alias("match_score"),
         F.create_map(*[x for n, v in parts.items() for x in (F.lit(n), v)]).alias("match_fields"),
     )

@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmaforge.functions.text import ACCENTED, PLAIN, fold_latin, tokens
+from firmaforge.functions.text import ACCENTED, PLAIN, fold_latin, token_count, tokens
 from firmaforge.operators.facets import facets
 from firmaforge.operators.filters import compile_filters
 from firmaforge.operators.ranking import ordered_by
@@ -35,27 +35,37 @@ class Index:
     stats: DataFrame  # field, docs, mean_length: one row per field
 
 
-def _field_tokens(df: DataFrame, field: str, stop_words: list[str] | None) -> Column:
+def _field_text(df: DataFrame, field: str) -> Column:
     dtype = dict(df.dtypes)[field]
-    value = F.array_join(field, " ") if dtype.startswith("array") else F.col(field)
-    return F.coalesce(tokens(value, stop_words), F.array().cast("array<string>"))
+    return F.array_join(field, " ") if dtype.startswith("array") else F.col(field)
+
+
+def _field_tokens(df: DataFrame, field: str, stop_words: list[str] | None) -> Column:
+    return F.coalesce(tokens(_field_text(df, field), stop_words), F.array().cast("array<string>"))
 
 
 def build_index(df: DataFrame, id_col: str, fields: Iterable[str], stop_words: list[str] | None = None) -> Index:
-    lists = F.array(
-        *[F.struct(F.lit(f).alias("field"), _field_tokens(df, f, stop_words).alias("words")) for f in fields]
-    )
-    per_field = (
-        df.select(F.col(id_col).alias("id"), F.inline(lists))
-        .withColumn("length", F.size("words"))
-        .filter("length > 0")
-    )
+    fields = list(fields)
+
+    def per_field(value) -> DataFrame:
+        lists = F.array(*[F.struct(F.lit(f).alias("field"), value(f).alias("value")) for f in fields])
+        return df.select(F.col(id_col).alias("id"), F.inline(lists))
+
     postings = (
-        per_field.select("id", "field", "length", F.explode("words").alias("term"))
+        per_field(lambda f: _field_tokens(df, f, stop_words))
+        .select("id", "field", F.size("value").alias("length"), F.explode("value").alias("term"))
         .groupBy("id", "field", "term", "length")
         .agg(F.count("*").alias("tf"))
     )
-    stats = per_field.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
+    # The statistics are a pass of their own, so they count words and do not build them.
+    counts = per_field(
+        lambda f: F.size(_field_tokens(df, f, stop_words)) if stop_words else token_count(_field_text(df, f))
+    )
+    stats = (
+        counts.filter("value > 0")
+        .groupBy("field")
+        .agg(F.count("*").alias("docs"), F.avg("value").alias("mean_length"))
+    )
     return Index(postings, stats)
 
 

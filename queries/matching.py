@@ -14,7 +14,7 @@ from queries.texts import _lcs_sql
 
 def flat_records(spark, d):
     """Name, site, number and address out of the opening of every document."""
-    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    words = F.split(F.ltrim("text"), r"\s+")
     docs = views.table(spark, d, "documents").withColumn("_w", words)
     host = text.blank_to_null(F.regexp_replace(F.lower(F.element_at("_w", 1)), "[^a-z]", ""))
     site = F.concat(host, F.lit(".example.com"))
