@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,24 +49,51 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (width == 0), 0).otherwise(filled)
 
 
-def _lcs(a: str | None, b: str | None) -> int:
-    # Bit-parallel recurrence: one integer holds a whole row of the table.
-    if not a or not b:
-        return 0
-    where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & where.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+WORD = 64
+
+
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    return np.array(texts, dtype=f"<U{width}").view(np.uint32).reshape(len(texts), width)
+
+
+def _lcs_block(a: list[str], b: list[str], words: int) -> np.ndarray:
+    """Common subsequence lengths of many pairs at once.
+
+    The row of the table belonging to one letter of ``b`` is kept as bits, one per letter of
+    ``a``; all pairs advance by a letter together.
+    """
+    width = words * WORD
+    left = _codes(a, width)
+    right = _codes(b, max(1, max(map(len, b))))
+    right = np.where(right == 0, np.uint32(0xFFFFFFFF), right)  # padding matches nothing
+    row = np.full((len(a), words), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for j in range(right.shape[1]):
+        equal = np.packbits(left == right[:, j : j + 1], axis=1, bitorder="little").view(np.uint64)
+        hit = row & equal
+        total = row + hit
+        if words > 1:
+            overflow = total < row
+            for w in range(1, words):
+                total[:, w] += overflow[:, w - 1]
+                overflow[:, w] |= overflow[:, w - 1] & (total[:, w] == 0)
+        row = total | (row - hit)
+    return width - np.bitwise_count(row).sum(axis=1)
+
+
+def _lcs_many(a: list[str | None], b: list[str | None]) -> np.ndarray:
+    out = np.zeros(len(a), dtype="int32")
+    groups: dict[int, list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b)):
+        if x and y:
+            groups.setdefault(-(-len(x) // WORD), []).append(i)
+    for words, members in groups.items():
+        out[members] = _lcs_block([a[i] for i in members], [b[i] for i in members], words)
+    return out
 
 
 @F.pandas_udf(IntegerType())
 def lcs_length_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_lcs(x, y) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series(_lcs_many(a.tolist(), b.tolist()))
 
 
 def ratio_from_lcs(common: Column, a: Column, b: Column) -> Column:

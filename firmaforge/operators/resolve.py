@@ -45,7 +45,7 @@ class MatchConfig:
     review: float = REVIEW
     minimum: float = MINIMUM
     # Profiles per slice of a key; a tile of two slices is one unit of comparing.
-    slice_rows: int = 1000
+    slice_rows: int = 400
 
 
 def candidate_rules(weights: dict[str, float], threshold: float) -> list[tuple[str, ...]]:
