@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEYS = T.StructType(
-    [T.StructField(side, T.ArrayType(T.LongType())) for side in ("left", "right")]
+    [
+        T.StructField("left", T.ArrayType(T.LongType())),
+        T.StructField("right", T.ArrayType(T.LongType())),
+        T.StructField("whole", T.LongType()),
+    ]
 )
 
 
@@ -58,7 +62,8 @@ def _sides(t: str) -> tuple[list[tuple], list[tuple]]:
 
 @F.pandas_udf(KEYS)
 def near_equal_keys(first: pd.Series, second: pd.Series) -> pd.DataFrame:
-    """Keys for both sides of a join on two texts at once."""
+    """Keys for both sides of a join on two texts at once, and the key of equality, which
+    both sides hold."""
     from hashlib import blake2b
 
     def digest(key: tuple) -> int:
@@ -67,5 +72,6 @@ def near_equal_keys(first: pd.Series, second: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(first, second):
         sides = zip(_sides(a), _sides(b))
-        rows.append([sorted({digest((x, y)) for x in xs for y in ys}) for xs, ys in sides])
-    return pd.DataFrame(rows, columns=["left", "right"])
+        keys = [sorted({digest((x, y)) for x in xs for y in ys}) for xs, ys in sides]
+        rows.append([*keys, digest((("=", a), ("=", b)))])
+    return pd.DataFrame(rows, columns=KEYS.names)

@@ -268,15 +268,19 @@ def _candidates(prof: DataFrame, rules: list[tuple[str, ...]], at: int, cfg: Mat
         # Full marks for both texts. Those are equal texts, or long ones a few letters apart
         # (99.5 % rounds up), which share one of the piece keys.
         base = base.filter((c("address") != "") & c("has_name"))
-        keys = near_equal_keys(c("name"), c("address"))
-        base = base.withColumn("_near", keys["left"]).withColumn("_far", keys["right"])
+        base = base.withColumn("_keys", near_equal_keys(c("name"), c("address"))).withColumn(
+            "_whole", c("_keys.whole")
+        )
         left, right = (
-            base.withColumn("_piece", F.explode(side)).withColumn("_k", F.xxhash64(*key, "_piece"))
-            for side in ("_near", "_far")
+            base.withColumn("_piece", F.explode(f"_keys.{side}"))
+            .withColumn("_k", F.xxhash64(*key, "_piece"))
+            .drop("_keys")
+            for side in ("left", "right")
         )
-        shared = F.array_min(F.array_intersect(c("a._near"), c("b._far")))
-        once += [c("a._piece") == c("b._piece"), c("a._piece") == shared]
-        on = (c("a._k") == c("b._k")) & (c("a.id") < c("b.id"))
+        # Equal texts share every piece; they meet by the key of equality alone.
+        equal_texts = (c("a.name") == c("b.name")) & (c("a.address") == c("b.address"))
+        once.append(~equal_texts | (c("a._piece") == c("a._whole")))
+        on = (c("a._k") == c("b._k")) & (c("a._piece") == c("b._piece")) & (c("a.id") < c("b.id"))
     else:
         left, right = _tiled(base.withColumn("_k", F.xxhash64(*key)), cfg.slice_rows)
         on = F.lit(True)
@@ -297,23 +301,25 @@ def _candidates(prof: DataFrame, rules: list[tuple[str, ...]], at: int, cfg: Mat
         on = on & cond
     on = on & (_score_bound(cfg.weights) >= threshold - EPS)
     fields = ["id", "copies", *PROFILE]
-    return left.alias("a").join(right.alias("b"), on).select(
-        *[c(f"{side}.{f}").alias(f"{side}_{f}") for side in "ab" for f in fields]
-    )
+    pairs = left.alias("a").join(right.alias("b"), on)
+    if "legal_name" in rule:
+        # Long texts that differ a little may share several pieces. Pairs are made distinct as
+        # bare ids, which few are left of, and get their values back afterwards.
+        ids = pairs.select(c("a.id").alias("_a"), c("b.id").alias("_b")).distinct()
+        one, two = (
+            prof.select(c("id").alias(f"_{s}"), F.struct(*fields).alias(s)) for s in "ab"
+        )
+        return ids.join(one, "_a").join(two, "_b").select("a", "b")
+    return pairs.select(*[F.struct(*[c(f"{s}.{f}") for f in fields]).alias(s) for s in "ab"])
 
 
 def _scored(pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
-    both = pairs.select(
-        F.struct(*[F.col(f"a_{f}").alias(f) for f in ("id", "copies", *PROFILE)]).alias("a"),
-        F.struct(*[F.col(f"b_{f}").alias(f) for f in ("id", "copies", *PROFILE)]).alias("b"),
-    )
-
     def common(field: str) -> Column:
         # Equal texts need no counting; a null costs nothing.
         one, two = F.col(f"a.{field}"), F.col(f"b.{field}")
         return sim.lcs_length_arrow(F.when(one != two, one), two)
 
-    ratios = both.withColumns({"_name_lcs": common("name"), "_address_lcs": common("address")})
+    ratios = pairs.withColumns({"_name_lcs": common("name"), "_address_lcs": common("address")})
     name, address = _graded(
         sim.ratio_from_lcs(F.col("_name_lcs"), F.col("a.name"), F.col("b.name")),
         sim.ratio_from_lcs(F.col("_address_lcs"), F.col("a.address"), F.col("b.address")),
