@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from firmaforge.schemas import COMPANY_TYPES
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)  # columns do not compare to a bool
 class Rule:
     """``test`` is true for a good value. Nulls are left out unless ``nulls_count``."""
 

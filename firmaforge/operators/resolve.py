@@ -157,6 +157,12 @@ def profiles(profiled: DataFrame) -> DataFrame:
     )
 
 
+def _prepared(feats: DataFrame, compat: bool) -> tuple[DataFrame, DataFrame]:
+    """Records with their profile, written once since several joins read them, and profiles."""
+    profiled = cut(with_profile(feats, compat).drop("keys"))
+    return profiled, profiles(profiled)
+
+
 # --- scores --------------------------------------------------------------------------------
 
 
@@ -404,8 +410,7 @@ def find_matches(feats: DataFrame, cfg: MatchConfig = MatchConfig(), compat: boo
 
     ``compat`` compares only records whose blocking keys all agree.
     """
-    profiled = with_profile(feats, compat)
-    prof = profiles(profiled)
+    profiled, prof = _prepared(feats, compat)
     return (
         profile_matches(prof, cfg).drop("copies_a", "copies_b").unionByName(copy_matches(profiled, prof, cfg))
     )
@@ -414,13 +419,13 @@ def find_matches(feats: DataFrame, cfg: MatchConfig = MatchConfig(), compat: boo
 def expand_matches(feats: DataFrame, cfg: MatchConfig = MatchConfig(), compat: bool = False) -> DataFrame:
     """Every matching pair of records spelt out. The size is that of the answer: use
     :func:`find_matches` where large groups of copies are about."""
-    profiled = with_profile(feats, compat)
-    prof = profiles(profiled)
+    profiled, prof = _prepared(feats, compat)
     member = profiled.select("profile", F.col("id").alias("member"))
     by_first = prof.select("profile", F.col("id").alias("first"))
     named = member.join(by_first, "profile").select("first", "member")
     across = (
-        profile_matches(prof, cfg)
+        # Written down first: scoring is not to be planned, let alone run, inside these joins.
+        cut(profile_matches(prof, cfg))
         .drop("copies_a", "copies_b")
         .join(named.select(F.col("first").alias("company_a_id"), F.col("member").alias("_a")), "company_a_id")
         .join(named.select(F.col("first").alias("company_b_id"), F.col("member").alias("_b")), "company_b_id")
@@ -456,8 +461,7 @@ def merge_groups(feats: DataFrame, cfg: MatchConfig = MatchConfig(), compat: boo
     Works on one row per profile: copies follow their profile. Only pairs at or above the
     exact threshold are looked for, which the stricter candidate rules make cheap.
     """
-    profiled = with_profile(feats, compat)
-    prof = profiles(profiled)
+    profiled, prof = _prepared(feats, compat)
     edges = profile_matches(prof, cfg, threshold=cfg.exact)
     parts = connected_components(edges, "company_a_id", "company_b_id")
     alone = _weighted(cfg.weights, _self_parts()) >= cfg.exact

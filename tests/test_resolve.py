@@ -101,7 +101,7 @@ def crowd(spark):
     long = "Mah. " + "abcdefghij " * 12
     addresses = [None, "Cad. 1 Istanbul", "Cad. 1 İstanbul", long, long[:50] + long[51:], long + "x", long * 4, (long * 4)[:200] + (long * 4)[203:]]
     rows = []
-    for i in range(150):
+    for i in range(80):
         site = "hot.example" if i % 3 == 0 else random.choice(["a.example", "b.example/x", None])
         rows.append(
             (
@@ -114,7 +114,7 @@ def crowd(spark):
                 random.choice(addresses),
             )
         )
-    rows += [(f"c{i:03d}", *rows[3][1:]) for i in range(30)]
+    rows += [(f"c{i:03d}", *rows[3][1:]) for i in range(15)]
     return r.match_features(spark.createDataFrame(rows, FLAT)).cache()
 
 
@@ -127,7 +127,7 @@ def test_matches_agree_with_brute_force(crowd):
 
 
 def test_copies_are_tied_to_the_first_only(crowd):
-    assert r.find_matches(crowd).count() < r.expand_matches(crowd).count()
+    assert r.find_matches(crowd).count() < len(brute_force(crowd.collect()))
 
 
 def test_near_equal_long_addresses_match(spark):

@@ -38,7 +38,7 @@ def test_ratio(spark):
 
 
 def test_token_sort_ratio_ignores_order_and_letters_beyond_ascii(spark):
-    pairs = [("ACME TEKNOLOJI", "TEKNOLOJI ACME"), ("ŞAHİN ACME", "AHN ACME"), ("ĞŞ", "ÇÖ"), ("", "")]
+    pairs = [("ACME TEKNOLOJI", "TEKNOLOJI ACME"), ("ŞAHİN ACME", "AHIN ACME"), ("ĞŞ", "ÇÖ"), ("", "")]
     assert scores(spark, lambda a, b: sim.token_sort_ratio(a, b, arrow=True), pairs) == [1.0, 1.0, 1.0, 0.0]
 
 
