@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from firmaforge.llm.bpe import op4_byte_bpe
+from firmaforge.llm.decontaminate import op3_benchmark_decontamination
 from firmaforge.llm.secrets import op8_secret_scans
+from firmaforge.llm.simhash import op6_simhash_near_dedup
+from firmaforge.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_secret_scans": op8_secret_scans,
 }
 ORACLES: dict[str, str] = {}
