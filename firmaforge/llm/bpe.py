@@ -65,50 +65,60 @@ class Ranks:
             parts[shard][piece] = rank
         self.literal = F.from_json(F.lit(json.dumps(parts, separators=(",", ":"))), "array<map<string,int>>")
 
-    def of(self, piece: Column) -> Column:
-        return F.coalesce(self.literal[_shard_of(piece)][piece], F.lit(NO_MERGE))
-
     def encode(self, word: Column) -> Column:
-        """The ids (array<int>) of one word by folding its merges."""
-        digits = F.lower(F.hex(F.encode(word, "UTF-8")))
-        n = F.octet_length(word)
-        single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))
-        end = F.array(F.lit("-"))
-
-        def start(parts):
-            ranks = F.transform(
-                F.sequence(F.lit(1), F.size(parts) - 1),
-                lambda i: self.of(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))),
-            )
-            return F.struct(parts.alias("parts"), ranks.alias("ranks"))
-
-        def merge(state, k):
-            # k: 1-based place of the left neighbour; "-" at both ends never merges.
-            parts, ranks = state["parts"], state["ranks"]
-            joined = F.concat(F.element_at(parts, k), F.element_at(parts, k + 1))
-            m = F.size(parts)
-            return F.struct(
-                F.concat(F.slice(parts, 1, k - 1), F.array(joined), F.slice(parts, k + 2, m)).alias("parts"),
-                F.concat(
-                    F.slice(ranks, 1, k - 2),
-                    F.array(
-                        self.of(F.concat(F.element_at(parts, k - 1), joined)),
-                        self.of(F.concat(joined, F.element_at(parts, k + 2))),
-                    ),
-                    F.slice(ranks, k + 2, m),
-                ).alias("ranks"),
-            )
-
-        def step(state, _):
-            best = F.array_min(state["ranks"])
-            place = F.array_position(state["ranks"], best).cast("int")
-            return F.when(best == NO_MERGE, state).otherwise(F.transform(F.array(place), lambda k: merge(state, k))[0])
-
-        first = F.transform(F.array(F.concat(end, single, end)), start)[0]
-        folded = F.aggregate(F.sequence(F.lit(1), n), first, step, lambda s: s["parts"])
-        ids = F.transform(F.filter(folded, lambda p: p != "-"), self.of)
-        whole = self.of(digits)
-        return F.when(n == 0, F.array().cast("array<int>")).when(whole != NO_MERGE, F.array(whole)).otherwise(ids)
+        """The ids (array<int>) of one word."""
+        return F.transform(F.array(self.literal), lambda table: fold(table, word))[0]
+
+    def encode_all(self, words: Column) -> Column:
+        """The ids of each word of an array."""
+        return F.transform(F.array(self.literal), lambda table: F.transform(words, lambda w: fold(table, w)))[0]
+
+
+def fold(table: Column, word: Column) -> Column:
+    """Fold the ranked merges of a word. ``table``: array of maps from piece to rank."""
+
+    def rank(piece):
+        return F.coalesce(table[_shard_of(piece)][piece], F.lit(NO_MERGE))
+
+    digits = F.lower(F.hex(F.encode(word, "UTF-8")))
+    n = F.octet_length(word)
+    single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))
+    end = F.array(F.lit("-"))
+
+    def start(parts):
+        ranks = F.transform(
+            F.sequence(F.lit(1), F.size(parts) - 1),
+            lambda i: rank(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))),
+        )
+        return F.struct(parts.alias("parts"), ranks.alias("ranks"))
+
+    def merge(state, k):
+        # k: 1-based place of the left neighbour; "-" at both ends never merges.
+        parts, ranks = state["parts"], state["ranks"]
+        joined = F.concat(F.element_at(parts, k), F.element_at(parts, k + 1))
+        m = F.size(parts)
+        return F.struct(
+            F.concat(F.slice(parts, 1, k - 1), F.array(joined), F.slice(parts, k + 2, m)).alias("parts"),
+            F.concat(
+                F.slice(ranks, 1, k - 2),
+                F.array(
+                    rank(F.concat(F.element_at(parts, k - 1), joined)),
+                    rank(F.concat(joined, F.element_at(parts, k + 2))),
+                ),
+                F.slice(ranks, k + 2, m),
+            ).alias("ranks"),
+        )
+
+    def step(state, _):
+        best = F.array_min(state["ranks"])
+        place = F.array_position(state["ranks"], best).cast("int")
+        return F.when(best == NO_MERGE, state).otherwise(F.transform(F.array(place), lambda k: merge(state, k))[0])
+
+    first = F.transform(F.array(F.concat(end, single, end)), start)[0]
+    folded = F.aggregate(F.sequence(F.lit(1), n), first, step, lambda s: s["parts"])
+    ids = F.transform(F.filter(folded, lambda p: p != "-"), rank)
+    whole = rank(digits)
+    return F.when(n == 0, F.array().cast("array<int>")).when(whole != NO_MERGE, F.array(whole)).otherwise(ids)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -221,7 +231,7 @@ def encode(
                 )
 
     sought = source.mapInArrow(seek, StructType([*kept]).add(names[0], StringType()).add(names[1], ArrayType(StringType())))
-    folded = sought.withColumn(names[2], F.transform(names[1], rank.encode))
+    folded = sought.withColumn(names[2], F.when(F.col(names[1]).isNotNull(), rank.encode_all(F.col(names[1]))))
     added = StructType.fromDDL(fields)
     schema = StructType([*kept, *added.fields])
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -316,6 +316,18 @@ def matches(
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without a hit word, all columns.
+
+    A row is known by its id and a hash of its text, so rows that share an id are judged apart.
+    """
+    key, digest = fresh(docs.columns, "hit_id_"), fresh(docs.columns, "hit_digest_")
+    own = F.xxhash64(F.col(f"`{text}`"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias(key), own.alias(digest), F.col(f"`{text}`").alias("text"))
+    hit = matches(rows, benchmark, [key, digest]).filter(F.size("hits_") > 0).select(key, digest).distinct()
+    return docs.join(hit, docs[doc_id].eqNullSafe(hit[key]) & (own == hit[digest]), "left_anti")
+
+
 def n_items(column):
     return F.size(column).cast("long")
 
