@@ -29,11 +29,12 @@ REACH = 6.0
 
 # Measured share -> least quartile distance. A group whose texts are all alike
 # has no spread, and its fence must still let ordinary texts pass.
-LEAST_SPREAD = {"word_length": 0.4, "symbols": 0.04, "dup_lines": 0.05, "repeated": 0.04}
+LEAST_SPREAD = {"word_length": 0.4, "symbols": 0.04, "marks": 0.04, "dup_lines": 0.05, "repeated": 0.04}
 BELOW_TOO = ("word_length",)
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
 _SYMBOLS = "#*$%&|<>"
+_MARKS = "!?"
 
 
 def let(value: Column, body) -> Column:
@@ -68,7 +69,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def measures(text: Column) -> Column:
-    """Struct n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of a text."""
+    """Struct of a text's counts: words, lines, symbols, marks."""
     whole = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(whole, _BLANK), lambda w: w != "")
     lines = F.filter(F.split(whole, "\n"), lambda s: F.trim(s, F.lit(" \t\n\x0b\f\r")) != "")
@@ -83,8 +84,10 @@ def measures(text: Column) -> Column:
             repeated_words(w).alias("n_repeat_words"),
         ),
     )
-    symbols = F.length(whole) - F.length(F.translate(whole, _SYMBOLS, ""))
-    return F.struct(of_words.alias("w"), of_lines.alias("l"), symbols.alias("n_symbols"))
+    number = lambda chars: F.length(whole) - F.length(F.translate(whole, chars, ""))
+    return F.struct(
+        of_words.alias("w"), of_lines.alias("l"), number(_SYMBOLS).alias("n_symbols"), number(_MARKS).alias("n_marks")
+    )
 
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -93,6 +96,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         "n_words": "m_.w.n_words",
         "word_chars": "m_.w.word_chars",
         "n_symbols": "m_.n_symbols",
+        "n_marks": "m_.n_marks",
         "n_lines": "m_.l.n_lines",
         "n_dup_lines": "m_.l.n_dup_lines",
         "n_repeat_words": "m_.w.n_repeat_words",
@@ -106,6 +110,7 @@ def shares() -> dict[str, Column]:
     return {
         "word_length": F.col("word_chars") / words,
         "symbols": F.col("n_symbols") / words,
+        "marks": F.col("n_marks") / words,
         "dup_lines": F.col("n_dup_lines") / F.col("n_lines").cast("double"),
         "repeated": F.col("n_repeat_words") / words,
     }
