@@ -8,10 +8,9 @@ front to back.
 
 Words repeat, so the fold runs on distinct words: the most frequent ones (at most
 ``dictionary_words`` of ``WORD_BYTES`` bytes at most, thus of bounded size) are encoded once
-and sent to the tasks; what a text has besides is encoded in its row by the same fold, once
-for each batch of texts. Words longer than ``LONG`` bytes (no pattern bounds a run of letters)
-would cost the square of their length in a fold; a merge over a heap encodes them, with the
-same result.
+and sent to the tasks. A fold costs some 70 microseconds a word, and distinct words grow with
+the corpus, so folding every rare word does not fit the limits (see the README); rare words
+are merged in the task that meets them, by the same rule and with the same result.
 
 Decoding concatenates the binary pieces of the ids.
 
@@ -26,7 +25,6 @@ import hashlib
 import heapq
 import json
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +36,12 @@ from firmaforge.llm.batches import fresh, slices, table
 from firmaforge.session import cut
 
 WORD_BYTES = 64
-LONG = 256
-DICTIONARY_WORDS = 1 << 19
+LONG = 100
+DICTIONARY_WORDS = 1 << 18
 SHARDS = 1 << 15
 NO_MERGE = (1 << 31) - 1
 COUNTED_AT_ONCE = 400_000
+KEPT_WORDS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,10 +68,6 @@ class Ranks:
         """The ids (array<int>) of one word."""
         return F.transform(F.array(self.literal), lambda table: fold(table, word))[0]
 
-    def encode_all(self, words: Column) -> Column:
-        """The ids of each word of an array."""
-        return F.transform(F.array(self.literal), lambda table: F.transform(words, lambda w: fold(table, w)))[0]
-
 
 def fold(table: Column, word: Column) -> Column:
     """Fold the ranked merges of a word. ``table``: array of maps from piece to rank."""
@@ -121,6 +116,28 @@ def fold(table: Column, word: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<int>")).when(whole != NO_MERGE, F.array(whole)).otherwise(ids)
 
 
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges in a task: the ids of one word."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > LONG:
+        return merge_long(word, ranks)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    joins = [ranks.get(a + b, NO_MERGE) for a, b in zip(parts, parts[1:], strict=False)]
+    while joins:
+        best = min(joins)
+        if best == NO_MERGE:
+            break
+        i = joins.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del joins[i]
+        if i:
+            joins[i - 1] = ranks.get(parts[i - 1] + parts[i], NO_MERGE)
+        if i < len(joins):
+            joins[i] = ranks.get(parts[i] + parts[i + 1], NO_MERGE)
+    return [ranks[p] for p in parts]
+
+
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges over a heap of neighbours, for words of any length."""
     n = len(word)
@@ -202,7 +219,7 @@ def encode(
     rank = Ranks(spark, ranks)
     counts = cut(word_counts(docs, pattern, text))
     coded = frequent(counts, dictionary_words).select("word", rank.encode(F.col("word")).alias("ids"))
-    known = {}
+    known: dict[str, bytes] = {}
     for batch in coded.toArrow().to_batches():
         ids = batch.column(1)
         flat, at = np.asarray(ids.flatten()).astype("<u4").tobytes(), (np.asarray(ids.offsets) - ids.offsets[0].as_py()) * 4
@@ -211,31 +228,13 @@ def encode(
     del known
     vocabulary = spark.sparkContext.broadcast(ranks)
 
-    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
-
-    names = [fresh(keep, n) for n in ("text_", "missing_", "ids_")]
-    kept = [docs.schema[c] for c in keep]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(names[0]))
-
-    def seek(batches):
-        # One row of each slice lists the words that the slice needs besides the dictionary.
-        find = regex.compile(pattern).findall
-        have = shared.value
-        for batch in batches:
-            for part in slices(batch, len(keep)):
-                words = set(chain.from_iterable(find(t) for t in part.column(len(keep)).to_pylist() if t))
-                missing = sorted(w for w in words if w not in have and len(w.encode()) <= LONG)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([missing] + [None] * (part.num_rows - 1), pa.list_(pa.string()))],
-                    names=[*batch.schema.names, names[1]],
-                )
-
-    sought = source.mapInArrow(seek, StructType([*kept]).add(names[0], StringType()).add(names[1], ArrayType(StringType())))
-    folded = sought.withColumn(names[2], F.when(F.col(names[1]).isNotNull(), rank.encode_all(F.col(names[1]))))
-    added = StructType.fromDDL(fields)
-    schema = StructType([*kept, *added.fields])
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
+    name = fresh(keep, "text_")
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(name))
+    added = StructType.fromDDL(fields)
+    schema = StructType([*(docs.schema[c] for c in keep), *added.fields])
     kinds = [f.type for f in to_arrow_schema(added)]
 
     def build(batches):
@@ -245,26 +244,19 @@ def encode(
 
         def code(word):
             got = have.get(word) or own.get(word)
-            if got is None:  # longer than LONG
-                got = np.array(merge_long(word.encode(), table_of), "<u4").tobytes()
+            if got is None:
+                if len(own) >= KEPT_WORDS:
+                    own.clear()
+                got = own[word] = np.array(merge(word.encode(), table_of), "<u4").tobytes()
             return got
 
         for batch in batches:
-            texts, missing, ids = (batch.column(len(keep) + i) for i in range(3))
-            new = [i for i in range(batch.num_rows) if missing[i].is_valid]
-            edges = sorted({0, *new, batch.num_rows})
-            for a, b in zip(edges, edges[1:], strict=False):
-                if missing[a].is_valid:
-                    own = dict(
-                        zip(missing[a].as_py(), (np.array(x, "<u4").tobytes() for x in ids[a].as_py()), strict=True)
-                    )
-                rows = [finish(b"".join(map(code, find(t))) if t else b"") for t in texts.slice(a, b - a).to_pylist()]
+            for part in slices(batch, len(keep)):
+                rows = [finish(b"".join(map(code, find(t))) if t else b"") for t in part.column(len(keep)).to_pylist()]
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), *cols], names=schema.names
-                )
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *cols], names=schema.names)
 
-    return folded.mapInArrow(build, schema)
+    return source.mapInArrow(build, schema)
 
 
 class Decoder:

@@ -230,6 +230,7 @@ def test_long_words_merge_alike(coder):
     rng = random.Random(6)
     for word in ["ab" * 500, "a" * 999, "".join(rng.choices("etaoin", k=700)), "é" * 200]:
         assert bpe.merge_long(word.encode(), ranks) == encoding.encode_ordinary(word)
+        assert bpe.merge(word[:90].encode(), ranks) == bpe.merge_long(word[:90].encode(), ranks) == encoding.encode_ordinary(word[:90])
 
 
 def test_ranks_file_is_base64():
