@@ -1,6 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are cut into words by the tokenizer's pattern. The ranked merges of a word are a fold in
+Texts are cut into words by the tokenizer's pattern. The pattern lets a word begin with one
+space and hold no other, so a text may be cut before its single spaces first and the pieces,
+which repeat, into words once each. The ranked merges of a word are a fold in
 Spark higher-order functions: its bytes (as pairs of hex digits) are parts, and each step
 joins the two neighbours whose join has the lowest rank, leftmost first. Ranks stand in the
 plan as one literal, a map split by the hash of its keys because a map column is searched from
@@ -24,6 +26,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 from collections import Counter
 
 import numpy as np
@@ -41,7 +44,7 @@ DICTIONARY_WORDS = 1 << 18
 SHARDS = 1 << 15
 NO_MERGE = (1 << 31) - 1
 COUNTED_AT_ONCE = 400_000
-KEPT_WORDS = 200_000
+KEPT_PIECES = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -160,27 +163,46 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+# Where a space has white space beside it or ends a text, the pattern has to see the whole text.
+_WIDE = re.compile(r" (?:\s|\Z)|\s ")
+
+
+def pieces(text: str) -> list[str] | None:
+    """The text cut at its single spaces (left out), or None if that might change its words."""
+    return None if _WIDE.search(text) else text.split(" ")
+
+
 def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """Columns word, n: how often each word of at most ``WORD_BYTES`` bytes stands in the texts."""
 
     def run(batches):
         find = regex.compile(pattern).findall
+        inner: Counter = Counter()  # pieces with a space in front
         count: Counter = Counter()
 
         def out():
+            for piece, n in inner.items():
+                for word in find(" " + piece):
+                    count[word] += n
             short = [w for w in count if len(w.encode()) <= WORD_BYTES]
-            return pa.RecordBatch.from_arrays(
+            batch = pa.RecordBatch.from_arrays(
                 [pa.array(short, pa.string()), pa.array([count[w] for w in short], pa.int64())], names=["word", "n"]
             )
+            inner.clear()
+            count.clear()
+            return batch
 
         for batch in batches:
             for part in slices(batch, 0):
                 for t in part.column(0).to_pylist():
-                    if t:
+                    cut_ = pieces(t) if t else []
+                    if cut_ is None:
                         count.update(find(t))
-                if len(count) > COUNTED_AT_ONCE:
+                    elif cut_:
+                        count.update(find(cut_[0]))
+                        inner.update(cut_[1:])
+                if len(inner) + len(count) > COUNTED_AT_ONCE:
                     yield out()
-                    count.clear()
         yield out()
 
     part = docs.select(F.col(f"`{text}`")).mapInArrow(run, "word string, n long")
@@ -213,12 +235,14 @@ def encode(
     """``keep`` and ``fields``, which ``finish`` makes of each text's ids.
 
     ``finish`` gets the ids of a text as little-endian unsigned 32-bit integers (bytes) and
-    returns a tuple of values.
+    returns a tuple of values. The pattern must let a word hold a space only in front.
     """
     spark = docs.sparkSession
     rank = Ranks(spark, ranks)
     counts = cut(word_counts(docs, pattern, text))
-    coded = frequent(counts, dictionary_words).select("word", rank.encode(F.col("word")).alias("ids"))
+    # A fold is long work on few bytes, so its rows are dealt out and not left to their size.
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    coded = frequent(counts, dictionary_words).repartition(tasks).select("word", rank.encode(F.col("word")).alias("ids"))
     known: dict[str, bytes] = {}
     for batch in coded.toArrow().to_batches():
         ids = batch.column(1)
@@ -240,19 +264,32 @@ def encode(
     def build(batches):
         find = regex.compile(pattern).findall
         have, table_of = shared.value, vocabulary.value
-        own: dict[str, bytes] = {}
+        own: dict[str, bytes] = {}  # by piece, with a space in front
 
-        def code(word):
-            got = have.get(word) or own.get(word)
+        def word_ids(word):
+            got = have.get(word)
+            return got if got is not None else np.array(merge(word.encode(), table_of), "<u4").tobytes()
+
+        def whole(text):
+            return b"".join(map(word_ids, find(text)))
+
+        def code(piece):
+            got = own.get(piece)
             if got is None:
-                if len(own) >= KEPT_WORDS:
+                if len(own) >= KEPT_PIECES:
                     own.clear()
-                got = own[word] = np.array(merge(word.encode(), table_of), "<u4").tobytes()
+                got = own[piece] = whole(" " + piece)
             return got
 
+        def ids_of(text):
+            if not text:
+                return b""
+            cut_ = pieces(text)
+            return whole(text) if cut_ is None else whole(cut_[0]) + b"".join(map(code, cut_[1:]))
+
         for batch in batches:
             for part in slices(batch, len(keep)):
-                rows = [finish(b"".join(map(code, find(t))) if t else b"") for t in part.column(len(keep)).to_pylist()]
+                rows = [finish(ids_of(t)) for t in part.column(len(keep)).to_pylist()]
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *cols], names=schema.names)
 
