@@ -151,7 +151,7 @@ def clean_value(c: Column, dtype: T.DataType, strict: bool = False) -> Column:
         item = dtype.elementType
         if isinstance(item, T.StringType):
             return F.filter(c, lambda x: x.isNull() | ~_tainted(x, strict))
-        if isinstance(item, (T.StructType, T.MapType)):
+        if isinstance(item, (T.StructType, T.MapType, T.ArrayType)):
             return F.transform(c, lambda x: clean_value(x, item, strict))
     return c
 
@@ -166,6 +166,29 @@ def filter_pii(df: DataFrame, strict: bool = False, keep: tuple[str, ...] = ())
     )
 
 
+def text_leaves(c: Column, dtype: T.DataType) -> Column:
+    """All texts inside of a value of any type, as one array."""
+    none = F.array().cast("array<string>")
+    if isinstance(dtype, T.StringType):
+        return F.array(c)
+    if isinstance(dtype, T.StructType):
+        inner = [text_leaves(c[f.name], f.dataType) for f in dtype.fields]
+        return F.when(c.isNotNull(), F.concat(*inner)).otherwise(none) if inner else none
+    if isinstance(dtype, T.MapType):
+        return text_leaves(F.map_values(c), T.ArrayType(dtype.valueType))
+    if isinstance(dtype, T.ArrayType):
+        item = dtype.elementType
+        own = c if isinstance(item, T.StringType) else F.flatten(F.transform(c, lambda x: text_leaves(x, item)))
+        return F.coalesce(own, none)
+    return none
+
+
+def record_has_pii(df: DataFrame) -> Column:
+    """Personal data in any text of the row, however deep it lies."""
+    leaves = F.concat(*[text_leaves(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
+    return F.coalesce(F.exists(leaves, has_pii), F.lit(False))
+
+
 def hash_identifier(identifier: Column) -> Column:
     return F.sha2(identifier.cast("string"), 256)
 

@@ -50,6 +50,7 @@ def lcs_length(a: Column, b: Column) -> Column:
 
 
 WORD = 64
+CELLS = 4_000_000
 
 
 def _codes(texts: list[str], width: int) -> np.ndarray:
@@ -82,12 +83,17 @@ def _lcs_block(a: list[str], b: list[str], words: int) -> np.ndarray:
 
 def _lcs_many(a: list[str | None], b: list[str | None]) -> np.ndarray:
     out = np.zeros(len(a), dtype="int32")
-    groups: dict[int, list[int]] = {}
+    groups: dict[tuple[int, int], list[int]] = {}
     for i, (x, y) in enumerate(zip(a, b)):
         if x and y:
-            groups.setdefault(-(-len(x) // WORD), []).append(i)
-    for words, members in groups.items():
-        out[members] = _lcs_block([a[i] for i in members], [b[i] for i in members], words)
+            # By both lengths, so that one long text does not widen all the others.
+            groups.setdefault((-(-len(x) // WORD), len(y).bit_length()), []).append(i)
+    for (words, bits), members in groups.items():
+        # As many pairs at once as stay within some megabytes.
+        step = max(1, CELLS // ((words * WORD) + (1 << bits)))
+        for at in range(0, len(members), step):
+            part = members[at : at + step]
+            out[part] = _lcs_block([a[i] for i in part], [b[i] for i in part], words)
     return out
 
 
@@ -116,14 +122,3 @@ def token_sort_ratio(a: Column, b: Column, arrow: bool = False) -> Column:
 
 def _where_present(a: Column, b: Column, score: Column) -> Column:
     return F.when((F.length(a) > 0) & (F.length(b) > 0), score).otherwise(0.0)
-
-
-def char_bag(c: Column) -> Column:
-    """Characters numbered by occurrence, so an intersection counts the shared multiset.
-
-    ``size(array_intersect(bag(a), bag(b)))`` bounds the common subsequence from above.
-    """
-    chars = F.sort_array(F.filter(F.split(c, ""), lambda x: F.length(x) > 0))
-    return F.transform(
-        chars, lambda ch, i: F.concat(ch, (i - F.array_position(chars, ch)).cast("string"))
-    )

@@ -14,6 +14,7 @@ from firmaforge.functions.privacy import (
     filter_pii,
     has_pii,
     hash_identifier,
+    record_has_pii,
 )
 
 # Days a record stays active, days until an archived one may go, and the
@@ -153,6 +154,17 @@ def overdue(log: DataFrame, as_of: Column) -> DataFrame:
     return log.filter(F.col("completion_date").isNull() & (age > RETENTION_DAYS["request"]))
 
 
+def audit_expired(log: DataFrame, as_of: Column) -> DataFrame:
+    """Audit rows past the time they have to be kept."""
+    return log.filter(F.datediff(as_of, F.col("timestamp")) > RETENTION_DAYS["audit"])
+
+
+def audit_kept(log: DataFrame, as_of: Column) -> DataFrame:
+    """The audit log without expired rows; rows without a time stay."""
+    age = F.datediff(as_of, F.col("timestamp"))
+    return log.filter(F.coalesce(age <= RETENTION_DAYS["audit"], F.lit(True)))
+
+
 def minimisation_issues(df: DataFrame) -> Column:
     """Map of offending field to message. Sensitive fields offend by being in the layout."""
     entries = []
@@ -175,19 +187,21 @@ def minimisation_report(df: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def compliance_report(
-    df: DataFrame, suppressed: DataFrame, texts: list[str], id_col: str = "id"
+    df: DataFrame, suppressed: DataFrame, texts: list[str] | None = None, id_col: str = "id"
 ) -> DataFrame:
     """One row: totals, records with personal data, suppressed records, advice.
 
-    ``texts`` are the columns looked into; their kinds of finding are joined by OR, so one
-    pass over the table decides everything but the suppression join.
+    Every text of the record is looked into, nested ones too; ``texts`` looks into some
+    columns instead. The findings are joined by OR, so one pass over the table decides
+    everything but the suppression join.
     """
-    found = reduce(lambda a, b: a | b, [has_pii(F.col(t)) for t in texts])
+    found = reduce(lambda a, b: a | b, [has_pii(F.col(t)) for t in texts]) if texts else record_has_pii(df)
     flagged = _hashed(df, id_col).select(
         "id_hash", found.alias("pii"), (F.size(minimisation_issues(df)) > 0).alias("offends")
     )
-    # The list holds each hash once, so the left join keeps one row per record.
-    marked = flagged.join(suppressed.withColumn("hit", F.lit(True)), "id_hash", "left")
+    # Each hash once, so the left join keeps one row per record.
+    listed = suppressed.select("id_hash").distinct().withColumn("hit", F.lit(True))
+    marked = flagged.join(listed, "id_hash", "left")
     totals = marked.agg(
         F.count("*").alias("total_records"),
         F.count_if(F.col("pii")).alias("pii_detected"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmaforge.session import cut
+from firmaforge.session import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     state = None
     while True:
-        now = cut(_small_star(_large_star(now).distinct()).distinct())
+        last, now = now, cut(_small_star(_large_star(now).distinct()).distinct())
+        discard(last)
         # Fixed point: the edge set is unchanged. Two sums stand for the set; nothing else
         # leaves the executors.
         seen = now.agg(

@@ -150,7 +150,9 @@ COMPLETENESS = {
 
 def dashboard(df: DataFrame) -> dict[str, DataFrame]:
     """All dashboard panels. Persist ``df`` first when it is costly: each panel reads it."""
-    flags = {n: f for n, f in COMPLETENESS.items() if f in df.columns}
+    absent = [f for f in COMPLETENESS.values() if f not in df.columns]
+    if absent:
+        raise ValueError(f"the dashboard needs the columns {absent}")
     return {
         "total_companies": cardinality(df, "company_id"),
         "cities": nested_terms(df, "city", "company_type", 20, 5, avg_rating=F.avg("rating")),
@@ -160,10 +162,47 @@ def dashboard(df: DataFrame) -> dict[str, DataFrame]:
         "priority_distribution": tier_counts(df),
         "rating_distribution": histogram(df, "rating", 0.5),
         "recent_activity": day_histogram(df, "last_updated"),
-        "data_completeness": completeness(df, flags),
+        "data_completeness": completeness(df, COMPLETENESS),
     }
 
 
+def dashboard_rows(df: DataFrame) -> DataFrame:
+    """The dashboard as one answer in one pass: panel, key, count.
+
+    Every row votes for its key in each panel; one aggregation counts the votes, and only
+    then are the panels cut to their sizes. The total counts distinct companies.
+    """
+    absent = [f for f in COMPLETENESS.values() if f not in df.columns]
+    if absent:
+        raise ValueError(f"the dashboard needs the columns {absent}")
+
+    def vote(panel: str, key: Column, cast: Column | None = None) -> Column:
+        said = key.isNotNull() if cast is None else cast
+        return F.when(said, F.struct(F.lit(panel).alias("panel"), key.cast("string").alias("key")))
+
+    votes = F.array(
+        vote("cities", F.col("city")),
+        vote("industries", F.col("industry")),
+        vote("priority_distribution", F.col("priority_tier")),
+        vote("rating_distribution", (F.floor(F.col("rating") / 0.5) * 0.5).cast("double")),
+        vote("recent_activity", F.date_format("last_updated", "yyyy-MM-dd")),
+        *[vote("data_completeness", F.lit(n), present(df, c)) for n, c in COMPLETENESS.items()],
+    )
+    counted = df.select(F.inline(F.array_compact(votes))).groupBy("panel", "key").agg(F.count("*").alias("count"))
+    order = Window.partitionBy("panel").orderBy(F.desc("count"), F.asc("key"))
+    size = F.when(F.col("panel") == "cities", 20).when(F.col("panel") == "industries", 15)
+    flags = df.sparkSession.createDataFrame([("data_completeness", n) for n in COMPLETENESS], "panel string, key string")
+    rows = (
+        counted.withColumn("_r", F.row_number().over(order))
+        .filter(size.isNull() | (F.col("_r") <= size))
+        .drop("_r")
+        .join(flags.withColumn("_flag", F.lit(True)), ["panel", "key"], "full_outer")
+        .select("panel", "key", F.coalesce("count", F.lit(0)).alias("count"))
+    )
+    total = df.agg(F.countDistinct("company_id").alias("count"))
+    return rows.union(total.select(F.lit("total_companies"), F.lit("total"), "count"))
+
+
 def data_quality_panels(df: DataFrame) -> dict[str, DataFrame]:
     return {
         "missing": missing_counts(df, ["emails", "phones", "website_domain", "city"]),

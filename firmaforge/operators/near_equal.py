@@ -1,77 +1,51 @@
 """Join keys for texts whose similarity rounds to 100 percent.
 
 A ratio of 99.5 % and more counts as full marks, so a pair of long texts may differ in one
-letter per hundred. Cutting a text into one piece more than it may have differences leaves
-a piece untouched, which the other text holds at nearly the same place: texts that share no
-piece key cannot be a pair. Texts under 100 characters have only the key of equality.
+letter per hundred. One letter put in or left out changes ``GRAM`` grams at most; of two texts
+d such steps apart, the smallest gram that both have is therefore among the first
+GRAM * d + 1 grams of each in any fixed order. Those few are the keys of a text. Texts under
+100 characters can only be equal and have one key.
+
+A name and an address are keyed together where the name is short (its whole text with each
+key of the address); a long name is keyed alone and its address is left to the score.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-KEYS = T.StructType(
-    [
-        T.StructField("left", T.ArrayType(T.LongType())),
-        T.StructField("right", T.ArrayType(T.LongType())),
-        T.StructField("whole", T.LongType()),
-    ]
-)
-
-
-def _slack(length: int) -> int:
-    # d differences (insertions plus deletions) need d <= 0.005 * (length + length + d).
-    return int(length * 0.01 / 0.995 + 1e-9)
-
 
-def _cuts(length: int) -> list[tuple[int, int]]:
-    n = _slack(length) + 1
-    edges = [length * i // n for i in range(n + 1)]
-    return list(zip(edges, edges[1:]))
+GRAM = 10
+LONG = 100
 
 
-def _pieces(t: str) -> list[tuple]:
-    """Pieces of a text as the shorter one of a pair."""
-    if not _slack(len(t)):
-        return []
-    return [(len(t), i, t[a:b]) for i, (a, b) in enumerate(_cuts(len(t)))]
+def _slack(length: Column) -> Column:
+    # d steps need d <= 0.005 * (length + length + d).
+    return F.floor(length * 0.01 / 0.995 + 1e-9).cast("int")
 
 
-def _windows(t: str) -> list[tuple]:
-    """Places in a text, as the longer one of a pair, where a piece may have gone."""
-    out = set()
-    for length in range(len(t) - _slack(len(t)), len(t) + 1):
-        slack = _slack(length)
-        for i, (a, b) in enumerate(_cuts(length) if slack else []):
-            for shift in range(-slack, slack + 1):
-                if a + shift >= 0 and b + shift <= len(t):
-                    out.add((length, i, t[a + shift : b + shift]))
-    return sorted(out)
+def gram_keys(text: Column) -> Column:
+    """The smallest hashes of the grams of a text, one more than a pair may lose."""
 
+    def of(chars: Column) -> Column:
+        n = F.size(chars)
+        grams = F.transform(
+            F.sequence(F.lit(0), n - GRAM), lambda i: F.xxhash64(*[F.get(chars, i + k) for k in range(GRAM)])
+        )
+        return F.slice(F.array_sort(F.array_distinct(grams)), 1, GRAM * _slack(n) + 1)
 
-def _sides(t: str) -> tuple[list[tuple], list[tuple]]:
-    whole, pieces, windows = [("=", t)], _pieces(t), _windows(t)
-    # Either text may be the shorter one: pieces meet windows in both directions.
-    left = whole + [("s", *k) for k in pieces] + [("l", *k) for k in windows]
-    right = whole + [("l", *k) for k in pieces] + [("s", *k) for k in windows]
-    return left, right
+    return F.transform(F.array(F.filter(F.split(text, ""), lambda x: x != "")), of)[0]
 
 
-@F.pandas_udf(KEYS)
-def near_equal_keys(first: pd.Series, second: pd.Series) -> pd.DataFrame:
-    """Keys for both sides of a join on two texts at once, and the key of equality, which
-    both sides hold."""
-    from hashlib import blake2b
+def whole_key(name: Column, address: Column) -> Column:
+    """The key that equal pairs of texts share."""
+    return F.xxhash64(F.lit("="), name, address)
 
-    def digest(key: tuple) -> int:
-        return int.from_bytes(blake2b(repr(key).encode(), digest_size=8).digest(), "big", signed=True)
 
-    rows = []
-    for a, b in zip(first, second):
-        sides = zip(_sides(a), _sides(b))
-        keys = [sorted({digest((x, y)) for x in xs for y in ys}) for xs, ys in sides]
-        rows.append([*keys, digest((("=", a), ("=", b)))])
-    return pd.DataFrame(rows, columns=KEYS.names)
+def near_equal_keys(name: Column, address: Column) -> Column:
+    """Keys of a pair of texts; pairs with full marks in both have one in common."""
+    by_name = F.transform(gram_keys(name), lambda k: F.xxhash64(F.lit("name"), k))
+    by_address = F.transform(gram_keys(address), lambda k: F.xxhash64(F.lit("address"), name, k))
+    whole = F.array(whole_key(name, address))
+    long_name, long_address = F.length(name) >= LONG, F.length(address) >= LONG
+    return F.when(long_name, F.concat(whole, by_name)).when(long_address, F.concat(whole, by_address)).otherwise(whole)

@@ -134,13 +134,16 @@ def address(html: Column) -> Column:
     """Text of the element whose own text names an address, 21 to 499 characters long."""
     found = []
     for word in ADDRESS_WORDS:
-        # The innermost element around the first text run with the word.
-        tag = F.regexp_extract(html, rf"(?is)<([a-z][a-z0-9]*)\b[^>]*>[^<]*{word}[^<]*", 1)
-        whole = F.regexp_extract(
-            html, rf"(?is)<([a-z][a-z0-9]*)\b[^>]*>([^<]*{word}[^<]*(?:<(?!/\1\b)[^>]*>[^<]*)*)</\1", 2
-        )
-        text = inner_text(whole)
-        found.append(F.when((tag != "") & F.length(text).between(21, 499), text))
+        # The innermost element around the first text run with the word. No pattern here
+        # repeats a group: the matcher would recurse once for each tag of the page.
+        start = rf"(?is)<([a-z][a-z0-9]*)\b[^>]*>([^<]*{word}[^<]*)"
+        head, tag, own = (F.regexp_extract(html, start, i) for i in range(3))
+        tail = F.substring(html, F.position(head, html) + F.length(head), F.length(html))
+        end = F.concat(F.lit("(?is)</"), tag, F.lit("\\b.*"))
+        rest = F.regexp_replace(tail, end, F.lit(""))
+        closed = F.length(rest) < F.length(tail)
+        text = inner_text(F.concat(own, rest))
+        found.append(F.when((tag != "") & closed & F.length(text).between(21, 499), text))
     return F.coalesce(*found)
 
 

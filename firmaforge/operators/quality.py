@@ -44,12 +44,12 @@ def in_set(column: str, values: list, mostly: float = 1.0) -> Rule:
 
 
 def matches(column: str, regex: str, mostly: float = 1.0) -> Rule:
-    """The pattern has to match from the start of the text."""
-    return Rule("matches_regex", column, F.col(column).rlike(f"^(?:{regex})"), mostly)
+    """The pattern has to match somewhere in the text."""
+    return Rule("matches_regex", column, F.col(column).rlike(regex), mostly)
 
 
 def not_matches(column: str, regex: str, mostly: float = 1.0) -> Rule:
-    return Rule("not_matches_regex", column, ~F.col(column).rlike(f"^(?:{regex})"), mostly)
+    return Rule("not_matches_regex", column, ~F.col(column).rlike(regex), mostly)
 
 
 def between(column: str, low: float, high: float, mostly: float = 1.0) -> Rule:
@@ -60,24 +60,20 @@ def unique(column: str) -> Rule:
     return Rule("unique", column, None)
 
 
-def condition(kind: str, column: str, test: Column, mostly: float = 1.0) -> Rule:
-    """Any boolean expression as a rule, nulls in ``column`` left out."""
-    return Rule(kind, column, test, mostly)
-
-
 def company_rules() -> list[Rule]:
     """Rules for flat company rows: one e-mail and one phone per row."""
+    # Bounds, sets and patterns of the rules.
     return [
         exists("legal_name"),
         not_null("legal_name", 0.99),
         length_between("legal_name", 2, 200),
         in_set("company_type", COMPANY_TYPES),
         in_set("country", ["TR", "US", "GB", "DE", "FR"], 0.95),
-        matches("city", r"[A-ZÇĞİÖŞÜa-zçğıöşü\s\-]+$", 0.95),
-        matches("email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", 0.98),
-        matches("phone", r"\+?[0-9\s\-\(\)]+$", 0.95),
+        matches("city", r"^[A-ZÇĞİÖŞÜa-zçğıöşü\s\-]+$", 0.95),
+        matches("email", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", 0.98),
+        matches("phone", r"^\+?[0-9\s\-\(\)]+$", 0.95),
         length_between("phone", 10, 20),
-        matches("website_url", r"https?://[a-zA-Z0-9\-\.]+\.[a-zA-Z]{2,}", 0.95),
+        matches("website_url", r"^https?://[a-zA-Z0-9\-\.]+\.[a-zA-Z]{2,}", 0.95),
         between("website_status_code", 200, 599, 0.90),
         between("founding_year", 1900, 2024, 0.95),
         in_set(
@@ -89,7 +85,7 @@ def company_rules() -> list[Rule]:
         unique("company_id"),
         between("confidence_score", 0.0, 1.0),
         not_matches("legal_name", r"\d{11}"),
-        not_matches("email", r"[a-z]+\.[a-z]+@", 0.95),
+        not_matches("email", r"^[a-z]+\.[a-z]+@", 0.95),
     ]
 
 
@@ -110,8 +106,8 @@ def construction_rules() -> list[Rule]:
     return [
         not_null("legal_name"),
         between("confidence_score", 0.0, 1.0),
-        matches("email", r"[^@\s]+@[^@\s]+\.[^@\s]+$"),
-        matches("website_url", r"https?://\S+$"),
+        matches("email", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"),
+        matches("website_url", r"^https?://\S+$"),
     ]
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from firmaforge.functions import similarity as sim
 from firmaforge.functions import text
 from firmaforge.operators.components import connected_components
-from firmaforge.operators.near_equal import near_equal_keys
+from firmaforge.operators.near_equal import near_equal_keys, whole_key
 from firmaforge.operators.ranking import top_rows
 from firmaforge.session import cut
 
@@ -160,7 +160,7 @@ def profiles(profiled: DataFrame) -> DataFrame:
 def _prepared(feats: DataFrame, compat: bool) -> tuple[DataFrame, DataFrame]:
     """Records with their profile, written once since several joins read them, and profiles."""
     profiled = cut(with_profile(feats, compat).drop("keys"))
-    return profiled, profiles(profiled)
+    return profiled, cut(profiles(profiled))
 
 
 # --- scores --------------------------------------------------------------------------------
@@ -225,7 +225,7 @@ def _bag(name: Column) -> Column:
     """Characters of an ASCII text as integers, numbered by occurrence: the size of the
     intersection of two bags is an upper bound of the common subsequence."""
     codes = F.sort_array(F.transform(F.filter(F.split(name, ""), lambda x: x != ""), F.ascii))
-    return F.transform(codes, lambda ch, i: ch * 4096 + i - F.array_position(codes, ch).cast("int"))
+    return F.transform(codes, lambda ch, i: F.shiftleft(ch.cast("long"), 32) + i - F.array_position(codes, ch))
 
 
 def _parts(flags: dict[str, Column], name: Column, address: Column) -> dict[str, Column]:
@@ -272,27 +272,22 @@ def _candidates(prof: DataFrame, rules: list[tuple[str, ...]], at: int, cfg: Mat
         once.append(c("a._host") == _smallest_shared("hosts"))
     if "legal_name" in rule:
         # Full marks for both texts. Those are equal texts, or long ones a few letters apart
-        # (99.5 % rounds up), which share one of the piece keys.
+        # (99.5 % rounds up), which share one of the keys.
         base = base.filter((c("address") != "") & c("has_name"))
-        base = base.withColumn("_keys", near_equal_keys(c("name"), c("address"))).withColumn(
-            "_whole", c("_keys.whole")
+        base = base.withColumn("_whole", whole_key(c("name"), c("address"))).withColumn(
+            "_piece", F.explode(near_equal_keys(c("name"), c("address")))
         )
-        left, right = (
-            base.withColumn("_piece", F.explode(f"_keys.{side}"))
-            .withColumn("_k", F.xxhash64(*key, "_piece"))
-            .drop("_keys")
-            for side in ("left", "right")
-        )
-        # Equal texts share every piece; they meet by the key of equality alone.
+        key = [*key, c("_piece")]
+        # Equal texts share every key; they meet by the key of equality alone.
         equal_texts = (c("a.name") == c("b.name")) & (c("a.address") == c("b.address"))
         once.append(~equal_texts | (c("a._piece") == c("a._whole")))
-        on = (c("a._k") == c("b._k")) & (c("a._piece") == c("b._piece")) & (c("a.id") < c("b.id"))
-    else:
-        left, right = _tiled(base.withColumn("_k", F.xxhash64(*key)), cfg.slice_rows)
-        on = F.lit(True)
-        for part in ("_k", "_i", "_j"):
-            on = on & (c(f"a.{part}") == c(f"b.{part}"))
-        once.append((c("a._i") < c("a._j")) | (c("a.id") < c("b.id")))
+    left, right = _tiled(base.withColumn("_k", F.xxhash64(*key)), cfg.slice_rows)
+    on = F.lit(True)
+    for part in ("_k", "_i", "_j"):
+        on = on & (c(f"a.{part}") == c(f"b.{part}"))
+    once.append((c("a._i") < c("a._j")) | (c("a.id") < c("b.id")))
+    if "legal_name" in rule:
+        once.append(c("a._piece") == c("b._piece"))
     equal = _equal_flags()
     for earlier in rules[:at]:
         found = F.lit(True)
@@ -311,7 +306,7 @@ def _candidates(prof: DataFrame, rules: list[tuple[str, ...]], at: int, cfg: Mat
     if "legal_name" in rule:
         # Long texts that differ a little may share several pieces. Pairs are made distinct as
         # bare ids, which few are left of, and get their values back afterwards.
-        ids = pairs.select(c("a.id").alias("_a"), c("b.id").alias("_b")).distinct()
+        ids = pairs.select(F.least("a.id", "b.id").alias("_a"), F.greatest("a.id", "b.id").alias("_b")).distinct()
         one, two = (
             prof.select(c("id").alias(f"_{s}"), F.struct(*fields).alias(s)) for s in "ab"
         )
@@ -462,7 +457,10 @@ def merge_groups(feats: DataFrame, cfg: MatchConfig = MatchConfig(), compat: boo
     exact threshold are looked for, which the stricter candidate rules make cheap.
     """
     profiled, prof = _prepared(feats, compat)
-    edges = profile_matches(prof, cfg, threshold=cfg.exact)
+    return _groups(profiled, prof, profile_matches(prof, cfg, threshold=cfg.exact), cfg)
+
+
+def _groups(profiled: DataFrame, prof: DataFrame, edges: DataFrame, cfg: MatchConfig) -> DataFrame:
     parts = connected_components(edges, "company_a_id", "company_b_id")
     alone = _weighted(cfg.weights, _self_parts()) >= cfg.exact
     grouped = (
@@ -488,12 +486,13 @@ def _text(name: str) -> Column:
 def running_mean(values: DataFrame, group: str, order: str, value: str, spread: int = 16) -> DataFrame:
     """The value left after averaging a group one record at a time, in order.
 
-    A record's weight halves with every record after it, so the last 64 decide the result to
-    the last bit of a double; they are taken per slice of the group first and then overall.
+    A record's weight halves with every record after it. The smallest half that a double holds
+    is 2^-1074, so earlier records than the last 1,100 weigh exactly nothing; the last ones
+    are taken per slice of the group first and then overall.
     """
     from pyspark.sql import Window
 
-    keep = 64
+    keep = 1100
     slice_ = F.pmod(F.xxhash64(order), F.lit(spread))
     per_slice = Window.partitionBy(group, "_s").orderBy(F.desc(order))
     overall = Window.partitionBy(group).orderBy(F.desc(order))
@@ -627,11 +626,11 @@ def merge(companies: DataFrame, groups: DataFrame) -> DataFrame:
 
 def merged_provenance(companies: DataFrame, groups: DataFrame) -> DataFrame:
     """All provenance entries by the id of the record that now stands for them."""
-    return (
-        companies.join(groups, "id", "left")
-        .select(F.coalesce("component", "id").alias("id"), F.explode("provenance").alias("_p"))
-        .select("id", "_p.*")
-    )
+    return _provenance_rows(companies.join(groups, "id", "left"), F.coalesce("component", "id"))
+
+
+def _provenance_rows(companies: DataFrame, owner: Column) -> DataFrame:
+    return companies.select(owner.alias("id"), F.explode("provenance").alias("_p")).select("id", "_p.*")
 
 
 def aliases(companies: DataFrame, groups: DataFrame) -> DataFrame:
@@ -654,16 +653,24 @@ class Resolution:
     companies: DataFrame
     matches: DataFrame
     groups: DataFrame | None
+    provenance: DataFrame  # one row for each entry of every record, by the id that stands for it
 
 
 def resolve(
     companies: DataFrame, cfg: MatchConfig = MatchConfig(), auto_merge: bool = True, compat: bool = False
 ) -> Resolution:
     """Merged groups and untouched records, the match list, and who was merged with whom."""
-    feats = features(companies)
-    matches = find_matches(feats, cfg, compat)
+    profiled, prof = _prepared(features(companies), compat)
+    # Scored once: the edges of the groups are the matches at or above the exact threshold.
+    scored = cut(profile_matches(prof, cfg))
+    matches = scored.drop("copies_a", "copies_b").unionByName(copy_matches(profiled, prof, cfg))
     if not auto_merge:
-        return Resolution(companies, matches, None)
-    groups = cut(merge_groups(feats, cfg, compat))
+        return Resolution(companies, matches, None, _provenance_rows(companies, F.col("id")))
+    groups = cut(_groups(profiled, prof, scored.filter(F.col("match_score") >= cfg.exact), cfg))
+    # Entries are rows of their own for all records, so the column is null in all of them.
+    nothing = F.lit(None).cast(companies.schema["provenance"].dataType)
     untouched = companies.join(groups.select("id"), "id", "left_anti").select(*companies.columns)
-    return Resolution(merge(companies, groups).unionByName(untouched), matches, groups)
+    untouched = untouched.withColumn("provenance", nothing)
+    return Resolution(
+        merge(companies, groups).unionByName(untouched), matches, groups, merged_provenance(companies, groups)
+    )

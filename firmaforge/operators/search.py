@@ -1,8 +1,9 @@
 """Ranked text search over term postings: multi-field, all-terms, fuzzy, prefix.
 
-An index is two DataFrames. They may be lazy, in which case the term filter of a query is
-applied right after tokenising and only matching terms are shuffled, or read back from
-storage, where postings are sorted by term and most row groups are skipped.
+An index is three stored tables: postings sorted by term, so that most row groups are
+skipped, a vocabulary with the document frequency of each term of each field, and statistics
+of one row per field. A query finds its terms in the vocabulary first, where each distinct
+term is compared once, and then reads the postings of those terms only.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
-from math import log
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from firmaforge.functions.text import ACCENTED, PLAIN, fold_latin, token_count, tokens
 from firmaforge.operators.facets import facets
 from firmaforge.operators.filters import compile_filters
-from firmaforge.operators.ranking import ordered_by
+from firmaforge.operators.ranking import ordered_by, top_rows
+from firmaforge.session import cut, new_shared_path
 
 K1, B = 1.2, 0.75
 
@@ -29,9 +30,14 @@ ALL_TERMS = {"legal_name": 3.0, "trade_name": 2.0, "keywords": 1.0, "city": 1.0,
 SERVICE = {"legal_name": 2.0, "trade_name": 1.0, "keywords": 1.0, "city": 1.0}
 
 
+# Terms of one query that go into the scan of the postings as literals; more are joined.
+LITERAL_TERMS = 500
+
+
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame  # id, field, term, tf, length
+    vocabulary: DataFrame  # field, term, df
     stats: DataFrame  # field, docs, mean_length: one row per field
 
 
@@ -44,8 +50,12 @@ def _field_tokens(df: DataFrame, field: str, stop_words: list[str] | None) -> Co
     return F.coalesce(tokens(_field_text(df, field), stop_words), F.array().cast("array<string>"))
 
 
-def build_index(df: DataFrame, id_col: str, fields: Iterable[str], stop_words: list[str] | None = None) -> Index:
+def build_index(
+    df: DataFrame, id_col: str, fields: Iterable[str], stop_words: list[str] | None = None, path: str | None = None
+) -> Index:
+    """Write an index to ``path`` (a new folder in the shared one by default) and read it."""
     fields = list(fields)
+    path = path or new_shared_path(df.sparkSession, "index")
 
     def per_field(value) -> DataFrame:
         lists = F.array(*[F.struct(F.lit(f).alias("field"), value(f).alias("value")) for f in fields])
@@ -66,18 +76,18 @@ def build_index(df: DataFrame, id_col: str, fields: Iterable[str], stop_words: l
         .groupBy("field")
         .agg(F.count("*").alias("docs"), F.avg("value").alias("mean_length"))
     )
-    return Index(postings, stats)
-
-
-def write_index(index: Index, path: str) -> None:
-    """Store an index sorted by term; a term that very many documents share spans files."""
-    by_term = index.postings.repartitionByRange("term", "id").sortWithinPartitions("term")
+    # A term that very many documents share spans files.
+    by_term = postings.repartitionByRange("term", "id").sortWithinPartitions("term")
     by_term.write.mode("overwrite").parquet(f"{path}/postings")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    written = df.sparkSession.read.parquet(f"{path}/postings")
+    vocabulary = written.groupBy("field", "term").agg(F.count("*").alias("df"))
+    vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
+    return read_index(df.sparkSession, path)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+    return Index(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "vocabulary", "stats")])
 
 
 def query_terms(query: str, stop_words: list[str] | None = None) -> list[str]:
@@ -118,22 +128,19 @@ def edit_distance(term: Column, wanted: str, limit: int) -> Column:
     return F.when(near, best)
 
 
-def _matching(index: Index, terms: list[str], fields: Iterable[str], fuzzy: bool) -> DataFrame:
-    """Postings of the terms asked for: id, field, term, tf, length, wanted, edits."""
-    fields = list(fields)
-    kept = index.postings.filter(F.col("field").isin(fields))
+def matching_terms(index: Index, terms: list[str], fields: Iterable[str], fuzzy: bool) -> DataFrame:
+    """Entries of the vocabulary near the terms asked for: field, term, df, wanted, edits."""
+    kept = index.vocabulary.filter(F.col("field").isin(list(fields)))
     if not fuzzy:
         hit = kept.filter(F.col("term").isin(terms))
         return hit.withColumn("wanted", F.col("term")).withColumn("edits", F.lit(0))
-    # One struct per query term; a posting near two of them counts for both.
+    # One struct per query term; an entry near two of them counts for both.
     options = []
     for wanted in terms:
         edits = edit_distance(F.col("term"), wanted, allowed_edits(wanted))
         options.append(F.when(edits.isNotNull(), F.struct(F.lit(wanted).alias("wanted"), edits.alias("edits"))))
     any_near = reduce(lambda a, b: a | b, [o.isNotNull() for o in options])
-    return kept.filter(any_near).select(
-        "id", "field", "term", "tf", "length", F.inline(F.array_compact(F.array(*options)))
-    )
+    return kept.filter(any_near).select("field", "term", "df", F.inline(F.array_compact(F.array(*options))))
 
 
 def field_scores(index: Index, terms: list[str], fields: dict[str, float], fuzzy: bool) -> DataFrame:
@@ -141,11 +148,17 @@ def field_scores(index: Index, terms: list[str], fields: dict[str, float], fuzzy
 
     A term found through edits keeps the share of its letters that agree.
     """
-    hits = _matching(index, terms, fields, fuzzy)
-    per_term = hits.select("id", "field", "term").distinct() if fuzzy and len(terms) > 1 else hits
-    frequency = per_term.groupBy("field", "term").agg(F.count("*").alias("df"))
-    # Statistics have one row per searched field; frequencies one per term that was hit.
-    known = hits.join(frequency, ["field", "term"]).join(F.broadcast(index.stats), "field")
+    near = matching_terms(index, terms, fields, fuzzy)
+    postings = index.postings.filter(F.col("field").isin(list(fields)))
+    if fuzzy:
+        few = near.limit(LITERAL_TERMS + 1).collect()
+        if len(few) <= LITERAL_TERMS:
+            near = near.sparkSession.createDataFrame(few, near.schema)
+            postings = postings.filter(F.col("term").isin(sorted({r["term"] for r in few})))
+    else:
+        postings = postings.filter(F.col("term").isin(terms))
+    # Statistics have one row per searched field.
+    known = postings.join(near, ["field", "term"]).join(F.broadcast(index.stats), "field")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     kept = 1 - F.col("edits") / F.length("wanted")
@@ -156,6 +169,23 @@ def field_scores(index: Index, terms: list[str], fields: dict[str, float], fuzzy
     )
 
 
+def suggestions(index: Index, query: str, fields: dict[str, float], size: int = 5) -> DataFrame:
+    """wanted, suggestion, edits, df: terms near those of the query that no document holds."""
+    terms = query_terms(query)
+    near = (
+        matching_terms(index, terms, fields, True)
+        .groupBy("wanted", "term")
+        .agg(F.min("edits").alias("edits"), F.sum("df").alias("df"))
+    )
+    known = near.filter("edits = 0").select("wanted")
+    return top_rows(
+        near.join(known, "wanted", "left_anti").withColumnRenamed("term", "suggestion"),
+        ["wanted"],
+        [F.asc("edits"), F.desc("df"), F.asc("suggestion")],
+        size,
+    ).select("wanted", "suggestion", "edits", "df")
+
+
 def _scored_ids(index: Index, query: str, fields: dict[str, float], mode: str, fuzzy: bool) -> DataFrame:
     """id, score, terms. ``best`` takes the best field, ``all`` needs every term somewhere."""
     terms = query_terms(query)
@@ -196,6 +226,19 @@ def highlight(text: Column, terms: Column) -> Column:
     return F.when(F.size(terms) > 0, F.regexp_replace(text, full, F.lit("<em>$1</em>"))).otherwise(text)
 
 
+def marked_field(df: DataFrame, field: str, terms: Column) -> Column:
+    """The highlighted copy of a text or of each item of an array."""
+    if dict(df.dtypes)[field].startswith("array"):
+        return F.transform(field, lambda x: highlight(x, terms))
+    return highlight(F.col(field), terms)
+
+
+def _check_size(size: int) -> None:
+    """Pages of hits are small, which is what lets them be broadcast."""
+    if not 1 <= size <= 100:
+        raise ValueError("a page holds 1 to 100 hits")
+
+
 def search(
     df: DataFrame,
     query: str | None,
@@ -216,16 +259,25 @@ def search(
     return kept.join(scored, id_col)
 
 
-def basic_search(df: DataFrame, query: str, size: int = 10, index: Index | None = None, id_col: str = "company_id", fields: dict[str, float] | None = None, marked: tuple[str, ...] = ("legal_name", "trade_name")) -> DataFrame:
+def basic_search(
+    df: DataFrame,
+    query: str,
+    size: int = 10,
+    index: Index | None = None,
+    id_col: str = "company_id",
+    fields: dict[str, float] | None = None,
+    marked: tuple[str, ...] = ("legal_name", "trade_name", "keywords"),
+) -> DataFrame:
     """Best hits over all text fields, with highlighted copies of some of them.
 
     The best ids are found first; whole documents are read for those only.
     """
+    _check_size(size)
     fields = fields or GENERAL
     index = index or build_index(df, id_col, fields)
     top = _scored_ids(index, query, fields, "best", True).orderBy(F.desc("score"), F.asc("id")).limit(size)
     hits = df.join(F.broadcast(top.withColumnRenamed("id", id_col)), id_col)  # size rows at most
-    marks = {f"{f}_marked": highlight(F.col(f), F.col("terms")) for f in marked if f in df.columns}
+    marks = {f"{f}_marked": marked_field(df, f, F.col("terms")) for f in marked if f in df.columns}
     return hits.withColumns(marks).drop("terms").orderBy(F.desc("score"), F.asc(id_col))
 
 
@@ -251,6 +303,7 @@ class Answer:
     max_score: DataFrame
     hits: DataFrame
     aggregations: DataFrame
+    suggestions: DataFrame | None
 
 
 def service_search(
@@ -264,14 +317,24 @@ def service_search(
     id_col: str = "company_id",
     index: Index | None = None,
 ) -> Answer:
-    """One page of hits with the facets and the total of the whole hit set."""
-    hits = search(df, query, id_col, SERVICE, index, filters)
+    """One page of hits with the facets and the total of the whole hit set.
+
+    The hits are found once and written; page, total, best score and facets read them.
+    """
+    _check_size(size)
+    if number < 1:
+        raise ValueError("page numbers start at 1")
+    if query and index is None:
+        index = build_index(df, id_col, SERVICE)
+    hits = cut(search(df, query, id_col, SERVICE, index, filters))
     order = [F.desc("score")] if sort_by == "relevance" else ordered_by(df, sort_by, descending)
-    if number < 1 or not 1 <= size <= 100:
-        raise ValueError("page number starts at 1 and page size is 1 to 100")
     paged = hits.orderBy(*order, F.asc(id_col)).offset((number - 1) * size).limit(size)
     return Answer(
-        hits.agg(F.count("*").alias("total")), hits.agg(F.max("score").alias("max_score")), paged, facets(hits)
+        hits.agg(F.count("*").alias("total")),
+        hits.agg(F.max("score").alias("max_score")),
+        paged,
+        facets(hits),
+        suggestions(index, query, SERVICE) if query and index else None,
     )
 
 
@@ -285,6 +348,7 @@ def competitors(
     index: Index | None = None,
 ) -> DataFrame:
     """Companies with a similar name, the same industry (weight 2) or city (1.5)."""
+    _check_size(size)
     index = index or build_index(df, id_col, ["legal_name"])
     clauses = [
         _scored_ids(index, name, {"legal_name": 1.0}, "best", True).select(F.col("id").alias(id_col), "score")
@@ -329,8 +393,3 @@ def autocomplete(
     found = F.least(*[edits(n) for n in name_cols]) if len(name_cols) > 1 else edits(name_cols[0])
     hits = df.select(*shown, found.alias("edits")).filter("edits IS NOT NULL")
     return hits.orderBy("edits", *shown).limit(size)
-
-
-def idf(docs: int, with_term: int) -> float:
-    """Rarity of a term, for explaining a score."""
-    return log(1 + (docs - with_term + 0.5) / (with_term + 0.5))

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from firmaforge.operators.compliance import compliance_report
 from firmaforge.operators.quality import record_counts, record_issues
 from firmaforge.operators.resolve import MatchConfig, resolve
-from firmaforge.sources.records import enrich_from_registry, normalize_records, with_default_country
+from firmaforge.sources.records import (
+    enrich_from_registry,
+    merge_sources,
+    normalize_records,
+    with_default_country,
+)
 from firmaforge.sources.sinks import search_documents
 from firmaforge.session import cut
 
@@ -29,13 +34,16 @@ def run(
     registry: DataFrame,
     suppressed: DataFrame | None = None,
     cfg: MatchConfig = MatchConfig(),
+    places: DataFrame | None = None,
 ) -> Daily:
     """All steps as one chain; checks report beside it and drop nothing.
 
+    ``places`` are joined to the records of the same id first.
+
     The normalised records are written down once: matching, merging and checking all read
     them, and none should parse and clean the sources again.
     """
-    normal = cut(normalize_records(records))
+    normal = cut(normalize_records(records if places is None else merge_sources(records, places)))
     flat = normal.select(
         F.col("identity.legal_name").alias("legal_name"), F.col("web_presence.website_url").alias("website_url")
     )
@@ -49,5 +57,5 @@ def run(
         documents,
         resolved.matches,
         record_counts(record_issues(flat)),
-        compliance_report(documents, suppressed, ["legal_name", "trade_name"]),
+        compliance_report(documents, suppressed),
     )

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmaforge.session import cut
+
 # Industries with the keywords that reveal them, first hit wins.
 INDUSTRIES = {
     "Technology": ["yazılım", "software", "bilişim", "teknoloji", "tech"],
@@ -226,7 +228,11 @@ METRIC_COLUMNS = {
 
 
 def metrics(seg: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
-    """Segment, city and industry metrics in one layout, ordered for reading."""
+    """Segment, city and industry metrics in one layout, ordered for reading.
+
+    The classified companies are written first: three groupings read them.
+    """
+    seg = cut(seg)
     c = F.col
     at = F.current_timestamp() if as_of is None else F.lit(as_of)
 

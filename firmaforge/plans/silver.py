@@ -86,14 +86,15 @@ def _items(kind: str, array: Column) -> Column:
     return F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("item")))
 
 
-def unify(records: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
-    """One row per (name, city, legal form) with merged attributes.
+def company_items(records: DataFrame) -> DataFrame:
+    """Distinct sites, phones, mails, profiles, keywords and sources of each (name, city, legal
+    form), one row per item: the form to use where a group may have more items than fit a row."""
+    rows = _distinct_items(records).filter("_i.kind <> 'row'")
+    return rows.select(*GROUP, F.col("_i.kind").alias("kind"), F.col("_i.item").alias("item"))
 
-    Two aggregations. The first is keyed by group *and* item, so the repeats inside a very
-    large group vanish in many tasks before anything is collected; scalars ride along on one
-    extra row per record and are reduced map-side. The second gathers distinct items only,
-    which are what the result row holds anyway.
-    """
+
+def _distinct_items(records: DataFrame) -> DataFrame:
+    """Groups by item with partial sums of the scalars, which ride along on items of kind row."""
     site = F.col("website")
     keyed = records.filter(F.col("legal_name").isNotNull()).select(
         F.upper(F.trim("legal_name")).alias("legal_name"),
@@ -120,7 +121,7 @@ def unify(records: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
     def of_row(name: str) -> Column:
         return F.when(row, F.col(name))
 
-    distinct = keyed.groupBy(*GROUP, "_i").agg(
+    return keyed.groupBy(*GROUP, "_i").agg(
         F.max(of_row("address")).alias("address"),
         F.sum(of_row("rating")).alias("rating_sum"),
         F.count(of_row("rating")).alias("rating_count"),
@@ -129,6 +130,17 @@ def unify(records: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
         F.max(of_row("processed_at")).alias("last_updated"),
     )
 
+
+def unify(records: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
+    """One row per (name, city, legal form) with merged attributes.
+
+    Two aggregations. The first is keyed by group *and* item, so the repeats inside a very
+    large group vanish in many tasks before anything is collected; scalars ride along on one
+    extra row per record and are reduced map-side. The second gathers distinct items only,
+    which are what the result row holds anyway; :func:`company_items` gives them as rows.
+    """
+    distinct = _distinct_items(records)
+
     def gathered(kind: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("_i.kind") == kind, F.col("_i.item"))))
 

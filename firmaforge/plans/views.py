@@ -68,10 +68,15 @@ def raw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def host_no(key: F.Column) -> F.Column:
+    """Thirty customers share a host, so hosts grow with the customers."""
+    return F.floor(key / 30)
+
+
 def raw_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The untyped half of the customers has a place with rating and reviews."""
     key = F.col("c_custkey")
-    site = F.concat(F.lit("https://www.c"), key % 50, F.lit(".example.com/"), key)
+    site = F.concat(F.lit("https://www.c"), host_no(key), F.lit(".example.com/"), key)
     payload = F.struct(
         F.col("c_name").alias("name"),
         F.concat(F.lit("Street "), key, F.lit(", "), F.col("city"), F.lit(", TR")).alias("formatted_address"),
@@ -141,8 +146,8 @@ def company_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     days = (key % 120).cast("int")
     industry_words = F.array(*[F.array(*[F.lit(t) for t in terms]) for terms in INDUSTRIES.values()])
-    mailbox = F.concat(F.lit("info@c"), key % 50, F.lit(".example.com"))
-    person = F.concat(F.lit("ada.byron@c"), key % 50, F.lit(".example.com"))
+    mailbox = F.concat(F.lit("info@c"), host_no(key), F.lit(".example.com"))
+    person = F.concat(F.lit("ada.byron@c"), host_no(key), F.lit(".example.com"))
     no_texts = F.array().cast("array<string>")
     return (
         customers(spark, sf_dir)
@@ -154,7 +159,7 @@ def company_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(key % 5 == 0, F.concat(F.lit("Trade "), F.col("city"))).alias("trade_name"),
             "city",
             segment_company_type(F.col("c_mktsegment")).alias("company_type"),
-            F.when(key % 7 != 0, F.concat(F.lit("c"), key % 50, F.lit(".example.com"))).alias("website_domain"),
+            F.when(key % 7 != 0, F.concat(F.lit("c"), host_no(key), F.lit(".example.com"))).alias("website_domain"),
             balance_rating(F.col("c_acctbal")).cast("double").alias("rating"),
             F.col("reviews").alias("total_reviews"),
             F.when(key % 3 == 0, no_texts)

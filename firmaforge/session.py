@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,11 +31,18 @@ def build_session(app: str = "firmaforge", master: str | None = None, **extra: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The reliable folder that the session names, or a private one where none is set."""
+    """The reliable folder that the session names in ``spark.checkpoint.dir``.
+
+    Where none is set, a private folder that goes when the program ends, but only if driver
+    and executors are one process; on a cluster other machines would not see it.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="firmaforge-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current
@@ -47,7 +56,28 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = new_shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _CUTS[id(out)] = (out, path)
+    return out
+
+
+# The tables of this program's cuts, so that they can be deleted.
+_CUTS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete tables of :func:`cut` that no plan reads any more."""
+    for df in cuts:
+        _, path = _CUTS.pop(id(df), (None, None))
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+
+def discard_all() -> None:
+    """Delete all tables of :func:`cut`: call it when the results are written."""
+    discard(*[df for df, _ in list(_CUTS.values())])
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:

@@ -84,29 +84,41 @@ def update_counts(updates: DataFrame, id_col: str = "id") -> DataFrame:
     )
 
 
-def history(versions: DataFrame, key: str, updated: str, period: str = "month") -> DataFrame:
+def history(
+    versions: DataFrame, key: str, updated: str, period: str = "month", ties: tuple[str, ...] = ()
+) -> DataFrame:
     """Add valid_from, valid_to and is_current to the versions of each key.
 
+    Versions without a time come first and end when the first timed one begins; versions
+    without a key are versions of one nameless thing; ``ties`` orders equal times.
+
     The successor of a version is looked up within its period first and among the first
     versions of the periods otherwise, so a key with a very long history is sorted in parts,
     one per period, and not in one task.
     """
-    within = Window.partitionBy(key, "_period").orderBy(updated)
-    periods = Window.partitionBy(key).orderBy("_period")
+    within = Window.partitionBy(key, "_period").orderBy(updated, *ties)
     parted = versions.withColumn("_period", F.date_trunc(period, F.col(updated)))
-    inside = parted.withColumn("_next", F.lead(updated).over(within))
+    inside = parted.withColumns(
+        {"_next": F.lead(updated).over(within), "_follows": F.lead(F.lit(True)).over(within)}
+    )
     starts = (
-        parted.groupBy(key, "_period")
+        parted.groupBy(F.col(key).alias("_key"), F.col("_period").alias("_own"))
         .agg(F.min(updated).alias("_start"))
-        .withColumn("_later", F.lead("_start").over(periods))
-        .drop("_start")
+        .withColumnRenamed("_own", "_period")
+        .withColumns(
+            {
+                "_later": F.lead("_start").over(Window.partitionBy("_key").orderBy("_period")),
+                "_more": F.lead(F.lit(True)).over(Window.partitionBy("_key").orderBy("_period")),
+            }
+        )
+        .select("_key", F.col("_period").alias("_own"), "_later", "_more")
     )
-    end = F.coalesce("_next", "_later")
-    return inside.join(starts, [key, "_period"]).select(
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_period").eqNullSafe(F.col("_own"))
+    return inside.join(starts, same).select(
         *versions.columns,
         F.col(updated).alias("valid_from"),
-        end.alias("valid_to"),
-        end.isNull().alias("is_current"),
+        F.coalesce("_next", "_later").alias("valid_to"),
+        (F.col("_follows").isNull() & F.col("_more").isNull()).alias("is_current"),
     )
 
 
@@ -138,7 +150,10 @@ def export_rows(
     df: DataFrame, filters: dict[str, Any] | None = None, fields: list[str] | None = None, limit: int = 10_000
 ) -> DataFrame:
     """Filtered rows with the fields asked for; a field that does not exist is null."""
-    kept = df.filter(compile_filters(df, filters)).limit(limit)
+    # Which rows an export holds must not depend on the run: the first ones by all columns
+    # that can be ordered.
+    order = [n for n, t in df.dtypes if "map<" not in t]
+    kept = df.filter(compile_filters(df, filters)).orderBy(*[F.col(f"`{n}`") for n in order]).limit(limit)
     if not fields:
         return kept
     return kept.select(*[F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields])

@@ -43,40 +43,65 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-class VersionedTable:
-    """A table rewritten per micro-batch into a folder of its own.
+class BucketedTable:
+    """A keyed table of which a micro-batch rewrites only the buckets that it touches.
 
-    A batch that is repeated after a failure writes the same folder again from the same
-    predecessor, so the result is the same.
+    A bucket is a hash of the key. ``heads`` of a batch names the version of each bucket, one
+    row each. A batch that is repeated after a failure writes the same folders again from the
+    heads of its predecessor, so the result is the same; what neither the heads of a batch nor
+    of its predecessor name is deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema, keys: list[str], buckets: int = 64):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
 
-    def _folder(self, batch: int) -> str:
-        return f"{self.path}/v{batch:010d}"
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def before(self, batch: int) -> DataFrame:
-        if batch == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(batch - 1))
+    def heads(self, batch: int) -> dict[int, int]:
+        """Version by bucket: at most ``buckets`` rows."""
+        if batch < 0:
+            return {}
+        rows = self.spark.read.schema("bucket int, version long").parquet(f"{self.path}/heads/{batch:010d}").collect()
+        return {r["bucket"]: r["version"] for r in rows}
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(self._folder(batch))
+    def _rows(self, heads: dict[int, int]) -> DataFrame:
+        folders = [f"{self.path}/v{v:010d}/_bucket={b}" for b, v in sorted(heads.items())]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*folders)
+
+    def merge(self, incoming: DataFrame, order: list[str], batch: int) -> None:
+        """Keep the latest row per key; an older row that arrives late changes nothing."""
+        incoming = incoming.persist()
+        try:
+            touched = {r["b"] for r in incoming.select(self._bucket().alias("b")).distinct().collect()}
+            before = self.heads(batch - 1)
+            stored = self._rows({b: v for b, v in before.items() if b in touched})
+            merged = latest_per_key(stored.unionByName(incoming), self.keys, order)
+            out = merged.withColumn("_bucket", self._bucket())
+            out.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/v{batch:010d}")
+        finally:
+            incoming.unpersist()
+        after = before | {b: batch for b in touched}
+        heads = self.spark.createDataFrame(sorted(after.items()), "bucket int, version long").coalesce(1)
+        heads.write.mode("overwrite").parquet(f"{self.path}/heads/{batch:010d}")
+        for b, v in self.heads(batch - 2).items() if batch > 1 else ():
+            if before.get(b) != v:
+                self._delete(f"{self.path}/v{v:010d}/_bucket={b}")
+
+    def _delete(self, folder: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
     def read(self, last_batch: int) -> DataFrame:
-        return self.before(last_batch + 1)
-
-
-def upsert_latest(stream: DataFrame, table: VersionedTable, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
-    """Keep the latest row per key; an older row that arrives late changes nothing."""
+        return self._rows(self.heads(last_batch))
 
-    def step(batch: DataFrame, number: int) -> None:
-        both = table.before(number).unionByName(batch)
-        table.write(latest_per_key(both, keys, order), number)
 
+def upsert_latest(stream: DataFrame, table: BucketedTable, order: list[str], checkpoint: str) -> StreamingQuery:
+    """Merge each micro-batch into the table."""
     return (
-        stream.writeStream.foreachBatch(step)
+        stream.writeStream.foreachBatch(lambda batch, number: table.merge(batch, order, number))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -84,16 +109,24 @@ def upsert_latest(stream: DataFrame, table: VersionedTable, keys: list[str], ord
 
 
 def complete_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Rewrite a small result table (bounded by its keys) after every micro-batch."""
+    """Write a small result table (bounded by its keys) after every micro-batch.
+
+    Each batch has a folder of its own, so a reader never meets a table that is half written;
+    :func:`latest` reads the last one.
+    """
     return (
         stream.writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+        .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/{n:010d}"))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def latest(spark: SparkSession, path: str, last_batch: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/{last_batch:010d}")
+
+
 def run(query: StreamingQuery) -> int:
     """Wait for the stream to work off what is there; number of the last batch."""
     query.awaitTermination()

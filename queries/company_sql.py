@@ -21,11 +21,11 @@ company AS (
   SELECT md5(CAST(c_custkey AS VARCHAR)) AS company_id, c_custkey AS company_no, c_name AS legal_name,
     CASE WHEN c_custkey % 5 = 0 THEN 'Trade ' || n_name END AS trade_name, n_name AS city,
     {COMPANY_TYPE} AS company_type,
-    CASE WHEN c_custkey % 7 <> 0 THEN 'c' || (c_custkey % 50) || '.example.com' END AS website_domain,
+    CASE WHEN c_custkey % 7 <> 0 THEN 'c' || (c_custkey // 30) || '.example.com' END AS website_domain,
     {RATING} AS rating, reviews AS total_reviews,
     CASE c_custkey % 3 WHEN 0 THEN []::VARCHAR[]
-      WHEN 1 THEN ['info@c' || (c_custkey % 50) || '.example.com']
-      ELSE ['info@c' || (c_custkey % 50) || '.example.com', 'ada.byron@c' || (c_custkey % 50) || '.example.com'] END AS emails,
+      WHEN 1 THEN ['info@c' || (c_custkey // 30) || '.example.com']
+      ELSE ['info@c' || (c_custkey // 30) || '.example.com', 'ada.byron@c' || (c_custkey // 30) || '.example.com'] END AS emails,
     CASE WHEN c_custkey % 4 <> 0 THEN ['0212' || lpad(CAST(c_custkey % 10000000 AS VARCHAR), 7, '0')] END AS phones,
     CASE WHEN c_custkey % 6 <> 0 THEN 'Cad. ' || c_custkey || ' ' || n_name END AS address,
     CASE c_custkey % 11 {_WORDS} END AS keywords,
@@ -77,7 +77,7 @@ unioned AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL
   SELECT c_name, n_name, NULL, NULL,
-    CASE WHEN c_custkey % 7 <> 0 THEN 'https://www.c' || (c_custkey % 50) || '.example.com/' || c_custkey END,
+    CASE WHEN c_custkey % 7 <> 0 THEN 'https://www.c' || (c_custkey // 30) || '.example.com/' || c_custkey END,
     ['0212 ' || lpad(CAST(c_custkey % 10000000 AS VARCHAR), 7, '0')],
     'Street ' || c_custkey || ', ' || n_name || ', TR', {RATING}, reviews, NULL, NULL, NULL, 'google_places'
   FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN rev ON o_custkey = c_custkey

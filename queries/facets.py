@@ -24,6 +24,9 @@ def enriched(spark, d):
                 "company_size": gold.company_size(c("company_type"), c("total_reviews")),
                 "engagement_level": gold.engagement_level(c("rating"), c("total_reviews")),
                 "engagement_score": gold.rounded(gold.engagement_score(c("rating"), c("total_reviews"))),
+                "social_links": F.when(
+                    c("company_no") % 4 == 1, F.create_map(F.lit("x"), F.concat(F.lit("https://x.com/"), c("company_no")))
+                ).when(c("company_no") % 4 == 2, F.create_map().cast("map<string,string>")),
             }
         )
         .withColumn("priority_tier", gold.priority_tier(c("company_size"), c("engagement_level"), c("website_domain")))
@@ -200,8 +203,9 @@ def missing_counts(spark, d):
 @query(
     "completeness",
     f"""WITH {COMPANY}, m AS (SELECT count(*) FILTER (len(coalesce(emails, [])) > 0) AS has_email, count(phones) AS has_phone,
-          count(website_domain) AS has_website, count(address) AS has_address FROM company)
-        UNPIVOT m ON has_email, has_phone, has_website, has_address INTO NAME flag VALUE count""",
+          count(website_domain) AS has_website, count(address) AS has_address,
+          count(*) FILTER (company_no % 4 = 1) AS has_social FROM company)
+        UNPIVOT m ON has_email, has_phone, has_website, has_address, has_social INTO NAME flag VALUE count""",
 )
 def completeness(spark, d):
     return f.dashboard(enriched(spark, d))["data_completeness"]
@@ -232,7 +236,36 @@ def histogram_day(spark, d):
     return f.day_histogram(views.table(spark, d, "events"), "ts").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query("cardinality")
+@query("cardinality", "SELECT true AS within_error FROM orders HAVING count(*) > 0")
 def cardinality(spark, d):
-    """Approximate count of customers that ordered."""
-    return f.cardinality(views.table(spark, d, "orders"), "o_custkey")
+    """Is the approximate count of customers that ordered within its stated error?"""
+    orders = views.table(spark, d, "orders")
+    exact = orders.agg(F.countDistinct("o_custkey").alias("exact"))
+    # Two rows of one value each.
+    both = f.cardinality(orders, "o_custkey", 0.02).withColumn("exact", F.lit(None).cast("long")).union(
+        exact.select(F.lit(None).cast("long"), "exact")
+    )
+    one = both.agg(F.max("distinct_count").alias("near"), F.max("exact").alias("exact"))
+    # Three standard errors.
+    return one.select((F.abs(F.col("near") - F.col("exact")) <= 0.06 * F.col("exact")).alias("within_error"))
+
+
+@query(
+    "dashboard",
+    f"""WITH {SEGMENTS}, cities AS (SELECT city, count(*) AS n FROM segments WHERE city IS NOT NULL GROUP BY city ORDER BY n DESC, city LIMIT 20),
+          inds AS (SELECT industry, count(*) AS n FROM segments WHERE industry IS NOT NULL GROUP BY industry ORDER BY n DESC, industry LIMIT 15)
+        SELECT 'total_companies' AS panel, 'total' AS key, count(DISTINCT company_id) AS count FROM segments
+        UNION ALL SELECT 'cities', city, n FROM cities
+        UNION ALL SELECT 'industries', industry, n FROM inds
+        UNION ALL SELECT 'priority_distribution', priority_tier, count(*) FROM segments GROUP BY priority_tier
+        UNION ALL SELECT 'rating_distribution', CAST(floor(rating / 0.5) * 0.5 AS VARCHAR), count(*) FROM segments WHERE rating IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'recent_activity', strftime(last_updated, '%Y-%m-%d'), count(*) FROM segments GROUP BY 2
+        UNION ALL SELECT 'data_completeness', 'has_email', count(*) FILTER (len(emails) > 0) FROM segments
+        UNION ALL SELECT 'data_completeness', 'has_phone', count(phones) FROM segments
+        UNION ALL SELECT 'data_completeness', 'has_website', count(website_domain) FROM segments
+        UNION ALL SELECT 'data_completeness', 'has_address', count(address) FROM segments
+        UNION ALL SELECT 'data_completeness', 'has_social', count(*) FILTER (company_no % 4 = 1) FROM segments""",
+)
+def dashboard(spark, d):
+    """All panels as rows: panel, key, count."""
+    return f.dashboard_rows(enriched(spark, d))

@@ -125,6 +125,26 @@ SELECT md5(concat_ws('|', legal_name, upper(coalesce(city, '')), coalesce(compan
 FROM grouped"""
 
 
+_ITEMS = " UNION ".join(
+    f"SELECT legal_name, city, company_type, '{kind}' AS kind, {item} AS item FROM keyed"
+    for kind, item in {
+        "website": "website", "phone": "unnest(phones)", "email": "unnest(emails)", "social": "social_links",
+        "keyword": "unnest(keywords)", "source": "source_type",
+    }.items()
+)
+
+
+@query(
+    "silver_items",
+    f"""WITH {SOURCES}, keyed AS (SELECT upper(trim(legal_name)) AS legal_name,
+          upper(left(trim(city), 1)) || lower(substr(trim(city), 2)) AS city, * EXCLUDE (legal_name, city) FROM unioned)
+        SELECT * FROM ({_ITEMS}) WHERE item IS NOT NULL""",
+)
+def silver_items(spark, d):
+    """What silver companies gather into arrays, one row per item."""
+    return silver.company_items(views.union_view(spark, d))
+
+
 @query("silver_unify", _UNIFY)
 def silver_unify(spark, d):
     return views.silver_view(spark, d).select(

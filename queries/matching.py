@@ -1,4 +1,4 @@
-"""Record matching over firm-like records read off the documents, which hold copies."""
+"""Record matching over firm-like records read off the pages, which hold copies."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from firmaforge import schemas
 from firmaforge.functions import text
+from firmaforge.functions.privacy import provenance
 from firmaforge.operators import resolve as r
 from firmaforge.plans import views
 from queries.registry import query
@@ -13,21 +14,22 @@ from queries.texts import _lcs_sql
 
 
 def flat_records(spark, d):
-    """Name, site, number and address out of the opening of every document."""
-    words = F.split(F.ltrim("text"), r"\s+")
-    docs = views.table(spark, d, "documents").withColumn("_w", words)
-    host = text.blank_to_null(F.regexp_replace(F.lower(F.element_at("_w", 1)), "[^a-z]", ""))
-    site = F.concat(host, F.lit(".example.com"))
-    number = F.concat(F.lit("0212 "), F.lpad((F.col("n_chars") % 10000000).cast("string"), 7, "0"))
-    return docs.select(
-        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"),
-        F.array_join(F.slice("_w", 1, 4), " ").alias("legal_name"),
-        F.col("lang").alias("city"),
-        F.concat(F.lit("https://www."), site, F.lit("/a")).alias("website_url"),
-        F.array(number).alias("phones"),
-        F.array_compact(F.array(F.concat(F.lit("INFO@"), site))).alias("emails"),
-        F.array_join(F.slice("_w", 5, 10), " ").alias("address"),
-        "source",
+    """Title, site and first boxed text of every page; its length makes a number."""
+    size = F.length("html")
+
+    def element(pattern: str):
+        return F.trim(F.regexp_replace(F.regexp_extract("html", pattern, 1), r"\s+", " "))
+
+    host = F.regexp_extract("url", r"^\w+://(?:www\.)?([^/?#]*)", 1)
+    return views.table(spark, d, "pages").select(
+        F.lpad(F.col("page_id").cast("string"), 12, "0").alias("id"),
+        element(r"<title>([^<]*)</title>").alias("legal_name"),
+        element(r'<html lang="(\w+)"').alias("city"),
+        F.col("url").alias("website_url"),
+        F.array(F.concat(F.lit("0212 "), F.lpad((size % 10000000).cast("string"), 7, "0"))).alias("phones"),
+        F.array_compact(F.array(F.concat(F.lit("INFO@"), host))).alias("emails"),
+        element(r'<div class="ad">([^<]*)</div>').alias("address"),
+        F.concat(F.lit("src"), size % 20).alias("source"),
     )
 
 
@@ -45,6 +47,9 @@ def records(spark, d):
                 schemas.CONTACTS, emails_public=c("emails"), phones_public=c("phones"), address_public=c("address")
             ),
             business_meta=schemas.struct_of(schemas.BUSINESS_META, keywords=F.array(c("source"), c("city"))),
+            provenance=F.array(
+                provenance(c("website_url"), "website", F.lit("2024-06-01").cast("timestamp"), F.struct("id"))
+            ),
             confidence_score=(c("id").cast("long") % 10) / 10,
         )
     )
@@ -61,11 +66,12 @@ _TOKENS = (
     "'[^a-z0-9_]+', ' ', 'g')), ' '), lambda w: w <> '')), ' ')"
 )
 
-_RECORDS = f"""flat AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, n_chars, lang AS city, source,
-    string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents),
-  recs AS (SELECT id, city, source, array_to_string(w[1:4], ' ') AS legal_name,
-    nullif(regexp_replace(lower(w[1]), '[^a-z]', '', 'g'), '') AS host, '+90212' || lpad(CAST(n_chars % 10000000 AS VARCHAR), 7, '0') AS phone,
-    lower(array_to_string(w[5:14], ' ')) AS address FROM flat),
+_ELEMENT = "trim(regexp_replace(regexp_extract(html, '{}', 1), '\\s+', ' ', 'g'))"
+_RECORDS = f"""recs AS (SELECT lpad(CAST(page_id AS VARCHAR), 12, '0') AS id, {_ELEMENT.format('<html lang="(\\w+)"')} AS city,
+    'src' || (length(html) % 20) AS source, {_ELEMENT.format('<title>([^<]*)</title>')} AS legal_name,
+    nullif(lower(regexp_extract(url, '^\\w+://(?:www\\.)?([^/?#]*)', 1)), '') AS host,
+    '+90212' || lpad(CAST(length(html) % 10000000 AS VARCHAR), 7, '0') AS phone,
+    lower({_ELEMENT.format('<div class="ad">([^<]*)</div>')}) AS address, url FROM pages),
   feats AS MATERIALIZED (SELECT *, {_TOKENS} AS name, {_NAME} <> '' AS has_name FROM recs)"""
 
 _PAIRS = f"""{_RECORDS},
@@ -83,7 +89,7 @@ _PAIRS = f"""{_RECORDS},
 
 @query(
     "er_blocking",
-    f"""WITH {_RECORDS} SELECT id, 'domain:' || host || '.example.com' AS domain_key, 'phone:' || left(phone, 6) AS phone_key,
+    f"""WITH {_RECORDS} SELECT id, 'domain:' || host AS domain_key, 'phone:' || left(phone, 6) AS phone_key,
           'city:' || upper(city) AS city_key FROM feats""",
 )
 def er_blocking(spark, d):
@@ -109,7 +115,13 @@ def er_pairs(spark, d):
     )
 
 
-@query("er_matches")
+@query(
+    "er_matches",
+    f"""WITH {_PAIRS}, same AS (SELECT id, min(id) OVER (PARTITION BY has_name, name, host, phone, address) AS first FROM feats)
+        SELECT a AS company_a_id, b AS company_b_id, score AS match_score, kind AS match_type
+        FROM matches JOIN same x ON x.id = a JOIN same y ON y.id = b
+        WHERE (x.first = a AND y.first = b) OR (x.first = y.first AND x.first = a)""",
+)
 def er_matches(spark, d):
     """Edges with copies tied to the first of their group only."""
     found = r.find_matches(r.match_features(flat_records(spark, d)))
@@ -132,11 +144,13 @@ def er_components(spark, d):
         joined AS (SELECT groups.component, feats.* FROM groups JOIN feats ON feats.id = groups.id)
         SELECT component AS id, min_by(legal_name, id) AS legal_name, min_by(source, id) AS trade_name,
           string_agg(DISTINCT source, ',' ORDER BY source) FILTER (source <> city) AS sources, CAST(count(DISTINCT source) AS INTEGER) AS links,
-          max(length(address)) AS address_length
+          max(length(address)) AS address_length, string_agg(DISTINCT phone, ',' ORDER BY phone) AS phones,
+          'info@' || min(host) AS emails, min_by(url, id) AS website,
+          round(list_reduce(list((CAST(id AS BIGINT) % 10) / 10 ORDER BY id), lambda acc, x: (acc + x) / 2), 9) AS confidence
         FROM joined GROUP BY component""",
 )
 def er_merge(spark, d):
-    """Merged records only: scalar, set and map fields."""
+    """Merged records only: scalar, set and map fields, and the mean that halves record by record."""
     companies = records(spark, d)
     groups = r.merge_groups(r.features(companies))
     merged = r.merge(companies, groups)
@@ -147,25 +161,44 @@ def er_merge(spark, d):
         F.array_join(F.filter("business_meta.keywords", lambda k: k.startswith("src")), ",").alias("sources"),
         F.size("web_presence.social_links").alias("links"),
         F.length("contacts.address_public").cast("bigint").alias("address_length"),
+        F.array_join(F.array_sort(F.transform("contacts.phones_public", text.normalize_phone)), ",").alias("phones"),
+        F.lower(F.array_join("contacts.emails_public", ",")).alias("emails"),
+        F.col("web_presence.website_url").alias("website"),
+        F.round("confidence_score", 9).alias("confidence"),
     )
 
 
 @query(
     "er_resolve",
-    f"""WITH RECURSIVE {_PAIRS}, {_GROUPS} SELECT id FROM feats WHERE id NOT IN (SELECT id FROM groups)
-        UNION SELECT component FROM groups""",
+    f"""WITH RECURSIVE {_PAIRS}, {_GROUPS} SELECT id, legal_name, source AS trade_name, url AS website FROM feats WHERE id NOT IN (SELECT id FROM groups)
+        UNION ALL SELECT component, min_by(legal_name, id), min_by(source, id), min_by(url, id) FROM groups JOIN feats USING (id) GROUP BY 1""",
 )
 def er_resolve(spark, d):
-    return r.resolve(records(spark, d)).companies.select("id")
+    done = r.resolve(records(spark, d)).companies
+    return done.select("id", "identity.legal_name", "identity.trade_name", F.col("web_presence.website_url").alias("website"))
+
+
+@query(
+    "er_provenance",
+    f"""WITH RECURSIVE {_PAIRS}, {_GROUPS} SELECT coalesce(component, id) AS id, url AS source_url, 'website' AS source_type,
+          md5('{{"id":"' || id || '"}}') AS hash FROM feats LEFT JOIN groups USING (id)""",
+)
+def er_provenance(spark, d):
+    """Where each record, merged or not, came from: one row per entry."""
+    return r.resolve(records(spark, d)).provenance.select("id", "source_url", "source_type", "hash")
 
 
 @query(
     "er_review_queue",
-    f"WITH {_PAIRS} SELECT a AS company_a_id, b AS company_b_id, score AS match_score FROM matches WHERE review",
+    f"""WITH {_PAIRS}, same AS (SELECT id, min(id) OVER (PARTITION BY has_name, name, host, phone, address) AS first FROM feats)
+        SELECT a AS company_a_id, b AS company_b_id, score AS match_score
+        FROM matches JOIN same x ON x.id = a JOIN same y ON y.id = b
+        WHERE review AND ((x.first = a AND y.first = b) OR (x.first = y.first AND x.first = a))""",
 )
 def er_review_queue(spark, d):
-    pairs = r.expand_matches(r.match_features(flat_records(spark, d)))
-    return r.review_queue(pairs).select("company_a_id", "company_b_id", F.round("match_score", 6).alias("match_score"))
+    """Copies stand behind the first of their group and are decided with it."""
+    found = r.find_matches(r.match_features(flat_records(spark, d)))
+    return r.review_queue(found).select("company_a_id", "company_b_id", F.round("match_score", 6).alias("match_score"))
 
 
 @query(
@@ -178,8 +211,19 @@ def er_aliases(spark, d):
     return r.aliases(companies, r.merge_groups(r.features(companies)))
 
 
-@query("er_compat")
+_KEY = f"regexp_replace(translate({_NAME}, 'İIĞÜŞÖÇ', 'I'), '[^A-Z0-9]', '', 'g')"
+_BLOCKS = f"""named AS (SELECT *, concat_ws('|', 'domain:' || host, CASE WHEN len({_KEY}) >= 3 THEN 'name:' || left({_KEY}, 3) END,
+    'phone:' || left(phone, 6), 'city:' || upper(city)) AS block FROM feats),
+  same AS (SELECT id, block, min(id) OVER (PARTITION BY block, has_name, name, host, phone, address) AS first FROM named)"""
+
+
+@query(
+    "er_compat",
+    f"""WITH {_PAIRS}, {_BLOCKS} SELECT a AS company_a_id, b AS company_b_id, score AS match_score, kind AS match_type
+        FROM matches JOIN same x ON x.id = a JOIN same y ON y.id = b
+        WHERE x.block = y.block AND ((x.first = a AND y.first = b) OR (x.first = y.first AND x.first = a))""",
+)
 def er_compat(spark, d):
     """Only records whose blocking keys all agree are compared."""
     found = r.find_matches(r.match_features(flat_records(spark, d)), compat=True)
-    return found.select("company_a_id", "company_b_id", F.round("match_score", 6).alias("match_score"))
+    return found.select("company_a_id", "company_b_id", F.round("match_score", 6).alias("match_score"), "match_type")

@@ -96,14 +96,19 @@ def email_corporate(spark, d):
     )
 
 
-_FIRST_TWO = "regexp_extract(text, '^(\\S+\\s+\\S+)', 1)"
-
-
-@query("personal_name", f"SELECT doc_id, {NAME_SQL.format(_FIRST_TWO)} AS personal FROM documents")
+@query(
+    "personal_name",
+    f"""SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, CAST(len(list_filter(s, x -> {NAME_SQL.format('x')})) AS INTEGER) AS personal
+        FROM (SELECT doc_id, regexp_split_to_array(text, '[.\\n]') AS s FROM documents)""",
+)
 def personal_name(spark, d):
-    """Do the first two words of a document read as a name?"""
-    first = F.regexp_extract("text", r"^(\S+\s+\S+)", 1)
-    return views.table(spark, d, "documents").select("doc_id", p.is_personal_name(first).alias("personal"))
+    """How many sentences of a document read as a name?"""
+    sentences = F.split("text", r"[.\n]")
+    return views.table(spark, d, "documents").select(
+        "doc_id",
+        F.size(sentences).alias("sentences"),
+        F.size(F.filter(sentences, p.is_personal_name)).alias("personal"),
+    )
 
 
 _TAINTED = "(" + " OR ".join(_pii_sql("regexp_replace({0}, '[^\\x00-\\x7f]', 'a', 'g')").values()).replace("{0}", "@@") + ")"
@@ -247,6 +252,37 @@ def retention_status(spark, d):
     )
 
 
+@query(
+    "audit_retention",
+    """SELECT o_orderkey, o_orderdate IS NULL OR date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') <= 1095 AS kept,
+         coalesce(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02') > 1095, false) AS expired
+       FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS o_orderdate FROM orders)""",
+)
+def audit_retention(spark, d):
+    """Orders as audit rows: which are kept, which may go."""
+    at = F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderdate"))
+    log = views.table(spark, d, "orders").select("o_orderkey", at.alias("timestamp"))
+    day = F.lit("1998-08-02").cast("date")
+    kept = ops.audit_kept(log, day).select("o_orderkey", F.lit(True).alias("kept"), F.lit(False).alias("expired"))
+    gone = ops.audit_expired(log, day).select("o_orderkey", F.lit(False).alias("kept"), F.lit(True).alias("expired"))
+    return kept.union(gone)
+
+
+@query(
+    "compliance_whole_record",
+    f"""WITH f AS (SELECT {_TAINTED.format('text')} OR {_TAINTED.format("coalesce(personal_phones[1], '')")} AS pii
+          FROM (SELECT text, CASE WHEN doc_id % 11 = 0 THEN ['5321234567' || (doc_id % 10)] END AS personal_phones FROM documents))
+        SELECT count(*) AS total_records, count(*) FILTER (pii) AS pii_detected FROM f""",
+)
+def compliance_whole_record(spark, d):
+    """Personal data anywhere in a record, here also inside of a list."""
+    number = F.concat(F.lit("5321234567"), F.col("doc_id") % 10)
+    records = views.table(spark, d, "documents").select(
+        F.concat(F.lit("d"), "doc_id").alias("id"), "text", F.when(F.col("doc_id") % 11 == 0, F.array(number)).alias("numbers")
+    )
+    return ops.compliance_report(records, suppressed(spark, d)).select("total_records", "pii_detected")
+
+
 def _collected(spark, d):
     """Documents as collected records; part of them carries fields that should not exist."""
     return views.table(spark, d, "documents").select(

@@ -19,7 +19,10 @@ def flat_companies(spark, d):
     n = F.col("company_no")
     return views.company_view(spark, d).select(
         "company_id",
-        F.when(n % 97 == 0, F.lit("X")).otherwise(F.col("legal_name")).alias("legal_name"),
+        F.when(n % 97 == 0, F.lit("X"))
+        .when(n % 31 == 0, F.lit("Acme 12345678901"))
+        .otherwise(F.col("legal_name"))
+        .alias("legal_name"),
         F.when(n % 50 == 0, F.lit("Şirket")).otherwise(F.col("company_type")).alias("company_type"),
         F.when(n % 30 == 0, "XX").otherwise("TR").alias("country"),
         F.translate("city", "_0123456789", "").alias("city"),
@@ -35,7 +38,7 @@ def flat_companies(spark, d):
     )
 
 
-_FLAT = f"""{COMPANY}, flat AS (SELECT company_id, CASE WHEN company_no % 97 = 0 THEN 'X' ELSE legal_name END AS legal_name,
+_FLAT = f"""{COMPANY}, flat AS (SELECT company_id, CASE WHEN company_no % 97 = 0 THEN 'X' WHEN company_no % 31 = 0 THEN 'Acme 12345678901' ELSE legal_name END AS legal_name,
     CASE WHEN company_no % 50 = 0 THEN 'Şirket' ELSE company_type END AS company_type,
     CASE WHEN company_no % 30 = 0 THEN 'XX' ELSE 'TR' END AS country, translate(city, '_0123456789', '') AS city,
     emails[-1] AS email, phones[1] AS phone,
@@ -72,7 +75,7 @@ _LINES = [
     _line("between", "reviews_count", "reviews_count BETWEEN 0 AND 100000", 0.99),
     "SELECT 'unique', 'company_id', CAST(sum(n) AS BIGINT), count(*) FILTER (n = 1), 1.0 FROM (SELECT count(*) AS n FROM flat GROUP BY company_id)",
     _line("between", "confidence_score", "confidence_score BETWEEN 0 AND 1", 1),
-    _line("not_matches_regex", "legal_name", "NOT regexp_matches(legal_name, '^\\d{11}')", 1),
+    _line("not_matches_regex", "legal_name", "NOT regexp_matches(legal_name, '\\d{11}')", 1),
     _line("not_matches_regex", "email", "NOT regexp_matches(email, '^[a-z]+\\.[a-z]+@')", 0.95),
 ]
 _RESULTS = f"WITH {_FLAT}, lines AS ({' UNION ALL '.join(_LINES)}), results AS (SELECT *, passed / evaluated AS pass_share, passed / evaluated >= mostly AS success FROM lines)"

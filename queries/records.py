@@ -83,7 +83,7 @@ def website_records_query(spark, d):
     "normalize_records",
     """SELECT md5('places:P' || c_custkey) AS id, replace(upper(c_name), '#', ' ') AS legal_name,
          upper(left(n_name, 1)) || lower(substr(n_name, 2)) AS city,
-         CASE WHEN c_custkey % 7 <> 0 THEN 'https://c' || (c_custkey % 50) || '.example.com/' || c_custkey END AS website,
+         CASE WHEN c_custkey % 7 <> 0 THEN 'https://c' || (c_custkey // 30) || '.example.com/' || c_custkey END AS website,
          '+90212' || lpad(CAST(c_custkey % 10000000 AS VARCHAR), 7, '0') AS phones
        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 )
@@ -99,7 +99,7 @@ def normalize_records(spark, d):
 
 @query(
     "merge_sources",
-    """SELECT c_name AS legal_name, CASE WHEN c_custkey % 7 <> 0 THEN 'https://www.c' || (c_custkey % 50) || '.example.com/' || c_custkey END AS website,
+    """SELECT c_name AS legal_name, CASE WHEN c_custkey % 7 <> 0 THEN 'https://www.c' || (c_custkey // 30) || '.example.com/' || c_custkey END AS website,
          '+90212' || lpad(CAST(c_custkey % 10000000 AS VARCHAR), 7, '0') AS phones FROM customer""",
 )
 def merge_sources(spark, d):
@@ -119,7 +119,7 @@ def registry(spark, d):
     k = F.col("s_suppkey")
     orgs = F.when(k % 3 == 0, "Ada Byron").otherwise(F.col("s_name"))
     dates = F.when(k % 2 == 0, F.lit("1999-05-17")).otherwise("17.05.2003")
-    return views.table(spark, d, "supplier").filter(k < 50).select(
+    return views.table(spark, d, "supplier").select(
         F.concat(F.lit("C"), k, F.lit(".example.com")).alias("domain"),
         orgs.alias("org"),
         dates.alias("creation_date"),
@@ -132,7 +132,7 @@ def registry(spark, d):
 
 @query(
     "lookup_enrich",
-    """WITH p AS (SELECT *, c_custkey % 7 <> 0 AND c_custkey % 50 IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 50) AS hit, c_custkey % 50 AS k
+    """WITH p AS (SELECT *, c_custkey % 7 <> 0 AND c_custkey // 30 IN (SELECT s_suppkey FROM supplier) AS hit, c_custkey // 30 AS k
          FROM customer JOIN nation ON c_nationkey = n_nationkey)
        SELECT md5('places:P' || c_custkey) AS id,
          CASE WHEN hit AND k % 3 <> 0 THEN 'Supplier#' || lpad(CAST(k AS VARCHAR), 9, '0') END AS trade_name, n_name AS city,
@@ -183,10 +183,13 @@ def search_documents(spark, d):
        SELECT city, count(*) AS companies, count(DISTINCT n) AS names FROM p GROUP BY city""",
 )
 def daily_pipeline(spark, d):
-    """Places through normalising, matching, enriching and flattening, counted by city."""
+    """Search hits and places through joining, normalising, matching, enriching and
+    flattening, counted by city."""
     from firmaforge.plans.daily import run
 
-    done = run(place_records(spark, d), registry(spark, d))
+    key = F.md5("identity.legal_name")
+    hits = search_records(spark, d).withColumn("id", key)
+    done = run(hits, registry(spark, d), places=place_records(spark, d).withColumn("id", key))
     return done.documents.groupBy("city").agg(
         F.count("*").alias("companies"), F.countDistinct("legal_name").alias("names")
     )

@@ -55,13 +55,32 @@ def _documents(spark, d):
     return views.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
 
 
+_INDEXES: dict[tuple, s.Index] = {}
+
+
+def _index(spark, d, name, build):
+    """The stored index of a table: built once in a session, then only searched."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _INDEXES:
+        _INDEXES[key] = build()
+    return _INDEXES[key]
+
+
+def document_index(spark, d):
+    return _index(spark, d, "documents", lambda: s.build_index(_documents(spark, d), "doc_id", TEXT))
+
+
+def company_index(spark, d):
+    return _index(spark, d, "companies", lambda: s.build_index(enriched(spark, d), "company_id", s.GENERAL))
+
+
 @query(
     "search_bm25",
     f"""WITH {_POSTINGS}, {_scored(_exact(s.query_terms(QUERY)))}
         SELECT id AS doc_id, round(sum(score), 6) AS score FROM scores GROUP BY id""",
 )
 def search_bm25(spark, d):
-    hits = s.search(_documents(spark, d), QUERY, "doc_id", TEXT, fuzzy=False)
+    hits = s.search(_documents(spark, d), QUERY, "doc_id", TEXT, document_index(spark, d), fuzzy=False)
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -73,7 +92,14 @@ def search_bm25(spark, d):
 )
 def search_all_terms(spark, d):
     hits = s.search(
-        _documents(spark, d), "nicht für", "doc_id", TEXT, filters={"lang": ["de", "fr"]}, mode="all", fuzzy=False
+        _documents(spark, d),
+        "nicht für",
+        "doc_id",
+        TEXT,
+        document_index(spark, d),
+        filters={"lang": ["de", "fr"]},
+        mode="all",
+        fuzzy=False,
     )
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -84,7 +110,7 @@ def search_all_terms(spark, d):
         SELECT id AS doc_id, round(sum(score), 6) AS score FROM scores GROUP BY id""",
 )
 def search_fuzzy(spark, d):
-    hits = s.search(_documents(spark, d), TYPOS, "doc_id", TEXT)
+    hits = s.search(_documents(spark, d), TYPOS, "doc_id", TEXT, document_index(spark, d))
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -92,19 +118,70 @@ def search_fuzzy(spark, d):
     "search_highlight",
     f"""WITH {_POSTINGS}, {_scored(_near(['hethan']))},
         top AS (SELECT id, sum(score) AS score FROM scores GROUP BY id ORDER BY score DESC, id LIMIT 10)
-        SELECT doc_id, round(score, 6) AS score FROM top JOIN documents ON doc_id = id""",
+        SELECT doc_id, round(score, 6) AS score, CAST((SELECT sum(tf) FROM hits WHERE hits.id = doc_id) AS BIGINT) AS marked
+        FROM top JOIN documents ON doc_id = id""",
 )
 def search_highlight(spark, d):
-    """Best ten documents for one word; the marked text must hold a tag, or the row is lost."""
-    hits = s.basic_search(_documents(spark, d), "hethan", 10, id_col="doc_id", fields=TEXT, marked=("text",))
-    return hits.filter("text_marked LIKE '%<em>%</em>%'").select("doc_id", F.round("score", 6).alias("score"))
+    """Best ten documents for one word, and how many words of each are marked."""
+    index = document_index(spark, d)
+    hits = s.basic_search(_documents(spark, d), "hethan", 10, index, "doc_id", TEXT, ("text",))
+    marked = F.size(F.regexp_extract_all("text_marked", F.lit("<em>[^<>]+</em>"), F.lit(0)))
+    return hits.select("doc_id", F.round("score", 6).alias("score"), marked.cast("long").alias("marked"))
+
+
+_FIRM_FIELDS = " UNION ALL ".join(
+    f"SELECT company_no, '{f}' AS field, CAST({b} AS DOUBLE) AS boost, "
+    + ("array_to_string(keywords, ' ')" if f == "keywords" else f)
+    + " AS t FROM segments"
+    for f, b in s.GENERAL.items()
+)
+_FIRM_HITS = f"""{SEGMENTS}, texts AS ({_FIRM_FIELDS}),
+  words AS (SELECT company_no AS id, field, boost, {_words('t')} AS w FROM texts WHERE t IS NOT NULL),
+  lens AS (SELECT id, field, boost, len(w) AS length FROM words WHERE len(w) > 0),
+  stats AS (SELECT field, count(*) AS docs, avg(length) AS mean_length FROM lens GROUP BY field),
+  terms AS (SELECT id, field, unnest(w) AS term FROM words),
+  postings AS (SELECT id, field, boost, term, length, count(*) AS tf FROM terms JOIN lens USING (id, field) GROUP BY ALL)"""
 
 
-@query("search_companies")
+@query(
+    "search_companies",
+    f"""WITH {_FIRM_HITS},
+        hits AS (SELECT postings.*, wanted, edits FROM postings JOIN {_near(['000000042', 'tourism', 'nation'])} ON term = variant),
+        freq AS (SELECT field, term, count(DISTINCT id) AS df FROM hits GROUP BY ALL),
+        scores AS (SELECT id, field, wanted, max(boost * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2
+            / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)) * (1 - edits / len(wanted))) AS score
+          FROM hits JOIN freq USING (field, term) JOIN stats USING (field) GROUP BY ALL),
+        per_field AS (SELECT id, field, sum(score) AS score FROM scores GROUP BY ALL),
+        top AS (SELECT id, max(score) AS score FROM per_field GROUP BY id)
+        SELECT company_no, round(top.score, 6) AS score,
+          CASE WHEN EXISTS (FROM hits WHERE hits.id = company_no AND term = split_part(legal_name, '#', 2))
+            THEN split_part(legal_name, '#', 1) || '#<em>' || split_part(legal_name, '#', 2) || '</em>' ELSE legal_name END AS legal_name_marked,
+          array_to_string(list_transform(keywords, k -> CASE WHEN EXISTS (FROM hits h WHERE h.id = company_no AND h.term = k)
+            THEN '<em>' || k || '</em>' ELSE k END), ',') AS keywords_marked
+        FROM top JOIN segments ON company_no = id ORDER BY top.score DESC, company_id LIMIT 10""",
+)
 def search_companies(spark, d):
     """Boosted search over all company fields."""
-    hits = s.basic_search(enriched(spark, d), "000000042 tourism nation", 10)
-    return hits.select("company_no", "legal_name_marked", F.round("score", 6).alias("score"))
+    hits = s.basic_search(enriched(spark, d), "000000042 tourism nation", 10, company_index(spark, d))
+    return hits.select(
+        "company_no",
+        F.round("score", 6).alias("score"),
+        "legal_name_marked",
+        F.array_join("keywords_marked", ",").alias("keywords_marked"),
+    )
+
+
+@query(
+    "search_suggestions",
+    f"""WITH {_FIRM_HITS}, near AS (SELECT wanted, variant AS suggestion, CAST(edits AS INTEGER) AS edits, count(*) AS df
+          FROM (SELECT DISTINCT id, field, term FROM postings WHERE field IN ('legal_name', 'trade_name', 'keywords', 'city'))
+          JOIN {_near(['toursm', 'otel'])} ON term = variant GROUP BY ALL)
+        SELECT * FROM near WHERE wanted NOT IN (SELECT wanted FROM near WHERE edits = 0)
+        QUALIFY row_number() OVER (PARTITION BY wanted ORDER BY edits, df DESC, suggestion) <= 5""",
+)
+def search_suggestions(spark, d):
+    """Terms near a misspelt one; the other is known and gets none."""
+    return s.suggestions(company_index(spark, d), "toursm otel", s.SERVICE)
 
 
 @query(
@@ -122,12 +199,13 @@ def search_advanced(spark, d):
         sort=[F.desc("last_updated")],
         start=1,
         size=10,
+        index=company_index(spark, d),
     )
     return hits.select("company_no", F.date_format("last_updated", "yyyy-MM-dd").alias("day"))
 
 
 def _service(spark, d):
-    return s.service_search(enriched(spark, d), "tourism otel", {"priority_tier": ["A", "B"]}, number=1, size=20, sort_by="rating")
+    return s.service_search(enriched(spark, d), "tourism otel", {"priority_tier": ["A", "B"]}, number=1, size=20, sort_by="rating", index=company_index(spark, d))
 
 
 @query(
@@ -165,7 +243,7 @@ def search_service_facets(spark, d):
 )
 def competitors(spark, d):
     """No name is near this one, so industry and city decide."""
-    hits = s.competitors(enriched(spark, d), "Zyxwvutsrq", "Tourism", "NATION_3")
+    hits = s.competitors(enriched(spark, d), "Zyxwvutsrq", "Tourism", "NATION_3", index=company_index(spark, d))
     return hits.select("company_no", F.round("score", 6).alias("score"))
 
 
@@ -176,7 +254,7 @@ def competitors(spark, d):
 )
 def competitors_by_name(spark, d):
     """The firm of that very number comes first."""
-    return s.competitors(enriched(spark, d), "000000042").limit(1).select("company_no")
+    return s.competitors(enriched(spark, d), "000000042", index=company_index(spark, d)).limit(1).select("company_no")
 
 
 @query(

@@ -61,15 +61,14 @@ def upsert_counts(spark, d):
 @query(
     "bulk_update",
     """SELECT coalesce(c_custkey, 1000000 + o.o_custkey) AS id, c_name AS name, coalesce(n.status, CASE WHEN c_custkey IS NOT NULL THEN 'old' END) AS status,
-         n.total FROM customer FULL JOIN (SELECT o_custkey, max(o_orderstatus) AS status, max(o_totalprice) AS total FROM orders
-           WHERE o_custkey % 3 = 0 GROUP BY 1) n ON n.o_custkey = c_custkey LEFT JOIN (SELECT 0 AS o_custkey) o ON false""",
+         n.total FROM customer FULL JOIN (SELECT o_custkey, max(o_orderstatus) AS status, max(o_totalprice) AS total FROM orders GROUP BY 1) n ON n.o_custkey = c_custkey LEFT JOIN (SELECT 0 AS o_custkey) o ON false""",
 )
 def bulk_update(spark, d):
     """Order facts laid over customer documents; a new field appears with them."""
     docs = views.table(spark, d, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("old").alias("status")
     )
-    updates = views.table(spark, d, "orders").filter("o_custkey % 3 = 0").select(
+    updates = views.table(spark, d, "orders").select(
         F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")
     )
     return sinks.bulk_update(docs, updates)
@@ -78,19 +77,20 @@ def bulk_update(spark, d):
 @query(
     "scd2_history",
     """SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS valid_from,
-         strftime(lead(o_orderdate) OVER w, '%Y-%m-%d %H:%M:%S') AS valid_to, lead(o_orderdate) OVER w IS NULL AS is_current
-       FROM (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL)
-       WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate)""",
+         strftime(lead(o_orderdate IGNORE NULLS) OVER w, '%Y-%m-%d %H:%M:%S') AS valid_to, lead(o_orderkey) OVER w IS NULL AS is_current
+       FROM (SELECT CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS o_custkey,
+           CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS o_orderdate, o_orderkey FROM orders)
+       WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate NULLS FIRST, o_orderkey)""",
 )
 def scd2_history(spark, d):
-    """Orders as versions of their customer, one per moment."""
-    versions = raw.latest_per_key(
-        views.table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey"),
-        ["o_custkey", "o_orderdate"],
-        ["o_orderkey"],
+    """Orders as versions of their customer; some lack the customer or the time."""
+    versions = views.table(spark, d, "orders").select(
+        F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("o_custkey"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("o_orderdate"),
+        "o_orderkey",
     )
     fmt = "yyyy-MM-dd HH:mm:ss"
-    return sinks.history(versions, "o_custkey", "o_orderdate", "year").select(
+    return sinks.history(versions, "o_custkey", "o_orderdate", "year", ("o_orderkey",)).select(
         "o_custkey",
         "o_orderkey",
         F.date_format("valid_from", fmt).alias("valid_from"),
@@ -120,8 +120,8 @@ def json_set_key(spark, d):
 
 @query(
     "export_projection",
-    """SELECT count(*) AS rows, count(DISTINCT c_custkey) AS keys FROM (SELECT c_custkey FROM customer
-         WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey = 3 LIMIT 10000)""",
+    """SELECT c_custkey, c_name FROM (SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey = 3
+         ORDER BY c_custkey LIMIT 10000)""",
 )
 def export_projection(spark, d):
     """A JSON export written and read back."""
@@ -129,7 +129,44 @@ def export_projection(spark, d):
     asked = {"c_mktsegment": ["BUILDING", "MACHINERY"], "c_nationkey": 3}
     sinks.export(views.table(spark, d, "customer"), path, "json", asked, ["c_custkey", "c_name"], 10_000)
     back = spark.read.schema("c_custkey long, c_name string").json(path)
-    return back.agg(F.count("*").alias("rows"), F.countDistinct("c_custkey").alias("keys"))
+    return back
+
+
+@query(
+    "export_csv",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, '["' || o_orderstatus || '"]' AS states FROM orders WHERE o_totalprice > 300000
+       ORDER BY orders.o_orderkey LIMIT 500""",
+)
+def export_csv(spark, d):
+    """A CSV export with a nested column, written and read back."""
+    path = new_shared_path(spark, "export")
+    orders = views.table(spark, d, "orders").filter("o_totalprice > 300000").select(
+        "o_orderkey", F.array("o_orderstatus").alias("states")
+    )
+    sinks.export(orders, path, "csv", None, ["o_orderkey", "states"], 500)
+    return spark.read.option("header", True).option("escape", '"').schema("o_orderkey string, states string").csv(path)
+
+
+@query(
+    "save_layer",
+    "SELECT c_mktsegment, count(*) AS rows, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1",
+)
+def save_layer(spark, d):
+    """A table saved by segment, exposed as a view and read through SQL."""
+    path = new_shared_path(spark, "layer")
+    sinks.save_layer(views.table(spark, d, "customer").select("c_custkey", "c_mktsegment"), path, ["c_mktsegment"])
+    sinks.expose(spark.read.parquet(path), "saved_customers")
+    return spark.sql("SELECT c_mktsegment, count(*) AS rows, sum(c_custkey) AS keys FROM saved_customers GROUP BY 1")
+
+
+@query(
+    "update_counts",
+    "SELECT count(*) FILTER (o_custkey % 5 <> 0) AS success, count(*) FILTER (o_custkey % 5 = 0) AS failed FROM orders",
+)
+def update_counts(spark, d):
+    """Order facts as updates; some name no customer."""
+    key = F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey"))
+    return sinks.update_counts(views.table(spark, d, "orders").select(key.alias("id")))
 
 
 @query(
@@ -163,7 +200,7 @@ def stored_index_search(spark, d):
     """A search over an index that was written first: only the row groups of its terms are read."""
     parts = views.table(spark, d, "part").select("p_partkey", "p_name")
     path = new_shared_path(spark, "index")
-    search_ops.write_index(search_ops.build_index(parts, "p_partkey", ["p_name"]), path)
+    search_ops.build_index(parts, "p_partkey", ["p_name"], path=path)
     index = search_ops.read_index(spark, path)
     hits = search_ops.search(parts, "red widget", "p_partkey", {"p_name": 1.0}, index, mode="all", fuzzy=False)
     return hits.select("p_partkey")

@@ -11,15 +11,15 @@ from queries.registry import query
 
 def _stream(spark, d):
     schema = views.table(spark, d, "events").schema
-    stream = st.read_files(spark, d, schema, name="events.parquet")
+    stream = st.read_files(spark, f"{d.rstrip('/')}/events.parquet", schema)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("stream_dedup", "SELECT count(*) AS rows, count(DISTINCT event_id) AS keys FROM events")
+@query("stream_dedup", "SELECT event_id, user_id, min(event_type) AS event_type FROM events GROUP BY event_id, user_id")
 def stream_dedup(spark, d):
     out, checkpoint = st.scratch(spark, "dedup")
     st.run(st.append_to(st.deduplicated(_stream(spark, d), ["event_id"], "ts"), out, checkpoint))
-    return spark.read.parquet(out).agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("keys"))
+    return spark.read.parquet(out).select("event_id", "user_id", "event_type")
 
 
 @query(
@@ -29,8 +29,8 @@ def stream_dedup(spark, d):
 def stream_upsert_latest(spark, d):
     stream = _stream(spark, d).select("user_id", "ts", "event_id", "value")
     out, checkpoint = st.scratch(spark, "latest")
-    table = st.VersionedTable(spark, out, stream.schema)
-    last = st.run(st.upsert_latest(stream, table, ["user_id"], ["ts", "event_id"], checkpoint))
+    table = st.BucketedTable(spark, out, stream.schema, ["user_id"])
+    last = st.run(st.upsert_latest(stream, table, ["ts", "event_id"], checkpoint))
     return table.read(last).select("user_id", "event_id", "value")
 
 
@@ -40,5 +40,5 @@ def stream_upsert_latest(spark, d):
 )
 def stream_day_histogram(spark, d):
     out, checkpoint = st.scratch(spark, "days")
-    st.run(st.complete_to(st.day_counts(_stream(spark, d), "ts"), out, checkpoint))
-    return spark.read.parquet(out).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "count")
+    last = st.run(st.complete_to(st.day_counts(_stream(spark, d), "ts"), out, checkpoint))
+    return st.latest(spark, out, last).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "count")

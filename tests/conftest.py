@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
@@ -14,7 +15,7 @@ from firmaforge.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "tests",
-        "local[8]",
+        f"local[{os.environ.get('TEST_CPUS', '8')}]",
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
