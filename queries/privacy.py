@@ -98,7 +98,7 @@ def email_corporate(spark, d):
 
 @query(
     "personal_name",
-    f"""SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, CAST(len(list_filter(s, x -> {NAME_SQL.format('x')})) AS INTEGER) AS personal
+    f"""SELECT doc_id, CAST(len(s) AS INTEGER) AS sentences, CAST(len(list_filter(s, lambda x: {NAME_SQL.format('x')})) AS INTEGER) AS personal
         FROM (SELECT doc_id, regexp_split_to_array(text, '[.\\n]') AS s FROM documents)""",
 )
 def personal_name(spark, d):

@@ -152,13 +152,14 @@ _FIRM_HITS = f"""{SEGMENTS}, texts AS ({_FIRM_FIELDS}),
             / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)) * (1 - edits / len(wanted))) AS score
           FROM hits JOIN freq USING (field, term) JOIN stats USING (field) GROUP BY ALL),
         per_field AS (SELECT id, field, sum(score) AS score FROM scores GROUP BY ALL),
-        top AS (SELECT id, max(score) AS score FROM per_field GROUP BY id)
+        top AS (SELECT id, max(score) AS score FROM per_field GROUP BY id),
+        found AS (SELECT id, list(DISTINCT term) AS ts FROM hits GROUP BY id)
         SELECT company_no, round(top.score, 6) AS score,
-          CASE WHEN EXISTS (FROM hits WHERE hits.id = company_no AND term = split_part(legal_name, '#', 2))
+          CASE WHEN list_contains(ts, split_part(legal_name, '#', 2))
             THEN split_part(legal_name, '#', 1) || '#<em>' || split_part(legal_name, '#', 2) || '</em>' ELSE legal_name END AS legal_name_marked,
-          array_to_string(list_transform(keywords, k -> CASE WHEN EXISTS (FROM hits h WHERE h.id = company_no AND h.term = k)
+          array_to_string(list_transform(keywords, lambda k: CASE WHEN list_contains(ts, k)
             THEN '<em>' || k || '</em>' ELSE k END), ',') AS keywords_marked
-        FROM top JOIN segments ON company_no = id ORDER BY top.score DESC, company_id LIMIT 10""",
+        FROM top JOIN found USING (id) JOIN segments ON company_no = id ORDER BY top.score DESC, company_id LIMIT 10""",
 )
 def search_companies(spark, d):
     """Boosted search over all company fields."""

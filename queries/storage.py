@@ -144,7 +144,7 @@ def export_csv(spark, d):
         "o_orderkey", F.array("o_orderstatus").alias("states")
     )
     sinks.export(orders, path, "csv", None, ["o_orderkey", "states"], 500)
-    return spark.read.option("header", True).option("escape", '"').schema("o_orderkey string, states string").csv(path)
+    return spark.read.option("header", True).schema("o_orderkey string, states string").csv(path)
 
 
 @query(

@@ -11,7 +11,8 @@ from queries.registry import query
 
 def _stream(spark, d):
     schema = views.table(spark, d, "events").schema
-    stream = st.read_files(spark, f"{d.rstrip('/')}/events.parquet", schema)
+    # As a pattern the path may be one file or a folder of part files.
+    stream = st.read_files(spark, f"{d.rstrip('/')}/event[s].parquet", schema)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
