@@ -23,6 +23,7 @@ from firmaforge.session import cut
 LEAST_WORDS = 20
 REPEATED_PERCENT = 30
 WINDOW = 8
+MORE_LINES = 5
 SKETCH_K = 800
 GROUP_ROWS = 300
 REACH = 6.0
@@ -106,13 +107,15 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def shares() -> dict[str, Column]:
-    words = F.col("n_words").cast("double")
+    """What the fences look at; null for a text without words."""
+    of_words = lambda c: F.try_divide(F.col(c).cast("double"), F.col("n_words").cast("double"))
     return {
-        "word_length": F.col("word_chars") / words,
-        "symbols": F.col("n_symbols") / words,
-        "marks": F.col("n_marks") / words,
-        "dup_lines": F.col("n_dup_lines") / F.col("n_lines").cast("double"),
-        "repeated": F.col("n_repeat_words") / words,
+        "word_length": of_words("word_chars"),
+        "symbols": of_words("n_symbols"),
+        "marks": of_words("n_marks"),
+        # One repeat among three lines says little: a few lines more are counted in.
+        "dup_lines": F.try_divide(F.col("n_dup_lines").cast("double"), F.col("n_lines").cast("double") + MORE_LINES),
+        "repeated": of_words("n_repeat_words"),
     }
 
 
