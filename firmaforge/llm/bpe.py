@@ -26,7 +26,6 @@ import base64
 import hashlib
 import heapq
 import json
-import re
 from collections import Counter
 
 import numpy as np
@@ -163,13 +162,16 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-# Where a space has white space beside it or ends a text, the pattern has to see the whole text.
-_WIDE = re.compile(r" (?:\s|\Z)|\s ")
+# Where a space has white space beside it or ends a text, the pattern has to see the whole
+# text; texts with rare white space are not looked at more closely.
+_RARE_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
 
 def pieces(text: str) -> list[str] | None:
     """The text cut at its single spaces (left out), or None if that might change its words."""
-    return None if _WIDE.search(text) else text.split(" ")
+    if text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or any(c in text for c in _RARE_SPACES):
+        return None
+    return text.split(" ")
 
 
 def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:

@@ -151,18 +151,15 @@ def fences(groups: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     groups = cut(groups)
     merged = lambda df: df.agg(*[F.kll_merge_agg_double(n, SKETCH_K).alias(n) for n in names])
     by_lang = cut(merged(groups.groupBy("lang_")))
-    corpus = merged(by_lang.groupBy())
+    # One row: a sketch of the corpus for each share.
+    corpus = merged(by_lang.groupBy()).first()
     size = lambda sketch: F.kll_sketch_get_n_double(sketch)
-    of_corpus = corpus.select(*[F.col(n).alias(f"{n}_c") for n in names]).withColumn("one_", F.lit(1))
     of_lang = by_lang.select(F.col("lang_").alias("l_"), *[F.col(n).alias(f"{n}_l") for n in names])
-    joined = (
-        groups.withColumn("one_", F.lit(1))
-        .join(of_lang, F.col("lang_").eqNullSafe(F.col("l_")))
-        .join(F.broadcast(of_corpus), "one_")  # one row
-    )
+    joined = groups.join(of_lang, F.col("lang_").eqNullSafe(F.col("l_")))
 
     def chosen(n):
-        own, lang, all_ = F.col(n), F.col(f"{n}_l"), F.col(f"{n}_c")
+        own, lang = F.col(n), F.col(f"{n}_l")
+        all_ = F.lit(None).cast("binary") if corpus[n] is None else F.lit(corpus[n])
         return F.when(size(own) >= group_rows, own).when(size(lang) >= group_rows, lang).otherwise(all_)
 
     picked = joined.select("lang_", "source_", *[chosen(n).alias(n) for n in names])
