@@ -34,16 +34,16 @@ def run(
     registry: DataFrame,
     suppressed: DataFrame | None = None,
     cfg: MatchConfig = MatchConfig(),
-    places: DataFrame | None = None,
+    second: DataFrame | None = None,
 ) -> Daily:
     """All steps as one chain; checks report beside it and drop nothing.
 
-    ``places`` are joined to the records of the same id first.
+    Records of a ``second`` source complete those of the same id first.
 
     The normalised records are written down once: matching, merging and checking all read
     them, and none should parse and clean the sources again.
     """
-    normal = cut(normalize_records(records if places is None else merge_sources(records, places)))
+    normal = cut(normalize_records(records if second is None else merge_sources(records, second)))
     flat = normal.select(
         F.col("identity.legal_name").alias("legal_name"), F.col("web_presence.website_url").alias("website_url")
     )

@@ -183,13 +183,13 @@ def search_documents(spark, d):
        SELECT city, count(*) AS companies, count(DISTINCT n) AS names FROM p GROUP BY city""",
 )
 def daily_pipeline(spark, d):
-    """Search hits and places through joining, normalising, matching, enriching and
+    """Places and search hits through joining, normalising, matching, enriching and
     flattening, counted by city."""
     from firmaforge.plans.daily import run
 
     key = F.md5("identity.legal_name")
     hits = search_records(spark, d).withColumn("id", key)
-    done = run(hits, registry(spark, d), places=place_records(spark, d).withColumn("id", key))
+    done = run(place_records(spark, d).withColumn("id", key), registry(spark, d), second=hits)
     return done.documents.groupBy("city").agg(
         F.count("*").alias("companies"), F.countDistinct("legal_name").alias("names")
     )
