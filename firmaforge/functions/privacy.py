@@ -99,7 +99,8 @@ def detect_pii(text: Column) -> Column:
 
 
 def has_pii(text: Column) -> Column:
-    number = _any([text.rlike(f"(?iU){p}") for p in PII_PATTERNS.values()])
+    # One scan for all identifiers, and only where there are digits enough.
+    number = text.rlike("(?iU)" + "|".join(f"(?:{p})" for p in PII_PATTERNS.values()))
     return F.coalesce((_has_number(text) & number) | is_personal_name(text), F.lit(False))
 
 

@@ -171,20 +171,20 @@ def _lcs_sql(a: str, b: str) -> str:
 
 @query(
     "similarity_ratios",
-    f"""WITH p AS (SELECT DISTINCT p_name FROM part), pairs AS (
-          SELECT a.p_name AS a, b.p_name AS b FROM p a JOIN p b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) AND a.p_name < b.p_name),
+    f"""WITH pairs AS (SELECT a.p_partkey AS key, a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
         sorted AS (SELECT *, array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb FROM pairs)
-        SELECT a, b, round_even(100.0 * (2.0 * {_lcs_sql('a', 'b')} / (len(a) + len(b))), 0) / 100 AS ratio,
+        SELECT key, a, b, round_even(100.0 * (2.0 * {_lcs_sql('a', 'b')} / (len(a) + len(b))), 0) / 100 AS ratio,
           round_even(100.0 * (2.0 * {_lcs_sql('sa', 'sb')} / (len(sa) + len(sb))), 0) / 100 AS token_ratio,
-          CAST(0 AS DOUBLE) AS exact
+          CAST(a = b AS DOUBLE) AS exact
         FROM sorted""",
 )
 def similarity_ratios(spark, d):
-    """Part names that share their first word, compared by both ratios."""
-    names = views.table(spark, d, "part").select("p_name").distinct().withColumn("k", F.split_part("p_name", F.lit(" "), F.lit(1)))
+    """The name of each part and of its successor, compared by both ratios."""
+    names = views.table(spark, d, "part").select("p_partkey", "p_name")
     a, b = F.col("a"), F.col("b")
-    pairs = names.toDF("a", "k").join(names.toDF("b", "k"), "k").filter("a < b")
-    return pairs.select(
+    after = names.select((F.col("p_partkey") - 1).alias("key"), F.col("p_name").alias("b"))
+    return names.toDF("key", "a").join(after, "key").select(
+        "key",
         "a",
         "b",
         similarity.ratio(a, b, arrow=True).alias("ratio"),
