@@ -36,7 +36,7 @@ from firmaforge.session import cut
 WINDOW = 10
 NEAR = 20
 RARE = 3
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 300_000
 
 # A-Z become a-z; every other byte below 0x80 but 0-9 and a-z separates words.
 _WORD_BYTES = bytes(
@@ -182,8 +182,6 @@ def _search(q: dict, n_words: np.ndarray, per_doc: np.ndarray, ids: np.ndarray,
     size = int((n_words + gap).sum())
     seq = np.full(size + 1, -1, np.int32)
     seq[where] = ids
-    order = np.argsort(ids, kind="stable")
-    ids, where = ids[order], where[order]
     by_term = np.lexsort((where, ids))
     ids, where = ids[by_term], where[by_term]
 
