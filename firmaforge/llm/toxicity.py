@@ -8,9 +8,11 @@ plain word. The words of a text and its restored words are then scored.
 
 The score rests on features (words, and their first four and five letters) that labelled
 texts tie to the label: a feature's weight is the lower Wilson bound of the share of toxic
-texts among those that have it; a text's score is the largest weight of its features. Near
-copies would count one observation many times, so labelled texts that share their least word
-hash count once.
+texts among those that have it; a text's score is the largest weight of its features. Very
+many features are looked at, so one counts only if its share would be a rare accident among
+all of them (``ACCIDENTS``), by its divergence from the share of toxic texts. Near copies
+would count one observation many times, so labelled texts that share the least hash of their
+word triples count once.
 
 Labels are learned from a bounded sample (``LABELLED_ROWS``); the language model from every
 text. Labels, language, source and id are never inputs of a score.
@@ -37,6 +39,7 @@ from firmaforge.session import cut
 
 LABELLED_ROWS = 20_000
 LEAST_TEXTS = 5
+ACCIDENTS = 0.01  # expected number of features that are there by chance
 CONFIDENCE = 2.0
 LEXICON = 20_000
 LETTERS = 32  # 0 word end, 1-26 a-z, 27-31 the other bytes by their last bits
@@ -176,9 +179,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = LA
     own = texts.join(F.broadcast(sample), "id_").select("toxic_", "text_")
 
     def extract(ts):
-        sets = [sorted(set(words(t))) if t else [] for t in ts]
-        least = [min((xxhash.xxh3_64_intdigest(w) for w in s), default=0) >> 1 for s in sets]
-        return [least, [sorted({f for w in s for f in features(w)}) for s in sets]]
+        split = [words(t) if t else [] for t in ts]
+        # Single words won't do: texts of one language share their least common word.
+        triples = [[b" ".join(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))] for ws in split]
+        least = [min(map(xxhash.xxh3_64_intdigest, own)) >> 1 for own in triples]
+        return [least, [sorted({f for w in set(ws) for f in features(w)}) for ws in split]]
 
     seen = cut(
         map_text(own, extract, "least_ long, features_ array<binary>", ["toxic_"], "text_")
@@ -193,8 +198,18 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = LA
     share, z2 = F.col("bad") / F.col("n"), CONFIDENCE**2
     spread = CONFIDENCE * F.sqrt(share * (1 - share) / F.col("n") + z2 / (4 * F.col("n") * F.col("n")))
     bound = (share + z2 / (2 * F.col("n")) - spread) / (1 + z2 / F.col("n"))
+    counts = cut(counts)
+    tried = counts.count()
+    base = seen.agg(F.avg("toxic_")).first()[0] or 0.0
+    if not 0 < base < 1:
+        return {}
+    # Texts times the divergence of the share from the base rate: the negative logarithm of
+    # the chance to see such a share or a larger one, at least.
+    part = lambda x, p: F.when(x > 0, x * F.log(x / F.lit(p))).otherwise(0.0)
+    evidence = F.col("n") * (part(share, base) + part(1 - share, 1 - base))
     picked = (
         counts.filter(F.col("bad") >= LEAST_TEXTS)
+        .filter((share > base) & (evidence >= float(np.log(max(tried, 1) / ACCIDENTS))))
         .select("f", bound.alias("w"))
         .filter("w >= 0.2")
         .orderBy(F.desc("w"), "f")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from firmaforge.llm.batches import table
 from firmaforge.session import cut
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 DEPTH = 80
 DOMINATES = 0.6
 
