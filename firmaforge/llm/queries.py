@@ -12,6 +12,7 @@ from firmaforge.llm.quality import op2_quality_rules
 from firmaforge.llm.secrets import op8_secret_scans
 from firmaforge.llm.simhash import op6_simhash_near_dedup
 from firmaforge.llm.toxicity import op7_toxicity
+from firmaforge.llm.twins import DECONTAMINATION
 from firmaforge.llm.wrappers import op1_html_extraction
 
 QUERIES = {
@@ -27,4 +28,6 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_benchmark_decontamination": DECONTAMINATION}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

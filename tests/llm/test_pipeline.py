@@ -95,6 +95,22 @@ def test_queries_return_whole_tables(spark, name):
         assert 0 < rows <= table(spark, SF_DIR, "documents").count()
 
 
+@needs_tables
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_twins(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for file in Path(SF_DIR).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
+    want = con.execute(queries.ORACLES[name])
+    columns = sorted(c[0] for c in want.description)
+    at = {c[0]: i for i, c in enumerate(want.description)}
+    expected = sorted(tuple(r[at[c]] for c in columns) for r in want.fetchall())
+    got = queries.QUERIES[name](spark, SF_DIR).select(columns)
+    assert sorted(tuple(r) for r in got.collect()) == expected
+
+
 def test_helpers(spark):
     assert fresh(["A", "b"], "a") == "_a"
     labels = spark.range(5000).withColumnRenamed("id", "doc_id")
