@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from firmaforge.sources.raw import latest_per_key
+from firmaforge.sources.raw import high_water_mark, latest_per_key, newer_than
 from firmaforge.session import new_shared_path
 
 
@@ -108,6 +108,18 @@ def upsert_latest(stream: DataFrame, table: BucketedTable, order: list[str], che
     )
 
 
+def load_increment(
+    table: BucketedTable, raw: DataFrame, last_batch: int, ts: str, order: list[str] | None = None, overlap: str | None = None
+) -> int:
+    """One batch load of what arrived since the last one; rewrites touched buckets only.
+
+    Returns the number of the new batch; ``last_batch`` is -1 before the first load.
+    """
+    mark = None if last_batch < 0 else high_water_mark(table.read(last_batch), ts)
+    table.merge(newer_than(raw, mark, ts, overlap), order or [ts], last_batch + 1)
+    return last_batch + 1
+
+
 def complete_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write a small result table (bounded by its keys) after every micro-batch.
 

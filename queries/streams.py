@@ -35,6 +35,23 @@ def stream_upsert_latest(spark, d):
     return table.read(last).select("user_id", "event_id", "value")
 
 
+@query(
+    "bronze_bucketed_load",
+    """SELECT user_id, event_id, event_type, value FROM events
+       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
+)
+def bronze_bucketed_load(spark, d):
+    """The early half of the events, then the rest, into a stored table by buckets of the key."""
+    events = views.table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    bounds = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    middle = bounds["lo"] + (bounds["hi"] - bounds["lo"]) / 2
+    out, _ = st.scratch(spark, "loaded")
+    table = st.BucketedTable(spark, out, events.schema, ["user_id"])
+    batch = st.load_increment(table, events.filter(F.col("ts") <= middle), -1, "ts", ["ts", "event_id"])
+    batch = st.load_increment(table, events, batch, "ts", ["ts", "event_id"])
+    return table.read(batch).select("user_id", "event_id", "event_type", "value")
+
+
 @query(
     "stream_day_histogram",
     "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS count FROM events GROUP BY 1",
