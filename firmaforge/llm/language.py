@@ -76,15 +76,19 @@ def vectors(texts: list[str | None]) -> np.ndarray:
 def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 120) -> np.ndarray:
     """A linear support vector machine (last weight: offset), squared hinge, y in -1, +1."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    # Everything in single precision: mixed types would copy the matrix in each round.
+    y = y.astype(np.float32)
     weight = (cost / len(x)) * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
+    weight = weight.astype(np.float32)
     rate = 1.0 / (1.0 + 2 * float((weight * (x * x).sum(1)).sum()))
-    w, look = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    w, look = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+    rate = np.float32(rate)
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ look))
-        new = look - rate * (look - 2 * x.T @ (weight * slack * y))
-        look = new + k / (k + 3) * (new - w)
+        new = look - rate * (look - 2 * (x.T @ (weight * slack * y)))
+        look = new + np.float32(k / (k + 3)) * (new - w)
         w = new
-    return w.astype(np.float32)
+    return w
 
 
 def vote(x: np.ndarray, classes: list, machines: dict) -> tuple[np.ndarray, np.ndarray]:
