@@ -43,7 +43,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return len(ids) // 4, np.frombuffer(ids, "<i4"), decode(ids).decode(errors="replace")
 
     fields = "n_tokens long, token_ids array<int>, decoded string"
-    return bpe.encode(docs, ranks, pattern, ["doc_id", "lang", "source"], finish, fields)
+    # Workers that ran the other stages hold memory of theirs, so this one takes less.
+    small = dict(dictionary_words=1 << 16, kept_pieces=100_000, counted_at_once=150_000)
+    return bpe.encode(docs, ranks, pattern, ["doc_id", "lang", "source"], finish, fields, **small)
 
 
 STAGES = [

@@ -174,7 +174,7 @@ def pieces(text: str) -> list[str] | None:
     return text.split(" ")
 
 
-def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+def word_counts(docs: DataFrame, pattern: str, text: str = "text", at_once: int = COUNTED_AT_ONCE) -> DataFrame:
     """Columns word, n: how often each word of at most ``WORD_BYTES`` bytes stands in the texts."""
 
     def run(batches):
@@ -203,7 +203,7 @@ def word_counts(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
                     elif cut_:
                         count.update(find(cut_[0]))
                         inner.update(cut_[1:])
-                if len(inner) + len(count) > COUNTED_AT_ONCE:
+                if len(inner) + len(count) > at_once:
                     yield out()
         yield out()
 
@@ -233,15 +233,18 @@ def encode(
     fields: str,
     text: str = "text",
     dictionary_words: int = DICTIONARY_WORDS,
+    kept_pieces: int = KEPT_PIECES,
+    counted_at_once: int = COUNTED_AT_ONCE,
 ) -> DataFrame:
     """``keep`` and ``fields``, which ``finish`` makes of each text's ids.
 
     ``finish`` gets the ids of a text as little-endian unsigned 32-bit integers (bytes) and
-    returns a tuple of values. The pattern must let a word hold a space only in front.
+    returns a tuple of values. The pattern must let a word hold a space only in front. The
+    last three parameters trade memory of a task for time and don't change results.
     """
     spark = docs.sparkSession
     rank = Ranks(spark, ranks)
-    counts = cut(word_counts(docs, pattern, text))
+    counts = cut(word_counts(docs, pattern, text, counted_at_once))
     # A fold is long work on few bytes, so its rows are dealt out and not left to their size.
     tasks = 2 * spark.sparkContext.defaultParallelism
     coded = frequent(counts, dictionary_words).repartition(tasks).select("word", rank.encode(F.col("word")).alias("ids"))
@@ -278,7 +281,7 @@ def encode(
         def code(piece):
             got = own.get(piece)
             if got is None:
-                if len(own) >= KEPT_PIECES:
+                if len(own) >= kept_pieces:
                     own.clear()
                 got = own[piece] = whole(" " + piece)
             return got

@@ -13,7 +13,6 @@ points, the end is exclusive; equal rows get equal results; other columns are ig
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 
@@ -126,6 +125,12 @@ class Novelty:
         return out
 
 
+def all_spans(text: str, measure: Novelty, novelty: float = NOVELTY) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of fixed patterns and novel strings, by start and kind."""
+    base = base_spans(text)
+    return sorted(base + measure.spans(text, base, novelty))
+
+
 def scan(
     docs: DataFrame, keep: list[str], field: str = "spans", text: str = "text", novelty: float = NOVELTY
 ) -> DataFrame:
@@ -134,48 +139,32 @@ def scan(
 
     def find(texts):
         measure = Novelty(dictionary)
-        out = []
-        for t in texts:
-            spans = base_spans(t) if t else []
-            if t:
-                spans = sorted(spans + measure.spans(t, spans, novelty))
-            out.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
-        return [out]
+        found = [all_spans(t, measure, novelty) if t else [] for t in texts]
+        return [[[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans] for spans in found]]
 
     return map_text(docs, find, f"`{field}` array<struct<kind:string,start:int,end:int>>", keep, text)
 
 
-def joined(spans: list[dict]) -> str:
-    return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
-
-
 def redact(docs: DataFrame, text: str = "text", length: str = "n_chars", mark: str = "<secret>") -> DataFrame:
     """All rows and columns of ``docs``; every span of a text is replaced by ``mark``."""
     names = docs.columns
-    found, out = fresh(names, "found_"), fresh(names, "clean_")
-    scanned = scan(docs, names, found, text)
+    out = fresh(names, "clean_")
+    dictionary = identifier_dictionary(docs, text)
 
     def clean(row_text, spans):
         parts, at = [], 0
-        for s in sorted(spans, key=lambda s: s["start"]):
-            if s["start"] >= at:
-                parts += [row_text[at : s["start"]], mark]
-            at = max(at, s["end"])
+        for start, _, end in spans:
+            if start >= at:
+                parts += [row_text[at:start], mark]
+            at = max(at, end)
         return "".join([*parts, row_text[at:]])
 
-    def run(batches):
-        for batch in batches:
-            texts, spans = batch.column(0), batch.column(1).to_pylist()
-            new = [clean(t, s) if s else t for t, s in zip(texts.to_pylist(), spans, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], pa.array(new, pa.string())], names=[*batch.schema.names[2:], out]
-            )
-
-    from pyspark.sql.types import StringType, StructType
+    def run(texts):
+        measure = Novelty(dictionary)
+        return [[clean(t, spans) if t and (spans := all_spans(t, measure)) else t for t in texts]]
 
-    schema = StructType([*docs.schema.fields]).add(out, StringType())
-    front = scanned.select(F.col(f"`{text}`").alias(fresh(names, "t_")), found, *[F.col(f"`{c}`") for c in names])
-    done = front.mapInArrow(run, schema)
+    # One pass over the texts, and so one Python worker for each task.
+    done = map_text(docs, run, f"`{out}` string", names, text)
     changed = ~F.col(out).eqNullSafe(F.col(f"`{text}`"))
     return done.select(
         *[
@@ -209,7 +198,3 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text_of(F.filter("spans", lambda s: s["kind"] != "novel")), 256).alias("base_sha256"),
         text_of(F.col("spans")).alias("spans"),
     )
-
-
-def digest(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()

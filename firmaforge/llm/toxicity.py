@@ -232,7 +232,7 @@ class Scorer:
             return max((weights.get(f, 0.0) for f in features(word)), default=0.0)
 
         cache: dict[bytes, float] = {}
-        restore = lru_cache(100_000)(lambda s: viterbi(s, model))
+        restore = lru_cache(20_000)(lambda s: viterbi(s, model))
 
         def score(text: str | None) -> float:
             if not text or not weights:
@@ -241,7 +241,7 @@ class Scorer:
             for w in set(words(text)):
                 got = cache.get(w)
                 if got is None:
-                    if len(cache) > 400_000:
+                    if len(cache) > 100_000:
                         cache.clear()
                     got = cache[w] = weigh(w)
                 best = max(best, got)
