@@ -8,10 +8,14 @@ group; texts that differ become slots, texts that never differ are part of the t
 
 The wrapper says where a host's pages differ in running text: from the root, the region of the
 article is the child that holds most of the slot text that is no link, as long as one child
-does. A page that marks its article (``article``, ``main``) is taken at its word. Menus,
-headers, footers, sidebars, notices, adverts, forms and comments are left out by element and
-by the words of class, id and role; outside of marked articles, texts of the template are left
-out too.
+does. An article that a page marks (``article``, ``main``) is a hint: it is checked against that
+region, and the region is taken where it holds far more text. Texts of the template are left
+out of every page, at their place only; so are menus, headers, footers, sidebars, notices,
+adverts, forms and comments, by element and by the words of class, id and role.
+
+Marked and unmarked pages of a host are two templates, aligned apart and then with each other.
+A text is of the template if it is on all pages and three of them differ in what they say, so
+copies of one page lose nothing.
 
 Pages are dealt to groups by host; a host of more than ``GROUP_BYTES`` is cut into groups by a
 hash of the page, each of which infers a wrapper of its own, so no task ever holds a host.
@@ -174,7 +178,7 @@ class Wrapper:
         self.items: list[Wrapper] = []
         self.optional = self.repeated = False
         self.value: str | None = None  # of a text that never differs
-        self.seen = 1
+        self.seen = 1  # pages
         self.mass = self.link_mass = 0
 
     def __str__(self) -> str:
@@ -206,7 +210,7 @@ def collapse(items: list[Wrapper]) -> list[Wrapper]:
         group = items[i : i + n]
         i += n
         while len(items) - i >= n and all(x.key == y.key for x, y in zip(group, items[i : i + n], strict=True)):
-            group = [align(x, y) for x, y in zip(group, items[i : i + n], strict=True)]
+            group = [align(x, y, same=True) for x, y in zip(group, items[i : i + n], strict=True)]
             i += n
         for g in group:
             g.repeated = True
@@ -241,7 +245,7 @@ def of_element(element: Element, depth: int = 0, link: bool = False) -> Wrapper:
     for c in element.children:
         if isinstance(c, str):
             take(c, link)
-        elif c.tag in INLINE or c.tag in VOID:
+        elif (c.tag in INLINE or c.tag in VOID) and not c.out:
             if any(not isinstance(x, str) and x.tag not in INLINE and x.tag not in VOID for x in c.children) and depth < DEPTH:
                 flush()
                 parts += of_element(c, depth + 1, link or c.tag == "a").items
@@ -288,11 +292,11 @@ def _common(a: list[Wrapper], b: list[Wrapper]) -> list[tuple[int, int]]:
     return out
 
 
-def align(a: Wrapper, b: Wrapper) -> Wrapper:
-    """One expression for what two match; both have one key."""
+def align(a: Wrapper, b: Wrapper, same: bool = False) -> Wrapper:
+    """One expression for what two match; both have one key. same: they may be of one page."""
     a.out = a.out or b.out
     a.optional, a.repeated = a.optional or b.optional, a.repeated or b.repeated
-    a.seen += b.seen
+    a.seen = max(a.seen, b.seen) if same else a.seen + b.seen
     a.mass += b.mass
     a.link_mass += b.link_mass
     if a.key == "#":
@@ -308,7 +312,7 @@ def align(a: Wrapper, b: Wrapper) -> Wrapper:
             lone.optional = True
             items.append(lone)
         if x < len(a.items):
-            items.append(align(a.items[x], b.items[y]))
+            items.append(align(a.items[x], b.items[y], same))
         i, j = x + 1, y + 1
     a.items = collapse(items) if len(items) != len(pairs) else items
     return a
@@ -344,14 +348,14 @@ def _left_out(w: Wrapper) -> int:
     return sum(_left_out(x) for x in w.items)
 
 
-def constants(wrapper: Wrapper, pages: int) -> set[str]:
-    """Texts of the template: on every one of three pages or more, at one place, never different."""
-    found, stack = set(), [wrapper]
+def constants(wrapper: Wrapper, pages: int) -> set[tuple[tuple[str, ...], str]]:
+    """(place, text) of the template: on every one of three pages or more, at one place, never different."""
+    found, stack = set(), [(wrapper, ())]
     while stack:
-        w = stack.pop()
+        w, place = stack.pop()
         if w.key == "#" and w.value is not None and w.seen >= max(3, pages) and not w.optional and not w.repeated:
-            found.add(w.value)
-        stack += w.items
+            found.add((place, w.value))
+        stack += [(x, place if x.key == "#" else (*place, x.key)) for x in w.items]
     return found
 
 
@@ -394,15 +398,43 @@ def locate(page: Element, path: list[str]) -> Element:
     return at
 
 
-def blocks(element: Element, template: set[str], inside: bool) -> list[str]:
-    """Texts of the blocks below an element in page order."""
-    out, text = [], []
+def trail(page: Element, element: Element) -> list[Element]:
+    """The elements from a page to one below it, both included."""
+    above, stack = [page], [iter(page.children)]
+    while above[-1] is not element:
+        for c in stack[-1]:
+            if not isinstance(c, str):
+                above.append(c)
+                stack.append(iter(c.children))
+                break
+        else:
+            stack.pop()
+            above.pop()
+    return above
+
+
+def blocks(page: Element, element: Element, template: set[tuple[tuple[str, ...], str]], inside: bool) -> list[str]:
+    """Texts of the blocks below an element of a page in page order, without those of the template."""
+    out, line, text = [], [], []
+    place = [e.key for e in trail(page, element)[1:] if e.tag not in INLINE]
 
-    def flush():
-        whole = " ".join("".join(text).split())
+    def part():
+        # A text as the wrapper sees it; <br> parts lines of it, cells are parts of a line.
+        if text and not (template and (tuple(place[:DEPTH]), " ".join("".join(t or "" for t in text).split())) in template):
+            line.extend(text)
         text.clear()
-        if whole and whole not in template:
-            out.append(whole)
+
+    def flush():
+        part()
+        run = []
+        for t in (*line, None):
+            if t is not None:
+                run.append(t)
+                continue
+            if whole := " ".join("".join(run).split()):
+                out.append(whole)
+            run.clear()
+        line.clear()
 
     stack = [(element, iter(element.children))]
     while stack:
@@ -415,37 +447,75 @@ def blocks(element: Element, template: set[str], inside: bool) -> list[str]:
                 flush()
                 continue
             if c.tag in ("td", "th"):
-                text.append(" ")
-            elif c.tag not in INLINE and c.tag not in ("img", "input"):
+                part()
+                line.append(" ")
+            elif c.tag in VOID:
+                if c.tag not in INLINE and c.tag not in ("img", "input"):
+                    text.append(None)
+            elif c.tag not in INLINE:
                 flush()
+            if c.tag not in INLINE and c.tag not in VOID:
+                place.append(c.key)
             stack.append((c, iter(c.children)))
             break
         else:
             if at.tag in ("td", "th"):
-                text.append(" ")
-            elif at.tag not in INLINE and at.tag not in ("img", "input"):
+                part()
+                line.append(" ")
+            elif at.tag not in INLINE and at.tag not in VOID:
                 flush()
+            if at.tag not in INLINE and at.tag not in VOID and place:
+                place.pop()
             stack.pop()
     flush()
     return out
 
 
+def part_of(page: Element, article: Element | None, path: list[str], template: set) -> tuple[Element, bool]:
+    """The element that holds the article, and whether the page marks it."""
+    own = locate(page, path)
+    if article is None or own is article:
+        return own, article is not None
+    size = lambda e, inside: sum(map(len, blocks(page, e, template, inside)))
+    if own in trail(page, article):
+        # No region, or the marked element holds its share of it.
+        if not path or size(article, True) >= (1 - DOMINATES) * size(own, False):
+            return article, True
+        return own, False
+    if article in trail(page, own) or size(article, True) >= size(own, False):
+        return article, True
+    return own, False
+
+
 def extract(pages: list[str | None]) -> list[str]:
     """The main text of each of a group of pages of one host."""
     trees = [parse(p) if p else None for p in pages]
     articles = [marked(t) if t is not None else None for t in trees]
-    unmarked = [t for t, a in zip(trees, articles, strict=True) if t is not None and a is None]
-    wrapper = infer([t for t in trees if t is not None])
-    path = region(infer(unmarked) if unmarked and len(unmarked) < len(trees) else wrapper) if unmarked else []
-    fixed = constants(wrapper, sum(t is not None for t in trees)) if unmarked else set()
+    path: dict[bool, list[str]] = {}
+    fixed: dict[bool, set] = {}
+    whole, n, said = None, 0, set()
+    for kind in (True, False):
+        own = [t for t, a in zip(trees, articles, strict=True) if t is not None and (a is not None) == kind]
+        if not own:
+            continue
+        different = {"\n".join(blocks(t, t, set(), True)) for t in own}
+        wrapper = infer(own)
+        path[kind] = region(wrapper)
+        fixed[kind] = constants(wrapper, len(own)) if len(different) >= 3 else set()
+        whole = wrapper if whole is None else align(whole, wrapper)
+        n += len(own)
+        said |= different
+    if len(path) == 2 and len(said) >= 3:
+        both = constants(whole, n)
+        fixed = {kind: known | both for kind, known in fixed.items()}
     out = []
     for tree, article in zip(trees, articles, strict=True):
         if tree is None:
             out.append("")
-        elif article is not None:
-            out.append("\n".join(blocks(article, set(), True)))
-        else:
-            out.append("\n".join(blocks(locate(tree, path), fixed, False)))
+            continue
+        kind = article is not None
+        element, inside = part_of(tree, article, path[kind], fixed[kind])
+        out.append("\n".join(blocks(tree, element, fixed[kind], inside)))
     return out
 
 

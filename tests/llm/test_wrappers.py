@@ -80,3 +80,26 @@ def test_hot_host_is_cut_and_every_row_returns(spark):
     found = sorted((r.page_id, r.text, r.n_chars) for r in got.collect())
     assert found == sorted([(i, f"text {i}", len(f"text {i}")) for i in range(60)] + [(60, "", 0)] * 2 + [(61, "", 0)])
     assert w.main_texts(df.limit(0)).count() == 0
+
+
+def test_template_texts_inside_marked_articles():
+    body = "<article><h2>{i}</h2><p>{t}</p><div class='x'>Rate this page</div><table><tr><td>Price</td><td>{i} EUR</td></tr></table></article>"
+    pages = [page(i, body.replace("{i}", str(i)).replace("{t}", lines(i, 1)[0])) for i in range(4)]
+    assert w.extract(pages) == [f"{i}\n{lines(i, 1)[0]}\nPrice {i} EUR" for i in range(4)]
+    # The cells are a repeated group, and so a slot. Two pages tell nothing, nor do copies of one page.
+    assert "Rate this page" in w.extract(pages[:2])[0]
+    assert w.extract(pages[:1] * 5) == [f"0\n{lines(0, 1)[0]}\nRate this page\nPrice 0 EUR"] * 5
+
+
+def test_template_texts_go_at_their_place_only():
+    body = "<article><div class='top'>Note</div><p>{i}</p><section><h2>{h}</h2><h3>x{i}</h3></section></article>"
+    pages = [page(i, body.replace("{i}", str(i)).replace("{h}", "Note" if i == 2 else f"h{i}")) for i in range(4)]
+    assert w.extract(pages)[2] == "2\nNote\nx2"
+
+
+def test_region_checks_a_marked_teaser():
+    pages = [
+        page(i, f"<div class='b'><div class='story'><h2>H {i}</h2><p>{' '.join(lines(i, 9))}</p></div></div><article><p>Teaser {i}</p></article>")
+        for i in range(4)
+    ]
+    assert [t.split("\n")[0] for t in w.extract(pages)] == [f"H {i}" for i in range(4)]
