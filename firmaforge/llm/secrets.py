@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and novelty measured by dictionary-primed zstandard.
 
-A candidate is a long mixed string (letters and digits) that stands behind a sensitive word.
+A candidate is a long string behind a sensitive word, or a string of any characters that is
+assigned to a name with a sensitive word (KEY=VALUE, query strings and quotes included). Names
+in front of = are no part of a candidate, and neither are spans of the fixed patterns.
 Its marginal compressed bytes are the bytes that the compressor, primed with a dictionary of
 the corpus's identifiers, needs for the surrounding code with the candidate, less those for
 the surrounding code alone. Words, paths and identifiers compress; keys don't. A candidate
-that costs at least ``novelty`` bytes a character and that no fixed pattern reports is a span
-of kind ``novel``.
+that costs at least ``novelty`` bytes a character is a span of kind ``novel``.
 
 Defined results: a null or empty text has no spans; whole texts are searched; spans count code
 points, the end is exclusive; equal rows get equal results; other columns are ignored.
@@ -31,8 +32,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(
-    r"(?ai:passw|passphrase|secret|token|key|auth|cred|bearer|private|signature|session|salt|jwt|hmac)"
+    r"(?ai:passw|passphrase|pwd|secret|token|key|auth|cred|bearer|private|signature|session|salt|jwt|hmac)"
 )
+# An = that is no padding parts a name from its value.
+PART = re.compile(r"=+(?=[^=])")
+# A value, and the name in front of it; the name's sensitive word is a word of its own, so
+# "author" is none.
+NAME = re.compile(r"""(?a)([A-Za-z_][A-Za-z0-9_.-]*)["']?[\x20\t]*$""")
+ASSIGNED = re.compile(
+    r"""(?a)(?::=|=>|[:=])[\x20\t]*(?:"([^"\n]{6,512})"|'([^'\n]{6,512})'|([^\s"'`,;&<>()\[\]{}]{6,}))"""
+)
+NAME_WORD = re.compile(
+    r"(?ai:(?<![a-z])(?:passw(?:or)?ds?|passphrases?|pwd|secrets?|tokens?|(?:api|access|secret|private|auth|db|master)?keys?"
+    r"|auth|authorization|cred(?:ential)?s?|bearer|private|signature|sig|session|salt|jwt|hmac)(?![a-z]))"
+)
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -40,6 +54,9 @@ IDENTIFIER = re.compile(r"([A-Za-z_][A-Za-z0-9_]{2,40})[\"']?\x20?$", re.ASCII)
 DICTIONARY_BYTES = 16 << 10
 NOVELTY = 0.5
 NEAR = 48
+LEAST_LONG = 16
+LONGEST_NAME = 128
+LEAST_VALUE = 6  # as in the assign pattern
 AROUND = 256
 
 
@@ -111,18 +128,41 @@ class Novelty:
         return size(around + b"\n" + own.encode(errors="replace")) - size(around + b"\n")
 
     def spans(self, text: str, base: list[tuple[int, int, int]], novelty: float) -> list[tuple[int, int, int]]:
-        out = []
-        for m in CANDIDATE.finditer(text):
-            own, a, b = m[0], m.start(), m.end()
-            if not any(c.isdigit() for c in own) or not any(c.isalpha() for c in own):
-                continue
-            if not SENSITIVE.search(text[max(0, a - NEAR) : a]):
-                continue
-            if any(s < b and a < e for s, _, e in base):
-                continue
-            if self.marginal(text, a, b) >= novelty * (b - a):
-                out.append((a, 3, b))
-        return out
+        out: list[tuple[int, int, int]] = []
+        for a, b in candidates(text):
+            for start, end in outside(a, b, [*base, *out]):
+                if end - start >= LEAST_VALUE and self.marginal(text, start, end) >= novelty * (end - start):
+                    out.append((start, 3, end))
+        return sorted(out)
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the strings to be measured, whole values of names first."""
+    found = []
+    for m in ASSIGNED.finditer(text):
+        front = text[max(0, m.start() - LONGEST_NAME) : m.start()]
+        if SENSITIVE.search(front) and (name := NAME.search(front)) and NAME_WORD.search(CAMEL.sub("_", name[1])):
+            found.append(m.span(m.lastindex))
+    for m in CANDIDATE.finditer(text):
+        run, a, near = m[0], m.start(), max(0, m.start() - NEAR)
+        bounds = [0, *(k for p in PART.finditer(run) for k in p.span()), len(run)]
+        for i, j in zip(bounds[::2], bounds[1::2], strict=True):
+            # The names in front within the string count, however long they are.
+            if j - i >= LEAST_LONG and SENSITIVE.search(text[near : a + i]):
+                found.append((a + i, a + j))
+    return found
+
+
+def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What is left of start to end without the spans."""
+    left = []
+    for a, _, b in sorted(s for s in spans if s[0] < end and start < s[2]):
+        if a > start:
+            left.append((start, a))
+        start = max(start, b)
+    if start < end:
+        left.append((start, end))
+    return left
 
 
 def all_spans(text: str, measure: Novelty, novelty: float = NOVELTY) -> list[tuple[int, int, int]]:

@@ -268,6 +268,22 @@ def test_novel_strings_in_sensitive_places():
     assert measure.spans("the page Zq8kX2vLw9RtY4mN7bPc1s stands alone", [], secrets.NOVELTY) == []
 
 
+def test_novel_values_of_names():
+    measure = secrets.Novelty(b"user_name = session_id = request_token_id_2 = " * 3)
+    known = {
+        "export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIKMDENGbPxRfiCYzzEXAMPLE": "wJalrXUtnFEMIKMDENGbPxRfiCYzzEXAMPLE",
+        "signature=9fA3kQ02LmZx81PqRt77": "9fA3kQ02LmZx81PqRt77",
+        "https://h/p?auth=9fA3kQ02LmZx81PqRt77&page=1": "9fA3kQ02LmZx81PqRt77",
+        "dbPwd: 'tr0ub4dor&3 x'": "tr0ub4dor&3 x",
+        "the auth key 8412907734412095551": "8412907734412095551",
+        "sha_auth: " + "0123456789ab" * 2 + "XqPzRtW9kLmN": "XqPzRtW9kLmN",
+    }
+    for text, want in known.items():
+        assert want in [text[a:b] for a, k, b in secrets.all_spans(text, measure) if k == 3], text
+    for text in ("author: Somebody", "keyboard=something", "session_id = request_token_id_2"):
+        assert secrets.all_spans(text, measure) == [], text
+
+
 def test_redact_keeps_rows_and_columns(spark, none):
     text = 'é token = "abcdef123" and ' + "0" * 24
     rows = [(1, text, len(text), "a"), (2, "clean", 99, None), (None, None, None, None), (1, "", 0, "x")]
