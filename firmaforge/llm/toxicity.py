@@ -1,10 +1,11 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-Insults are often disguised: 1d10t, i.d.i.o.t, i d i o t, idiiiot. Each suspicious string is
-read as a lattice in which every character may stand for itself, for a letter that it looks
-like, or (separators) for nothing, and a run of one letter for one or two. Viterbi decoding
-under a trigram language model of characters, counted over all texts, finds the likeliest
-plain word. The words of a text and its restored words are then scored.
+Insults are often disguised: 1d10t, i.d.i.o.t, i d i o t, idiiiot. Each suspicious string, however
+long, is read as a lattice in which every character may stand for itself, for a letter that it
+looks like, or (separators) for nothing or a word end, and a run of one letter for one or two.
+Letters of any script stand for themselves. Viterbi decoding under a trigram language model of
+characters, counted over all texts, finds the likeliest plain words. The words of a text and its
+restored words are then scored.
 
 The score rests on features (words, and their first four and five letters) that labelled
 texts tie to the label: a feature's weight is the lower Wilson bound of the share of toxic
@@ -50,14 +51,20 @@ LOOKS_LIKE = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "#": "h",
 }
 SEPARATORS = " .-_*~'`,:;/\\"
+NEARLY = 8.0  # see inner_words
+WORD_END = 0.5  # cost of a separator that is one
 
 _CODE = np.array([b - 96 if 97 <= b <= 122 else 27 + b % 5 if b >= 128 else 0 for b in range(256)], np.uint8)
 _WORD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+_L = r"[^\W\d_]"  # a letter of any script
 # A letter, then a character that is none inside the same string, or a letter three times.
-_ODD = re.compile(r"[a-z][^a-zà-ÿ\s]+[a-zà-ÿ]|[0-9@$!|+(<€£][a-z]|[a-z][0-9@$!|]|([a-z])\1\1")
-_SPACED = re.compile(r"(?<![^\s.,;:!?])(?:[a-z0-9@$!|][ .\-_*]){3,40}[a-z0-9@$!|](?![^\s.,;:!?])")
-_TRIM = re.compile(r"^[^a-zà-ÿ0-9@$!|+(<€£]+|[^a-zà-ÿ0-9@$|]+$")
-LONGEST = 64  # characters of a disguised word; longer strings stay as they are
+_ODD = re.compile(rf"{_L}(?:[^\w\s]|[\d_])+{_L}|[0-9@$!|+(<€£]{_L}|{_L}[0-9@$!|]|({_L})\1\1")
+_SPACED = re.compile(rf"(?<![^\s.,;:!?])(?:(?:{_L}|[0-9@$!|])[ .\-_*]){{2,}}(?:{_L}|[0-9@$!|])(?![^\s.,;:!?])")
+_TRIM = re.compile(r"^(?:[^\w@$!|+(<€£]|_)+|(?:[^\w@$|]|_)+$")
+# The same for texts of ASCII, where they are cheaper.
+_ODD_ASCII = re.compile(r"[a-z][^a-z\s]+[a-z]|[0-9@$!|+(<][a-z]|[a-z][0-9@$!|]|([a-z])\1\1")
+_TWICE = re.compile(r"([a-z])\1")
+LONGEST = 64  # characters of a disguised word whose decoding is remembered
 
 
 def words(text: str) -> list[bytes]:
@@ -105,12 +112,14 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def _options(ch: str, last: bool) -> list[tuple[str, float]]:
-    """What a character may stand for, with its cost; "" for nothing."""
-    if "a" <= ch <= "z":
+    """What a character may stand for, with its cost; "" for nothing, " " for a word end."""
+    if ch.isalpha():
         return [(ch, 0.0)]
     found = [(c, 1.0 + 0.5 * i) for i, c in enumerate(LOOKS_LIKE.get(ch, ""))]
     if ch in SEPARATORS or (last and ch in "!") or not found:
         found.append(("", 0.5 if ch in SEPARATORS else 3.0))
+        if ch in SEPARATORS:
+            found.append((" ", WORD_END))
     return found
 
 
@@ -126,6 +135,8 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
         for out, cost in _options(text[i], j == len(text)):
             if not out:
                 step.append(("", cost * run))
+            elif out == " ":
+                step.append((" ", cost))
             else:
                 step.append((out, cost + (0 if run == 1 else 1.0 if run == 2 else 0.3)))
                 if run > 1:
@@ -136,29 +147,86 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(text: str, model: np.ndarray) -> str:
-    """The plain word of least cost. States are the last two letters."""
-    code = lambda c: ord(c) - 96
-    best = {(0, 0): (0.0, "")}
+    """The plain words of least cost. States are the last two codes; one pass of any length."""
+    codes = lambda c: (ord(c) - 96,) if "a" <= c <= "z" else _CODE[list(c.encode(errors="replace"))].tolist()
+    price = model.item
+    best: dict = {(0, 0): (0.0, None)}
     for step in lattice(text):
         new: dict = {}
+        read = [(out, paid, [0] if out == " " else [x for c in out for x in codes(c)]) for out, paid in step]
         for (a, b), (cost, so_far) in best.items():
-            for out, paid in step:
+            for out, paid, letters in read:
                 x, y, total = a, b, cost + paid
-                for c in out:
-                    total += model[x, y, code(c)]
-                    x, y = y, code(c)
-                if (x, y) not in new or (total, so_far + out) < new[x, y]:
-                    new[x, y] = (total, so_far + out)
+                if letters == [0] and y == 0:
+                    letters = []  # no word has begun
+                for c in letters:
+                    total += price(x, y, c)
+                    x, y = y, c
+                if (x, y) not in new or total < new[x, y][0]:
+                    new[x, y] = (total, (so_far, out))
         best = new
-    return min((cost + model[a, b, 0], word) for (a, b), (cost, word) in best.items())[1]
+    at = min(((cost + (model[a, b, 0] if b else 0.0), (a, b)) for (a, b), (cost, _) in best.items()))[1]
+    out, node = [], best[at][1]
+    while node:
+        node, part = node
+        out.append(part)
+    return " ".join("".join(reversed(out)).split())
+
+
+def cost_of(plain: str, model: np.ndarray) -> float:
+    """The language model's cost of plain words."""
+    c = [0, 0, *_CODE[list(plain.encode(errors="replace"))].tolist(), 0]
+    return sum(map(model.item, c[:-2], c[1:-1], c[2:]))
+
+
+def inner_words(plain: str, likely, model: np.ndarray) -> list[str]:
+    """Words that ``likely`` takes and that a spaced-out run may hold besides those of its best path.
+
+    Every letter of such a run may begin or end a word. Three letters can't tell "astupid" from
+    "a stupid", so a reading counts whose cost is within ``NEARLY`` of the best one.
+    """
+    letters, ends = [], []
+    for i, w in enumerate(plain.split()):
+        letters += w
+        ends += [False] * (len(w) - 1) + [True]
+    found = []
+    for i in range(len(letters)):
+        for j in range(i + 3, min(len(letters), i + LONGEST) + 1):
+            word = "".join(letters[i:j])
+            if not likely(word):
+                continue
+            # The words around it as they are, up to the next word ends.
+            a, b = i, j
+            while a and not ends[a - 1]:
+                a -= 1
+            while b < len(letters) and not ends[b - 1]:
+                b += 1
+            best = "".join(c + " " * e for c, e in zip(letters[a:b], ends[a:b], strict=True)).strip()
+            own = " ".join(filter(None, ("".join(letters[a:i]), word, "".join(letters[j:b]))))
+            if cost_of(own, model) <= cost_of(best, model) + NEARLY:
+                found.append(word)
+    return found
+
+
+def singles(word: str) -> list[str]:
+    """A word of doubled letters with each of them once or twice; none if there are very many."""
+    out = [""]
+    at = 0
+    for m in _TWICE.finditer(word):
+        out = [w + word[at : m.start()] + m[0][:k] for w in out for k in (1, 2)]
+        at = m.end()
+        if len(out) > 256:
+            return []
+    return [w + word[at:] for w in out]
 
 
 def suspicious(text: str) -> list[str]:
     """Strings of a lower-case text that may hide a word."""
     found = [_TRIM.sub("", m[0]) for m in _SPACED.finditer(text)]
-    if _ODD.search(text):
-        found += [s for w in set(text.split()) if _ODD.search(w) and (s := _TRIM.sub("", w)) and _ODD.search(s)]
-    return [s for s in found if 3 <= len(s) <= LONGEST]
+    odd = _ODD_ASCII if text.isascii() else _ODD
+    if odd.search(text):
+        found += [s for w in set(text.split()) if odd.search(w) and (s := _TRIM.sub("", w)) and odd.search(s)]
+    return [s for s in found if len(s) >= 3]
 
 
 # Scores
@@ -232,7 +300,17 @@ class Scorer:
             return max((weights.get(f, 0.0) for f in features(word)), default=0.0)
 
         cache: dict[bytes, float] = {}
-        restore = lru_cache(20_000)(lambda s: viterbi(s, model))
+        known = lru_cache(20_000)(lambda s: viterbi(s, model))
+        restore = lambda s: known(s) if len(s) <= LONGEST else viterbi(s, model)
+
+        def of_word(word: bytes) -> float:
+            got = weigh(word)
+            if got < 0.5 and _TWICE.search(plain := word.decode(errors="replace")):
+                # Decoding can only give one of these words, so it waits until one weighs more.
+                each = singles(plain)
+                if not each or any(weigh(w.encode()) > got for w in each):
+                    got = max(got, *(weigh(w.encode()) for w in restore(plain).split()), 0.0)
+            return got
 
         def score(text: str | None) -> float:
             if not text or not weights:
@@ -243,11 +321,15 @@ class Scorer:
                 if got is None:
                     if len(cache) > 100_000:
                         cache.clear()
-                    got = cache[w] = weigh(w)
+                    got = cache[w] = of_word(w)
                 best = max(best, got)
             if best < 0.5:
                 for s in suspicious(text.lower()):
-                    best = max(best, weigh(restore(s).encode()))
+                    plain = restore(s)
+                    best = max(best, *(weigh(w.encode()) for w in plain.split()), 0.0)
+                    if best < 0.5 and _SPACED.fullmatch(s):
+                        inner = inner_words(plain, lambda w: weights.get(w.encode(), 0.0) >= 0.5, model)
+                        best = max(best, *(weights[w.encode()] for w in inner), 0.0)
             return max(best, self.rest)
 
         return score

@@ -320,6 +320,22 @@ def test_disguised_insults_are_restored(spark):
     assert all((got[i] >= 0.5) == (i % 4 == 0) for i in range(400))
 
 
+def test_limits_of_the_channel():
+    n = np.zeros((32, 32, 32))
+    for text in ["you are an idiot and a stupid man", "imb\u00e9cile", "class"] * 300:
+        c = toxicity._CODE[np.frombuffer(f"  {text}  ".encode(), np.uint8)].astype(int)
+        np.add.at(n, (c[:-2], c[1:-1], c[2:]), 1)
+    model = -np.log((n + 0.05) / (n.sum(2, keepdims=True) + 1.6))
+    bad = {"idiot": 0.9, "stupid": 0.9, "ass": 0.9, "imb\u00e9cile": 0.9}
+    score = toxicity.Scorer({w.encode(): v for w, v in bad.items()}, model).start()
+    long = " ".join("youareanidiotandastupidman")
+    for text in (long, " ".join("youarean" * 5) + " i d i o t", "what a s t u p i d man", "a s s", "idiiot", "1mb\u00e9cile", "imb\u00e9c1le"):
+        assert score(text) == 0.9, text
+    for text in ("class", "c l a s s", "you are a man", "y o u a r e a m a n"):
+        assert score(text) < 0.5, text
+    assert toxicity.viterbi("d.\u0443.\u0440.\u0430.\u043a", model).replace(" ", "").endswith("\u0443\u0440\u0430\u043a")
+
+
 def test_toxic_rows_go(spark, none):
     docs, labels = toxic_tables(spark)
     kept = toxicity.without_toxic(docs.withColumn("score", F.lit("x")), labels)
