@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from firmaforge.llm.audit import op11_filter_audit
 from firmaforge.llm.bpe import op4_byte_bpe
 from firmaforge.llm.chunks import op5_substring_dedup
 from firmaforge.llm.decontaminate import op3_benchmark_decontamination
 from firmaforge.llm.grades import op10_quality_classifier
 from firmaforge.llm.language import op9_language_id
+from firmaforge.llm.lines import op12_line_dedup
 from firmaforge.llm.quality import op2_quality_rules
 from firmaforge.llm.secrets import op8_secret_scans
 from firmaforge.llm.simhash import op6_simhash_near_dedup
 from firmaforge.llm.toxicity import op7_toxicity
-from firmaforge.llm.twins import DECONTAMINATION
+from firmaforge.llm.twins import DECONTAMINATION, FILTER_AUDIT, LINE_DEDUP
+from firmaforge.llm.whitening import op13_embedding_whitening
 from firmaforge.llm.wrappers import op1_html_extraction
 
 QUERIES = {
@@ -26,8 +29,15 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_benchmark_decontamination": DECONTAMINATION}
+ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": DECONTAMINATION,
+    "op11_filter_audit": FILTER_AUDIT,
+    "op12_line_dedup": LINE_DEDUP,
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
