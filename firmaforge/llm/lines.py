@@ -59,6 +59,17 @@ def line_entries(own: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
+def _distinct(batch: pa.RecordBatch, last: tuple | None) -> tuple[pa.RecordBatch, tuple | None]:
+    """Without the rows that equal the one before them (repeated documents), and the last row."""
+    if not batch.num_rows:
+        return batch, last
+    cells = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3, 4)])
+    other = np.ones(batch.num_rows, bool)
+    other[1:] = (cells[:, 1:] != cells[:, :-1]).any(axis=0)
+    other[0] = tuple(cells[:, 0].tolist()) != last
+    return batch if other.all() else batch.filter(pa.array(other)), tuple(cells[:, -1].tolist())
+
+
 def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool) -> Iterator[pa.RecordBatch]:
     """Places to drop, open places and counts of one sorted partition.
 
@@ -88,8 +99,9 @@ def _stream(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool)
             for b in line["held"]:
                 yield rows(b, None, 1, 0)
 
-    begun = False
+    begun, last = False, None
     for batch in batches:
+        batch, last = _distinct(batch, last)
         if not batch.num_rows:
             continue
         h1, h2, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))

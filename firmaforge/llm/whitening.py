@@ -290,9 +290,12 @@ def fit(vectors: DataFrame, k: int = COMPONENTS) -> Fit | None:
 
 def whiten(df: DataFrame, k: int = COMPONENTS, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, component, n, deviation, whitened, explained, identity_error of each vector and component."""
+    made = ["component", "n", "deviation", "whitened", "explained", "identity_error"]
+    if vec_id.lower() in made:
+        raise ValueError(f"rename {vec_id}: a column of the result has that name")
     vectors = df.select(F.col(f"`{vector}`").alias("v"))
     model = fit(vectors, k)
-    own = fresh(["component", "n", "deviation", "whitened", "explained", "identity_error"], vec_id)
+    own = fresh(["deviation", "all_", "v"], vec_id)
     source = df.select(F.col(f"`{vec_id}`").alias(own), F.col(f"`{vector}`").alias("v"))
     added = "deviation long, all_ array<double>"
     if model is None or not len(model.values):
