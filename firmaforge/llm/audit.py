@@ -62,7 +62,8 @@ def failure_masks(docs: DataFrame, keep: list[str], text: str = "text", doc_id:
     own = list(dict.fromkeys([doc_id, *keep]))
     facts = cut(map_text(docs, measured, "mask4_ int, low_ long, high_ long", own, text))
     first = facts.groupBy("low_", "high_").agg(F.min(doc_id).alias("first_"), F.count("*").alias("held_"))
-    first = first.filter("held_ > 1").drop("held_")
+    # Written down, so that the join has shuffles of its own, which the adaptive join may split.
+    first = cut(first.filter("held_ > 1").drop("held_"))
     copy = F.coalesce(F.col(f"`{doc_id}`") > F.col("first_"), F.lit(False))
     return facts.join(first, ["low_", "high_"], "left").select(
         *[F.col(f"`{c}`") for c in keep], (F.col("mask4_") + F.when(copy, 16).otherwise(0)).alias("mask_")
