@@ -13,11 +13,18 @@ Copies (records equal in everything that is compared) are folded into one profil
 a group of copies costs one row however large it is. A key shared by very many profiles is
 cut into slices that are paired tile by tile, as separate join keys, so no task gets the
 group as a whole; inside the join a bound on the graded fields discards hopeless pairs.
+
+Where the threshold leaves the name a least similarity over two thirds (0.8 for merging), a
+profile stands under the rarest pairs of neighbouring letters of its name only, as many as
+similar names can't all differ in, and lengths are compared too. Below that (0.4 for listing
+matches by site and mail host) no prefix is short enough to leave anybody out.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +33,7 @@ from pyspark.sql import functions as F
 from firmaforge.functions import similarity as sim
 from firmaforge.functions import text
 from firmaforge.operators.components import connected_components
-from firmaforge.operators.near_equal import near_equal_keys, whole_key
+from firmaforge.operators.near_equal import near_equal_keys
 from firmaforge.operators.ranking import top_rows
 from firmaforge.session import cut
 
@@ -193,19 +200,17 @@ def _tiled(keyed: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
         .select("_k", F.ceil(F.col("_n") / rows).cast("int").alias("_slices"))
     )
     # At most one row per ``rows`` profiles, usually none; AQE broadcasts it only when small.
-    sized = keyed.join(hot, "_k", "left").withColumn("_slices", F.coalesce("_slices", F.lit(1)))
-    sized = sized.withColumn("_own", F.pmod(F.xxhash64("profile"), F.col("_slices")).cast("int"))
-    left = sized.withColumn("_i", F.col("_own")).withColumn(
-        "_j", F.explode(F.sequence(F.col("_own"), F.col("_slices") - 1))
-    )
-    right = sized.withColumn("_j", F.col("_own")).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), F.col("_own")))
-    )
+    names = keyed.columns
+    slices = F.coalesce("_slices", F.lit(1))
+    own = F.pmod(F.xxhash64("profile"), slices).cast("int")
+    sized = keyed.join(hot, "_k", "left").select(*names, slices.alias("_slices"), own.alias("_own"))
+    left = sized.select(*names, F.col("_own").alias("_i"), F.explode(F.sequence(F.col("_own"), F.col("_slices") - 1)).alias("_j"))
+    right = sized.select(*names, F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i"))
     # Few bytes may mean many comparisons, so these partitions are counted out and not left to
     # be coalesced by size.
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     on = ["_k", "_i", "_j"]
-    return left.drop("_slices").repartition(parts, *on), right.drop("_slices").repartition(parts, *on)
+    return left.repartition(parts, *on), right.repartition(parts, *on)
 
 
 def _equal_flags() -> dict[str, Column]:
@@ -217,10 +222,6 @@ def _equal_flags() -> dict[str, Column]:
     }
 
 
-def _smallest_shared(name: str) -> Column:
-    return F.array_min(F.array_intersect(F.col(f"a.{name}"), F.col(f"b.{name}")))
-
-
 def _bag(name: Column) -> Column:
     """Characters of an ASCII text as integers, numbered by occurrence: the size of the
     intersection of two bags is an upper bound of the common subsequence."""
@@ -256,61 +257,152 @@ def _score_bound(weights: dict[str, float]) -> Column:
     return _weighted(weights, _parts(_equal_flags(), name, address))
 
 
-def _candidates(prof: DataFrame, rules: list[tuple[str, ...]], at: int, cfg: MatchConfig, threshold: float) -> DataFrame:
-    """Pairs found by one rule that no earlier rule finds, each exactly once."""
-    rule = rules[at]
+def least_name_similarity(weights: dict[str, float], rules: list[tuple[str, ...]], at: int, threshold: float) -> float:
+    """What the name must score in a pair that rule ``at`` finds and no earlier one does.
+
+    The address has full marks in this, and so have flags of the pair that the rule does not
+    ask for, as long as they would not let an earlier rule find it.
+    """
+    own = set(rules[at]) & set(FLAGS)
+    earlier = [set(r) for r in rules[:at]]
+    others = [f for f in FLAGS if f not in own]
+    best = 0.0
+    for size in range(len(others) + 1):
+        for more in combinations(others, size):
+            if not any(e <= own | set(more) for e in earlier):
+                best = max(best, sum(weights[f] for f in (*own, *more)))
+    return (threshold * sum(weights.values()) - best - weights["address"]) / weights["legal_name"]
+
+
+def _prefix_share(least: float) -> float | None:
+    """The share of a name's letters that prefixes of its grams have to cover; None: no use.
+
+    With a common subsequence of L letters, dx letters of one name and dy of the other are
+    lost, and 2 L >= r (2 L + dx + dy). A lost letter spoils two pairs of neighbours, an added
+    one spoils one, so 2 dx + dy pairs at most, which is greatest for dy = 0.
+    """
+    r = least - 0.005 - EPS  # scores are rounded to whole percents
+    if r <= 2 / 3:
+        return None
+    c = 2 * (1 - r) / r
+    return 2 * c / (1 + c)
+
+
+def _gram_ranks(prof: DataFrame) -> Column:
+    """Place of each pair of ASCII characters in an order from rare to frequent, by its code.
+
+    Counted over all names; there are 2^14 pairs at most, whatever the number of names.
+    """
+    counted = prof.select(F.explode(_gram_codes(F.col("name"))).alias("code")).groupBy("code").count().collect()
+    ranks = [0] * (1 << 14)
+    for rank, row in enumerate(sorted(counted, key=lambda row: (row["count"], row["code"]))):
+        ranks[row["code"]] = rank
+    return F.from_json(F.lit(json.dumps(ranks)), "array<int>")
+
+
+def _gram_codes(name: Column) -> Column:
+    """Pairs of neighbours of an ASCII text with one space around it, as numbers."""
+    spaced = F.concat(F.lit(" "), name, F.lit(" "))
+    return F.transform(
+        F.sequence(F.lit(1), F.length(name) + 1),
+        lambda i: F.ascii(F.substring(spaced, i, F.lit(1))) * 128 + F.ascii(F.substring(spaced, i + 1, F.lit(1))),
+    )
+
+
+def _gram_prefix(name: Column, ranks: Column, share: float) -> Column:
+    """The rarest grams of a name, numbered by occurrence: similar names have one in common."""
+    ranked = F.sort_array(F.transform(_gram_codes(name), lambda code: F.get(ranks, code)))
+    numbered = F.transform(ranked, lambda rank, i: F.shiftleft(rank.cast("long"), 32) + i - F.array_position(ranked, rank))
+    return F.slice(numbered, 1, (F.floor(F.length(name) * share + 1e-9) + 1).cast("int"))
+
+
+def candidate_pairs(prof: DataFrame, cfg: MatchConfig = MatchConfig(), threshold: float | None = None) -> DataFrame:
+    """Pairs (a, b) of profiles that may reach the threshold, each exactly once.
+
+    All rules are keyed into one table and joined at once. Where a rule leaves the name a least
+    similarity over two thirds, profiles with equal flags meet only if the names share one of
+    their rarest grams and their lengths allow it.
+    """
+    threshold = cfg.minimum if threshold is None else threshold
+    rules = candidate_rules(cfg.weights, threshold)
     c = F.col
-    base, key = prof, [c("block")]
-    once = []
-    if "domain" in rule:
-        base, key = base.filter(c("domain") != ""), [*key, c("domain")]
-    if "phone" in rule:
-        base, key = base.withColumn("_phone", F.explode("phones")), [*key, c("_phone")]
-        once.append(c("a._phone") == _smallest_shared("phones"))
-    if "email" in rule:
-        base, key = base.withColumn("_host", F.explode("hosts")), [*key, c("_host")]
-        once.append(c("a._host") == _smallest_shared("hosts"))
-    if "legal_name" in rule:
-        # Full marks for both texts. Those are equal texts, or long ones a few letters apart
-        # (99.5 % rounds up), which share one of the keys.
-        base = base.filter((c("address") != "") & c("has_name"))
-        base = base.withColumn("_whole", whole_key(c("name"), c("address"))).withColumn(
-            "_piece", F.explode(near_equal_keys(c("name"), c("address")))
+    shares = [
+        None if "legal_name" in rule else _prefix_share(least_name_similarity(cfg.weights, rules, at, threshold))
+        for at, rule in enumerate(rules)
+    ]
+    least = [least_name_similarity(cfg.weights, rules, at, threshold) - 0.005 - EPS for at in range(len(rules))]
+    ranks = _gram_ranks(prof) if any(shares) else None
+    held = prof.withColumns(
+        {
+            "bag": _bag(c("name")),
+            "pieces": near_equal_keys(c("name"), c("address"))
+            if any("legal_name" in rule for rule in rules)
+            else F.array().cast("array<long>"),
+            **{f"grams_{at}": _gram_prefix(c("name"), ranks, share) for at, share in enumerate(shares) if share},
+        }
+    )
+    held = cut(held) if any(shares) or len(rules) > 1 else held
+    none, nothing = F.array(F.lit("")), F.array(F.lit(0).cast("long"))
+
+    def keys_of(at: int) -> Column:
+        rule = rules[at]
+        phones = c("phones") if "phone" in rule else none
+        hosts = c("hosts") if "email" in rule else none
+        pieces = c("pieces") if "legal_name" in rule else c(f"grams_{at}") if shares[at] else nothing
+        usable = (c("domain") != "") if "domain" in rule else F.lit(True)
+        if "legal_name" in rule:
+            usable = usable & c("has_name") & (c("address") != "")
+        if shares[at]:
+            usable = usable & c("has_name")
+
+        def item(phone: Column, host: Column, piece: Column) -> Column:
+            return F.struct(
+                F.lit(at).alias("rule"), phone.alias("phone"), host.alias("host"), piece.alias("piece")
+            )
+
+        made = F.flatten(
+            F.flatten(F.transform(phones, lambda p: F.transform(hosts, lambda h: F.transform(pieces, lambda g: item(p, h, g)))))
         )
-        key = [*key, c("_piece")]
-        # Equal texts share every key; they meet by the key of equality alone.
-        equal_texts = (c("a.name") == c("b.name")) & (c("a.address") == c("b.address"))
-        once.append(~equal_texts | (c("a._piece") == c("a._whole")))
-    left, right = _tiled(base.withColumn("_k", F.xxhash64(*key)), cfg.slice_rows)
+        return F.when(usable, made)
+
+    every = F.flatten(F.array_compact(F.array(*[keys_of(at) for at in range(len(rules))])))
+    keyed = held.select(*held.columns, F.inline(every)).withColumn(
+        "_k", F.xxhash64("rule", "block", "domain", "phone", "host", "piece")
+    )
+    left, right = _tiled(keyed, cfg.slice_rows)
+    equal = _equal_flags()
+
+    def smallest(name: str) -> Column:
+        return F.array_min(F.array_intersect(c(f"a.{name}"), c(f"b.{name}")))
+
+    met = None
+    for at, rule in enumerate(rules):
+        conds = [equal[f] for f in rule if f in equal]
+        if "phone" in rule:
+            conds.append(c("a.phone") == smallest("phones"))
+        if "email" in rule:
+            conds.append(c("a.host") == smallest("hosts"))
+        if shares[at]:
+            one, two = F.length("a.name"), F.length("b.name")
+            conds.append(2 * F.least(one, two) >= least[at] * (one + two))
+            conds.append(c("a.piece") == smallest(f"grams_{at}"))
+        if "legal_name" in rule:
+            conds.append(c("a.piece") == smallest("pieces"))
+        for earlier in rules[:at]:
+            found = reduce(lambda x, y: x & y, [equal[f] for f in earlier if f in equal], F.lit(True))
+            if "legal_name" in earlier:
+                texts = (c("a.address") != "") & (c("b.address") != "") & F.arrays_overlap("a.pieces", "b.pieces")
+                found = found & c("a.has_name") & c("b.has_name") & texts
+            conds.append(~found)
+        here = reduce(lambda x, y: x & y, conds)
+        met = F.when(c("a.rule") == at, here) if met is None else met.when(c("a.rule") == at, here)
     on = F.lit(True)
-    for part in ("_k", "_i", "_j"):
+    for part in ("_k", "_i", "_j", "rule", "block", "phone", "host", "piece"):
         on = on & (c(f"a.{part}") == c(f"b.{part}"))
-    once.append((c("a._i") < c("a._j")) | (c("a.id") < c("b.id")))
-    if "legal_name" in rule:
-        once.append(c("a._piece") == c("b._piece"))
-    equal = _equal_flags()
-    for earlier in rules[:at]:
-        found = F.lit(True)
-        for flag in earlier:
-            found = found & equal[flag]
-        once.append(~found)
-    for flag in rule:
-        if flag in equal:
-            once.append(equal[flag])
-    on = on & (c("a.block") == c("b.block"))
-    for cond in once:
-        on = on & cond
+    on = on & ((c("a._i") < c("a._j")) | (c("a.id") < c("b.id"))) & met
     on = on & (_score_bound(cfg.weights) >= threshold - EPS)
     fields = ["id", "copies", *PROFILE]
     pairs = left.alias("a").join(right.alias("b"), on)
-    if "legal_name" in rule:
-        # Long texts that differ a little may share several pieces. Pairs are made distinct as
-        # bare ids, which few are left of, and get their values back afterwards.
-        ids = pairs.select(F.least("a.id", "b.id").alias("_a"), F.greatest("a.id", "b.id").alias("_b")).distinct()
-        one, two = (
-            prof.select(c("id").alias(f"_{s}"), F.struct(*fields).alias(s)) for s in "ab"
-        )
-        return ids.join(one, "_a").join(two, "_b").select("a", "b")
     return pairs.select(*[F.struct(*[c(f"{s}.{f}") for f in fields]).alias(s) for s in "ab"])
 
 
@@ -361,12 +453,7 @@ def profile_matches(prof: DataFrame, cfg: MatchConfig = MatchConfig(), threshold
     ``copies_a * copies_b`` record pairs stand behind a row.
     """
     threshold = cfg.minimum if threshold is None else threshold
-    rules = candidate_rules(cfg.weights, threshold)
-    prof = cut(prof.withColumn("bag", _bag(F.col("name"))))
-    pairs = None
-    for at in range(len(rules)):
-        found = _candidates(prof, rules, at, cfg, threshold)
-        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = candidate_pairs(prof, cfg, threshold)
     return _labelled(_scored(pairs, cfg).filter(F.col("match_score") >= threshold), cfg)
 
 

@@ -214,3 +214,48 @@ def test_blocking_keys(spark):
     assert got["5"] == ["name:YAL", "city:BURSA"]
     text = df.select(r.composite_key(F.array().cast("array<string>"))).first()[0]
     assert text == "unknown"
+
+
+def many_firms(spark, n):
+    """One site, one number and one mail host for all; names of three words and a number."""
+    rng = random.Random(3)
+    syllables = [a + b for a in "bcdfghjklmnprstvz" for b in "aeiou"]
+    words = ["".join(rng.choices(syllables, k=rng.randrange(2, 5))) for _ in range(2000)]
+    rows = []
+    for i in range(n):
+        name = " ".join(rng.choices(words, k=3)) + f" {rng.randrange(100)}"
+        if i % 10 == 1:  # a slip of the one before
+            k = rng.randrange(len(name))
+            name = rows[-1][1][:k] + rows[-1][1][k + 1 :]
+        rows.append((f"{i:06d}", name, None, "hot.example", ["02121112233"], ["i@hot.example"], f"Street {i % 50}"))
+    return r.match_features(spark.createDataFrame(rows, FLAT))
+
+
+def test_grams_find_all_matches_and_few_others(spark):
+    cfg = r.MatchConfig()
+    assert r.least_name_similarity(cfg.weights, r.candidate_rules(cfg.weights, 0.95), 0, 0.95) == pytest.approx(0.8)
+    feats = many_firms(spark, 2000)
+    prof = r._prepared(feats, False)[1]
+    pairs = r.candidate_pairs(prof, cfg, cfg.exact).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    met = pairs.count()
+    found = pairs_of(r.profile_matches(prof, cfg, cfg.exact))
+    assert len(found) >= 150
+    # Of two million pairs with equal flags a few candidates for each match are scored.
+    assert met == pairs.distinct().count() < 20 * len(found)
+    some = sorted(feats.filter("id < '000150'").collect(), key=lambda x: x.id)
+    want = {k for k, score in brute_force(some).items() if score >= 0.95}
+    assert {k for k in found if max(k) < "000150"} == want and len(want) >= 10
+
+
+def pairs_of(df):
+    return {(m.company_a_id, m.company_b_id) for m in df.select("company_a_id", "company_b_id").collect()}
+
+
+@pytest.mark.parametrize("threshold", [0.79, 0.92, 0.97])
+def test_candidates_at_any_threshold(spark, threshold):
+    feats = many_firms(spark, 60).unionByName(
+        r.match_features(spark.createDataFrame([(f"x{i}", n, None, "hot.example", ["02121112233"], ["i@hot.example"], "Street 1")
+                                                for i, n in enumerate(["", "a", "ab", "ba", "a b", "ğ", "...", "aaaa aaaa", "aaaa aaab"])], FLAT))
+    )
+    want = {k for k, score in brute_force(feats.collect()).items() if score >= threshold}
+    assert pairs_of(r.profile_matches(r._prepared(feats, False)[1], threshold=threshold)) == want
