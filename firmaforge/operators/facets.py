@@ -203,6 +203,97 @@ def dashboard_rows(df: DataFrame) -> DataFrame:
     return rows.union(total.select(F.lit("total_companies"), F.lit("total"), "count"))
 
 
+# Panels of the dashboard with their inner buckets and sizes.
+NESTED = {"cities": ("city", "company_type", 20, 5), "industries": ("industry", "company_size", 15, 5)}
+
+
+def dashboard_buckets(df: DataFrame) -> DataFrame:
+    """The dashboard with its measures and inner buckets: panel, key, inner_key and measures.
+
+    One aggregation over grouping sets counts outer and inner buckets, tiers, histograms and the
+    flags of the whole together, so averages and sub-counts ride along. Only then are both
+    levels cut to their sizes. ``inner_key`` is null in outer buckets.
+    """
+    absent = [f for f in COMPLETENESS.values() if f not in df.columns]
+    if absent:
+        raise ValueError(f"the dashboard needs the columns {absent}")
+    keyed = df.select(
+        *[F.col(f).cast("string").alias(f) for pair in NESTED.values() for f in pair[:2]],
+        F.col("priority_tier").cast("string").alias("tier"),
+        (F.floor(F.col("rating") / 0.5) * 0.5).cast("double").cast("string").alias("step"),
+        F.date_format("last_updated", "yyyy-MM-dd").alias("day"),
+        "rating",
+        F.col("engagement_score").alias("engagement"),
+        *[present(df, c).cast("int").alias(n) for n, c in COMPLETENESS.items()],
+    )
+    columns = [f for pair in NESTED.values() for f in pair[:2]] + ["tier", "step", "day"]
+    sets = {(n, False): [o] for n, (o, *_) in NESTED.items()} | {(n, True): [o, i] for n, (o, i, *_) in NESTED.items()}
+    sets |= {("priority_distribution", False): ["tier"], ("rating_distribution", False): ["step"]}
+    sets |= {("recent_activity", False): ["day"], ("data_completeness", False): []}
+    counted = keyed.groupingSets([[F.col(c) for c in cols] for cols in sets.values()], *columns).agg(
+        F.grouping_id().alias("_set"),
+        F.count("*").alias("count"),
+        F.avg("rating").alias("avg_rating"),
+        F.avg("engagement").alias("avg_engagement"),
+        *[F.sum(n).alias(n) for n in COMPLETENESS],
+    )
+    panel, key, inner = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for (name, nested), cols in sets.items():
+        number = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in cols)
+        here = F.col("_set") == number
+        panel = F.when(here, name).otherwise(panel)
+        if cols:
+            key = F.when(here, F.col(cols[0])).otherwise(key)
+        if nested:
+            inner = F.when(here, F.col(cols[1])).otherwise(inner)
+    nested = F.col("_set").isin(
+        [sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in cols) for (_, n), cols in sets.items() if n]
+    )
+    # A few rows for each bucket from here on, whatever the number of companies.
+    rows = counted.select(panel.alias("panel"), key.alias("key"), inner.alias("inner_key"), nested.alias("_nested"),
+                          "count", "avg_rating", "avg_engagement", *COMPLETENESS)
+    buckets = rows.filter("panel <> 'data_completeness' AND key IS NOT NULL AND (NOT _nested OR inner_key IS NOT NULL)")
+    limits = {n: (outer, within) for n, (_, _, outer, within) in NESTED.items()}
+    size = F.lit(None).cast("int")
+    for name, (outer, within) in limits.items():
+        size = F.when(F.col("panel") == name, F.when(F.col("_nested"), within).otherwise(outer)).otherwise(size)
+    order = Window.partitionBy("panel", "_nested", F.when(F.col("_nested"), F.col("key"))).orderBy(
+        F.desc("count"), F.asc(F.coalesce("inner_key", "key"))
+    )
+    cut_ = buckets.withColumn("_r", F.row_number().over(order)).filter(size.isNull() | (F.col("_r") <= size))
+    # Inner buckets of an outer one that is left.
+    whole = Window.partitionBy("panel", "key")
+    cut_ = cut_.withColumn("_outer", F.count_if(~F.col("_nested")).over(whole)).filter("_outer > 0")
+    measured = cut_.select(
+        "panel", "key", "inner_key", "count",
+        F.when((F.col("panel") == "cities") & ~F.col("_nested"), F.col("avg_rating")).alias("avg_rating"),
+        F.when((F.col("panel") == "industries") & ~F.col("_nested"), F.col("avg_engagement")).alias("avg_engagement"),
+        *[F.when(F.col("panel") == "priority_distribution", F.col(f)).alias(n)
+          for n, f in (("with_email", "has_email"), ("with_website", "has_website"))],
+    )
+    flags = rows.filter("panel = 'data_completeness'").unpivot("panel", list(COMPLETENESS), "key", "count")
+    total = df.agg(F.countDistinct("company_id").alias("count")).select(
+        F.lit("total_companies").alias("panel"), F.lit("total").alias("key"), "count"
+    )
+    rest = flags.withColumn("count", F.coalesce("count", F.lit(0))).unionByName(total)
+    return measured.unionByName(rest, allowMissingColumns=True)
+
+
+def distinct_sketches(df: DataFrame, by: list[str], field: str, bits: int = 12) -> DataFrame:
+    """A mergeable sketch of the distinct values of a field for each group, to be stored.
+
+    Rows without a value add nothing. Sketches of later loads are appended as they are.
+    """
+    return df.groupBy(*by).agg(F.hll_sketch_agg(field, bits).alias("sketch"), F.count(field).alias("values"))
+
+
+def distinct_of_sketches(stored: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct values by fewer keys, from stored sketches alone: about 1.6 % off with 12 bits."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_count")
+    values = F.sum("values").alias("values")
+    return stored.groupBy(*by).agg(merged, values) if by else stored.agg(merged, values)
+
+
 def data_quality_panels(df: DataFrame) -> dict[str, DataFrame]:
     return {
         "missing": missing_counts(df, ["emails", "phones", "website_domain", "city"]),

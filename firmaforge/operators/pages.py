@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmaforge.functions.text import blank_to_null, collapse_edges, url_domain
-from firmaforge.operators.ranking import top_rows
 
 # Role mailboxes read off pages.
 PAGE_EMAIL = r"\b(?:info|contact|sales|support|hello|admin|office)@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
@@ -174,14 +173,37 @@ def keyword_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
     )
 
 
+def top_words(text: Column, limit: int = 20) -> Column:
+    """The ``limit`` most frequent words of a text; ties in alphabetical order.
+
+    A page is one row, so its words are sorted and counted by runs within it: no shuffle. Both
+    arrays are bound as variables of a lambda, so that they are made once per row.
+    """
+
+    def bound(value: Column, use) -> Column:
+        return F.transform(F.array(value), use)[0]
+
+    def starts(words: Column) -> Column:
+        places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+
+    def ranked(words: Column, at: Column) -> Column:
+        runs = F.transform(
+            at, lambda k, i: F.struct((k - F.coalesce(F.get(at, i + 1), F.size(words))).alias("n"), F.get(words, k).alias("word"))
+        )
+        return F.transform(F.slice(F.sort_array(runs), 1, limit), lambda run: run["word"])
+
+    return bound(F.sort_array(page_words(text)), lambda words: bound(starts(words), lambda at: ranked(words, at)))
+
+
 def keywords(df: DataFrame, id_col: str, text: str, limit: int = 20) -> DataFrame:
-    """The ``limit`` most frequent words per page as an array; ties in alphabetical order."""
-    top = top_rows(keyword_counts(df, id_col, text), [id_col], [F.desc("n"), F.asc("word")], limit)
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word")))
-    return top.groupBy(id_col).agg(F.transform(ranked, lambda x: x["word"]).alias("keywords"))
+    """id and keywords of the pages that have any."""
+    # Exploded and not filtered, since a filter would be pushed down and count all words twice.
+    found = F.filter(F.array(top_words(F.col(text), limit)), lambda words: F.size(words) > 0)
+    return df.select(id_col, F.explode(found).alias("keywords"))
 
 
-def parse_pages(pages: DataFrame, id_col: str = "url", html: str = "html") -> DataFrame:
+def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """All page facts. Text and links are computed once and shared by the extractors."""
     h = F.col(html)
     prepared = pages.withColumns({"_text": visible_text(h), "_links": links(h)})
@@ -197,12 +219,9 @@ def parse_pages(pages: DataFrame, id_col: str = "url", html: str = "html") -> Da
     }
     if "headers" in pages.columns:
         facts["ssl_enabled"] = ssl_enabled(F.col("headers"))
-    words = keywords(prepared.select(id_col, "_text"), id_col, "_text")
+    facts["keywords"] = F.coalesce(top_words(F.col("_text")), F.array().cast("array<string>"))
     kept = [c for c in pages.columns if c not in (html, *facts)]
-    parsed = prepared.select(*kept, *[v.alias(n) for n, v in facts.items()])
-    return parsed.join(words, id_col, "left").withColumn(
-        "keywords", F.coalesce("keywords", F.array().cast("array<string>"))
-    )
+    return prepared.select(*kept, *[v.alias(n) for n, v in facts.items()])
 
 
 def with_contact_page(parsed: DataFrame, url: str = "url", status: str = "status_code") -> DataFrame:

@@ -1,9 +1,10 @@
 """Ranked text search over term postings: multi-field, all-terms, fuzzy, prefix.
 
-An index is three stored tables: postings sorted by term, so that most row groups are
-skipped, a vocabulary with the document frequency of each term of each field, and statistics
-of one row per field. A query finds its terms in the vocabulary first, where each distinct
-term is compared once, and then reads the postings of those terms only.
+An index is four stored tables: postings sorted by term, so that most row groups are
+skipped, a vocabulary with the document frequency of each term of each field, its terms by what
+is left of them when a letter or two are deleted, and statistics of one row per field. A query
+finds its terms in the vocabulary first, near ones by looking up its own deletions, and then reads
+the postings of those terms only.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ class Index:
     postings: DataFrame  # id, field, term, tf, length
     vocabulary: DataFrame  # field, term, df
     stats: DataFrame  # field, docs, mean_length: one row per field
+    deletions: DataFrame  # left, field, term, df: sorted by what is left
 
 
 def _field_text(df: DataFrame, field: str) -> Column:
@@ -82,12 +84,15 @@ def build_index(
     written = df.sparkSession.read.parquet(f"{path}/postings")
     vocabulary = written.groupBy("field", "term").agg(F.count("*").alias("df"))
     vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    terms = df.sparkSession.read.parquet(f"{path}/vocabulary")
+    near = terms.select(F.explode(deletions(F.col("term"))).alias("left"), "field", "term", "df")
+    near.repartitionByRange("left", "term").sortWithinPartitions("left").write.mode("overwrite").parquet(f"{path}/deletions")
     stats.write.mode("overwrite").parquet(f"{path}/stats")
     return read_index(df.sparkSession, path)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "vocabulary", "stats")])
+    return Index(*[spark.read.parquet(f"{path}/{part}") for part in ("postings", "vocabulary", "stats", "deletions")])
 
 
 def query_terms(query: str, stop_words: list[str] | None = None) -> list[str]:
@@ -128,19 +133,63 @@ def edit_distance(term: Column, wanted: str, limit: int) -> Column:
     return F.when(near, best)
 
 
+# Letters of a term whose deletions are stored: of two terms within k edits, what is left of
+# their first letters is equal after k deletions from each at most.
+DELETED_FROM = 8
+
+
+def deletions(term: Column) -> Column:
+    """The first letters of a term, without none, one or two of them: 37 texts at most.
+
+    Terms under four letters are no more than one edit from any that asks for them, and under
+    two letters none (see :func:`allowed_edits`).
+    """
+    s = F.left(term, F.lit(DELETED_FROM))
+    n = F.length(s)
+    rest = F.lit(DELETED_FROM)
+    none = F.array().cast("array<string>")
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.left(s, i - 1), F.substring(s, i + 1, rest)))
+    two = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), n - 1),
+            lambda i: F.transform(
+                F.sequence(i + 1, n),
+                lambda j: F.concat(F.left(s, i - 1), F.substring(s, i + 1, j - i - 1), F.substring(s, j + 1, rest)),
+            ),
+        )
+    )
+    size = F.length(term)
+    return F.array_distinct(
+        F.concat(F.array(s), F.when(size >= 2, one).otherwise(none), F.when(size >= 4, two).otherwise(none))
+    )
+
+
+def deletions_of(term: str, limit: int) -> set[str]:
+    """The same for one term of a query."""
+    left = {term[:DELETED_FROM]}
+    for _ in range(limit):
+        left |= {x[:i] + x[i + 1 :] for x in left for i in range(len(x))}
+    return left
+
+
 def matching_terms(index: Index, terms: list[str], fields: Iterable[str], fuzzy: bool) -> DataFrame:
-    """Entries of the vocabulary near the terms asked for: field, term, df, wanted, edits."""
-    kept = index.vocabulary.filter(F.col("field").isin(list(fields)))
+    """Entries of the vocabulary near the terms asked for: field, term, df, wanted, edits.
+
+    Near terms share a deletion with a wanted one, which the scan of the stored deletions looks
+    up; only those are compared by their edits.
+    """
+    named = F.col("field").isin(list(fields))
     if not fuzzy:
-        hit = kept.filter(F.col("term").isin(terms))
+        hit = index.vocabulary.filter(named & F.col("term").isin(terms))
         return hit.withColumn("wanted", F.col("term")).withColumn("edits", F.lit(0))
+    asked = sorted(set().union(*[deletions_of(t, allowed_edits(t)) for t in terms]))
+    kept = index.deletions.filter(F.col("left").isin(asked) & named).select("field", "term", "df").distinct()
     # One struct per query term; an entry near two of them counts for both.
     options = []
     for wanted in terms:
         edits = edit_distance(F.col("term"), wanted, allowed_edits(wanted))
         options.append(F.when(edits.isNotNull(), F.struct(F.lit(wanted).alias("wanted"), edits.alias("edits"))))
-    any_near = reduce(lambda a, b: a | b, [o.isNotNull() for o in options])
-    return kept.filter(any_near).select("field", "term", "df", F.inline(F.array_compact(F.array(*options))))
+    return kept.select("field", "term", "df", F.inline(F.array_compact(F.array(*options))))
 
 
 def field_scores(index: Index, terms: list[str], fields: dict[str, float], fuzzy: bool) -> DataFrame:
@@ -393,3 +442,69 @@ def autocomplete(
     found = F.least(*[edits(n) for n in name_cols]) if len(name_cols) > 1 else edits(name_cols[0])
     hits = df.select(*shown, found.alias("edits")).filter("edits IS NOT NULL")
     return hits.orderBy("edits", *shown).limit(size)
+
+
+# Lengths of the prefixes that are stored.
+SHORTEST_PREFIX, LONGEST_PREFIX = 2, 20
+
+
+@dataclass(frozen=True)
+class PrefixIndex:
+    names: DataFrame  # prefix, folded, shown...: sorted by prefix
+    prefixes: DataFrame  # prefix: distinct
+    shown: tuple[str, ...]
+
+
+def _folded(name: Column) -> Column:
+    return fold_latin(F.lower(F.translate(name, "İ", "i")))
+
+
+def build_prefix_index(
+    df: DataFrame,
+    name_cols: tuple[str, ...] = ("legal_name", "trade_name"),
+    shown: tuple[str, ...] = ("legal_name", "trade_name", "city", "company_type"),
+    path: str | None = None,
+) -> PrefixIndex:
+    """Store each row under the prefixes of its folded names, laid out by prefix."""
+    path = path or new_shared_path(df.sparkSession, "prefixes")
+    folded = F.array_distinct(F.array_compact(F.array(*[_folded(F.col(n)) for n in name_cols])))
+    named = df.select(F.explode(folded).alias("folded"), *shown)
+    lengths = F.sequence(F.lit(SHORTEST_PREFIX), F.least(F.length("folded"), F.lit(LONGEST_PREFIX)))
+    rows = named.filter(F.length("folded") >= SHORTEST_PREFIX).select(
+        F.explode(F.transform(lengths, lambda n: F.left("folded", n))).alias("prefix"), "folded", *shown
+    )
+    # A prefix that very many names share spans files.
+    rows.repartitionByRange("prefix", "folded").sortWithinPartitions("prefix").write.mode("overwrite").parquet(f"{path}/names")
+    stored = df.sparkSession.read.parquet(f"{path}/names")
+    distinct = stored.select("prefix").distinct().repartitionByRange("prefix").sortWithinPartitions("prefix")
+    distinct.write.mode("overwrite").parquet(f"{path}/prefixes")
+    return PrefixIndex(stored, df.sparkSession.read.parquet(f"{path}/prefixes"), shown)
+
+
+def autocomplete_indexed(index: PrefixIndex, prefix: str, size: int = 10, fuzzy: bool = True) -> DataFrame:
+    """What :func:`autocomplete` finds, by reading the rows of one prefix, or of near ones.
+
+    The first letter has to agree, so near prefixes come from a range of the distinct ones.
+    Prefixes of 2 to 18 letters are answered; beyond 18 only exact ones.
+    """
+    wanted = prefix.replace("İ", "i").lower().translate(str.maketrans(ACCENTED, PLAIN))
+    limit = allowed_edits(wanted) if fuzzy else 0
+    if len(wanted) < SHORTEST_PREFIX or (limit and len(wanted) + limit > LONGEST_PREFIX):
+        raise ValueError(f"stored prefixes have {SHORTEST_PREFIX} to {LONGEST_PREFIX} letters")
+    exact = index.names.filter(F.col("prefix") == wanted[:LONGEST_PREFIX])
+    found = exact.filter(F.col("folded").startswith(wanted)).select(*index.shown, F.lit(0).alias("edits"))
+    if limit:
+        edits = edit_distance(F.col("prefix"), wanted, limit)
+        lengths = F.length("prefix").between(max(1, len(wanted) - limit), len(wanted) + limit)
+        near = index.prefixes.filter(F.col("prefix").startswith(wanted[0]) & lengths & edits.isNotNull())
+        near = near.select("prefix", edits.alias("edits"))
+        # Prefixes within two edits of one text: their number follows the alphabet, not the names.
+        few = near.limit(LITERAL_TERMS + 1).collect()
+        names = index.names
+        if len(few) <= LITERAL_TERMS:
+            near = near.sparkSession.createDataFrame(few, near.schema)
+            names = names.filter(F.col("prefix").isin([r["prefix"] for r in few]))
+        found = found.unionByName(names.join(near, "prefix").select(*index.shown, "edits"))
+    # A row stands under several near prefixes and names, and has the fewest edits of them. Rows
+    # that are shown alike are one suggestion.
+    return found.groupBy(*index.shown).agg(F.min("edits").alias("edits")).orderBy("edits", *index.shown).limit(size)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from firmaforge.sources.raw import high_water_mark, latest_per_key, newer_than
-from firmaforge.session import new_shared_path
+from firmaforge.session import cut, discard, new_shared_path
 
 
 def read_files(spark: SparkSession, folder: str, schema, fmt: str = "parquet", name: str | None = None, per_batch: int = 100) -> DataFrame:
@@ -43,81 +44,58 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-class BucketedTable:
-    """A keyed table of which a micro-batch rewrites only the buckets that it touches.
+class KeyedTable:
+    """A Parquet table of one row per key, partitioned by a hash of the key.
 
-    A bucket is a hash of the key. ``heads`` of a batch names the version of each bucket, one
-    row each. A batch that is repeated after a failure writes the same folders again from the
-    heads of its predecessor, so the result is the same; what neither the heads of a batch nor
-    of its predecessor name is deleted.
+    A batch reads the partitions that its keys fall into, stages the merged rows, and overwrites
+    those partitions alone (Spark's dynamic partition overwrite). The latest row of a key wins,
+    so a batch that is repeated after a failure leaves the same rows. Readers should not run
+    while a batch is being written: partitions are replaced one by one.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema, keys: list[str], buckets: int = 64):
-        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
+        self.schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
+        empty = spark.createDataFrame([], self.schema).withColumn("_bucket", self._bucket())
+        empty.write.mode("ignore").partitionBy("_bucket").parquet(path)
 
     def _bucket(self):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def heads(self, batch: int) -> dict[int, int]:
-        """Version by bucket: at most ``buckets`` rows."""
-        if batch < 0:
-            return {}
-        rows = self.spark.read.schema("bucket int, version long").parquet(f"{self.path}/heads/{batch:010d}").collect()
-        return {r["bucket"]: r["version"] for r in rows}
+    def _stored(self) -> DataFrame:
+        schema = StructType([*self.schema.fields, StructField("_bucket", IntegerType())])
+        return self.spark.read.schema(schema).parquet(self.path)
 
-    def _rows(self, heads: dict[int, int]) -> DataFrame:
-        folders = [f"{self.path}/v{v:010d}/_bucket={b}" for b, v in sorted(heads.items())]
-        if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*folders)
-
-    def merge(self, incoming: DataFrame, order: list[str], batch: int) -> None:
+    def merge(self, incoming: DataFrame, order: list[str]) -> None:
         """Keep the latest row per key; an older row that arrives late changes nothing."""
-        incoming = incoming.persist()
-        try:
-            touched = {r["b"] for r in incoming.select(self._bucket().alias("b")).distinct().collect()}
-            before = self.heads(batch - 1)
-            stored = self._rows({b: v for b, v in before.items() if b in touched})
-            merged = latest_per_key(stored.unionByName(incoming), self.keys, order)
-            out = merged.withColumn("_bucket", self._bucket())
-            out.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/v{batch:010d}")
-        finally:
-            incoming.unpersist()
-        after = before | {b: batch for b in touched}
-        heads = self.spark.createDataFrame(sorted(after.items()), "bucket int, version long").coalesce(1)
-        heads.write.mode("overwrite").parquet(f"{self.path}/heads/{batch:010d}")
-        for b, v in self.heads(batch - 2).items() if batch > 1 else ():
-            if before.get(b) != v:
-                self._delete(f"{self.path}/v{v:010d}/_bucket={b}")
-
-    def _delete(self, folder: str) -> None:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-
-    def read(self, last_batch: int) -> DataFrame:
-        return self._rows(self.heads(last_batch))
-
-
-def upsert_latest(stream: DataFrame, table: BucketedTable, order: list[str], checkpoint: str) -> StreamingQuery:
+        fresh = cut(latest_per_key(incoming.select(*self.schema.names), self.keys, order))
+        # The buckets of the batch: no more than the table has.
+        touched = [r[0] for r in fresh.select(self._bucket()).distinct().collect()]
+        stored = self._stored().filter(F.col("_bucket").isin(touched)).drop("_bucket")
+        merged = latest_per_key(stored.unionByName(fresh), self.keys, order)
+        staged = cut(merged.withColumn("_bucket", self._bucket()))
+        staged.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "_bucket"
+        ).parquet(self.path)
+        discard(fresh, staged)
+
+    def read(self) -> DataFrame:
+        return self._stored().drop("_bucket")
+
+
+def upsert_latest(stream: DataFrame, table: KeyedTable, order: list[str], checkpoint: str) -> StreamingQuery:
     """Merge each micro-batch into the table."""
     return (
-        stream.writeStream.foreachBatch(lambda batch, number: table.merge(batch, order, number))
+        stream.writeStream.foreachBatch(lambda batch, _: table.merge(batch, order))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def load_increment(
-    table: BucketedTable, raw: DataFrame, last_batch: int, ts: str, order: list[str] | None = None, overlap: str | None = None
-) -> int:
-    """One batch load of what arrived since the last one; rewrites touched buckets only.
-
-    Returns the number of the new batch; ``last_batch`` is -1 before the first load.
-    """
-    mark = None if last_batch < 0 else high_water_mark(table.read(last_batch), ts)
-    table.merge(newer_than(raw, mark, ts, overlap), order or [ts], last_batch + 1)
-    return last_batch + 1
+def load_increment(table: KeyedTable, raw: DataFrame, ts: str, order: list[str] | None = None, overlap: str | None = None) -> None:
+    """One batch load of what arrived since the last one; rewrites touched partitions only."""
+    table.merge(newer_than(raw, high_water_mark(table.read(), ts), ts, overlap), order or [ts])
 
 
 def complete_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -8,6 +8,7 @@ from firmaforge.operators import facets as f
 from firmaforge.operators import filters as fl
 from firmaforge.operators.ranking import ordered_by, page
 from firmaforge.plans import gold, views
+from firmaforge.session import new_shared_path
 from queries.company_sql import COMPANY, SEGMENTS
 from queries.lake import segments
 from queries.registry import query
@@ -269,3 +270,55 @@ def cardinality(spark, d):
 def dashboard(spark, d):
     """All panels as rows: panel, key, count."""
     return f.dashboard_rows(enriched(spark, d))
+
+
+@query(
+    "dashboard_nested",
+    f"""WITH {SEGMENTS},
+          cities AS (SELECT city, count(*) AS n, avg(rating) AS r FROM segments WHERE city IS NOT NULL GROUP BY city ORDER BY n DESC, city LIMIT 20),
+          types AS (SELECT city, company_type, count(*) AS n FROM segments WHERE company_type IS NOT NULL AND city IN (SELECT city FROM cities)
+            GROUP BY city, company_type QUALIFY row_number() OVER (PARTITION BY city ORDER BY count(*) DESC, company_type) <= 5),
+          inds AS (SELECT industry, count(*) AS n, avg(engagement_score) AS e FROM segments WHERE industry IS NOT NULL GROUP BY industry ORDER BY n DESC, industry LIMIT 15),
+          sizes AS (SELECT industry, company_size, count(*) AS n FROM segments WHERE company_size IS NOT NULL AND industry IN (SELECT industry FROM inds)
+            GROUP BY industry, company_size QUALIFY row_number() OVER (PARTITION BY industry ORDER BY count(*) DESC, company_size) <= 5),
+          a(panel, key, inner_key, count, avg_rating, avg_engagement, with_email, with_website) AS (
+        SELECT 'total_companies', 'total', NULL, count(DISTINCT company_id), NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT, NULL::BIGINT FROM segments
+        UNION ALL SELECT 'cities', city, NULL, n, r, NULL, NULL, NULL FROM cities
+        UNION ALL SELECT 'cities', city, company_type, n, NULL, NULL, NULL, NULL FROM types
+        UNION ALL SELECT 'industries', industry, NULL, n, NULL, e, NULL, NULL FROM inds
+        UNION ALL SELECT 'industries', industry, company_size, n, NULL, NULL, NULL, NULL FROM sizes
+        UNION ALL SELECT 'priority_distribution', priority_tier, NULL, count(*), NULL, NULL, count(*) FILTER (len(emails) > 0), count(website_domain)
+          FROM segments WHERE priority_tier IS NOT NULL GROUP BY priority_tier
+        UNION ALL SELECT 'rating_distribution', CAST(floor(rating / 0.5) * 0.5 AS VARCHAR), NULL, count(*), NULL, NULL, NULL, NULL
+          FROM segments WHERE rating IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'recent_activity', strftime(last_updated, '%Y-%m-%d'), NULL, count(*), NULL, NULL, NULL, NULL
+          FROM segments WHERE last_updated IS NOT NULL GROUP BY 2
+        UNION ALL SELECT 'data_completeness', 'has_email', NULL, count(*) FILTER (len(emails) > 0), NULL, NULL, NULL, NULL FROM segments
+        UNION ALL SELECT 'data_completeness', 'has_phone', NULL, count(phones), NULL, NULL, NULL, NULL FROM segments
+        UNION ALL SELECT 'data_completeness', 'has_website', NULL, count(website_domain), NULL, NULL, NULL, NULL FROM segments
+        UNION ALL SELECT 'data_completeness', 'has_address', NULL, count(address), NULL, NULL, NULL, NULL FROM segments
+        UNION ALL SELECT 'data_completeness', 'has_social', NULL, count(*) FILTER (company_no % 4 = 1), NULL, NULL, NULL, NULL FROM segments)
+        SELECT panel, key, inner_key, count, round(avg_rating, 4) AS avg_rating, round(avg_engagement, 4) AS avg_engagement, with_email, with_website FROM a""",
+)
+def dashboard_nested(spark, d):
+    """All panels with averages, sub-counts and inner buckets, from one aggregation."""
+    rows = f.dashboard_buckets(enriched(spark, d))
+    return rows.withColumns({c: F.round(c, 4) for c in ("avg_rating", "avg_engagement")})
+
+
+@query(
+    "cardinality_stored",
+    """SELECT event_type, CAST(count(*) AS BIGINT) AS values, true AS within_error FROM events WHERE user_id IS NOT NULL GROUP BY event_type""",
+)
+def cardinality_stored(spark, d):
+    """Users by type of event, from sketches stored by day in two loads and merged."""
+    events = views.table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "user_id", "event_id")
+    path = new_shared_path(spark, "sketches")
+    for half in (0, 1):
+        part = events.filter(F.col("event_id") % 2 == half)
+        f.distinct_sketches(part, ["day", "event_type"], "user_id").write.mode("append").parquet(path)
+    merged = f.distinct_of_sketches(spark.read.parquet(path), ["event_type"])
+    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"))
+    off = F.abs(F.col("distinct_count") - F.col("exact"))
+    # Five standard errors of a sketch of 12 bits.
+    return merged.join(exact, "event_type").select("event_type", "values", (off <= 0.082 * F.col("exact")).alias("within_error"))

@@ -22,7 +22,7 @@ def search_records(spark, d):
 
 
 def website_records(spark, d):
-    parsed = page_ops.parse_pages(with_footer(spark, d).select("page_id", "url", "html"), "page_id")
+    parsed = page_ops.parse_pages(with_footer(spark, d).select("page_id", "url", "html"))
     return rec.website_records(parsed, fetched=F.lit(views.AS_OF).cast("timestamp"))
 
 

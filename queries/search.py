@@ -258,14 +258,36 @@ def competitors_by_name(spark, d):
     return s.competitors(enriched(spark, d), "000000042", index=company_index(spark, d)).limit(1).select("company_no")
 
 
-@query(
-    "autocomplete",
-    """WITH f AS (SELECT p_name, p_brand, p_partkey, CASE WHEN lower(p_name) LIKE 'smlal%' THEN 0
+_COMPLETED = """WITH f AS (SELECT p_name, p_brand, p_partkey, CASE WHEN lower(p_name) LIKE 'smlal%' THEN 0
          ELSE (SELECT min(damerau_levenshtein(left(lower(p_name), n), 'smlal')) FROM (VALUES (4), (5), (6)) AS v(n)) END AS edits
          FROM part WHERE left(lower(p_name), 1) = 's')
        SELECT p_name, p_brand, p_partkey, CAST(edits AS INTEGER) AS edits FROM f WHERE edits <= 1
-       ORDER BY edits, p_name, p_brand, p_partkey LIMIT 10""",
-)
+       ORDER BY edits, p_name, p_brand, p_partkey LIMIT 10"""
+
+
+@query("autocomplete", _COMPLETED)
 def autocomplete(spark, d):
     parts = views.table(spark, d, "part")
     return s.autocomplete(parts, "Smlal", 10, ("p_name",), ("p_name", "p_brand", "p_partkey"))
+
+
+@query("autocomplete_indexed", _COMPLETED)
+def autocomplete_indexed(spark, d):
+    """The same from stored prefixes."""
+    shown = ("p_name", "p_brand", "p_partkey")
+    index = _index(spark, d, "prefixes", lambda: s.build_prefix_index(views.table(spark, d, "part"), ("p_name",), shown))
+    return s.autocomplete_indexed(index, "Smlal", 10)
+
+
+@query(
+    "search_index_build",
+    f"""WITH {_POSTINGS}, t AS (SELECT term, length(term) AS n FROM postings GROUP BY term)
+        SELECT 'postings' AS part, (SELECT count(*) FROM postings) AS rows UNION ALL SELECT 'vocabulary', (SELECT count(*) FROM t)
+        UNION ALL SELECT 'documents', (SELECT docs FROM stats)""",
+)
+def search_index_build(spark, d):
+    """Build the index of the documents anew, and count what it holds."""
+    index = s.build_index(_documents(spark, d), "doc_id", TEXT)
+    parts = [("postings", index.postings), ("vocabulary", index.vocabulary)]
+    counts = [df.agg(F.lit(n).alias("part"), F.count("*").alias("rows")) for n, df in parts]
+    return counts[0].union(counts[1]).union(index.stats.select(F.lit("documents"), "docs"))

@@ -30,9 +30,9 @@ def stream_dedup(spark, d):
 def stream_upsert_latest(spark, d):
     stream = _stream(spark, d).select("user_id", "ts", "event_id", "value")
     out, checkpoint = st.scratch(spark, "latest")
-    table = st.BucketedTable(spark, out, stream.schema, ["user_id"])
-    last = st.run(st.upsert_latest(stream, table, ["ts", "event_id"], checkpoint))
-    return table.read(last).select("user_id", "event_id", "value")
+    table = st.KeyedTable(spark, out, stream.schema, ["user_id"])
+    st.run(st.upsert_latest(stream, table, ["ts", "event_id"], checkpoint))
+    return table.read().select("user_id", "event_id", "value")
 
 
 @query(
@@ -46,10 +46,10 @@ def bronze_bucketed_load(spark, d):
     bounds = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     middle = bounds["lo"] + (bounds["hi"] - bounds["lo"]) / 2
     out, _ = st.scratch(spark, "loaded")
-    table = st.BucketedTable(spark, out, events.schema, ["user_id"])
-    batch = st.load_increment(table, events.filter(F.col("ts") <= middle), -1, "ts", ["ts", "event_id"])
-    batch = st.load_increment(table, events, batch, "ts", ["ts", "event_id"])
-    return table.read(batch).select("user_id", "event_id", "event_type", "value")
+    table = st.KeyedTable(spark, out, events.schema, ["user_id"])
+    st.load_increment(table, events.filter(F.col("ts") <= middle), "ts", ["ts", "event_id"])
+    st.load_increment(table, events, "ts", ["ts", "event_id"])
+    return table.read().select("user_id", "event_id", "event_type", "value")
 
 
 @query(

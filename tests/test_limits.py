@@ -112,16 +112,21 @@ def test_exports_are_ordered(spark):
     assert [r.id for r in sinks.export_rows(df, limit=3).collect()] == [0, 1, 2]
 
 
-def test_bucketed_table_rewrites_touched_buckets_only(spark, tmp_path):
-    from firmaforge.streaming.bronze import BucketedTable
+def test_keyed_table_rewrites_touched_partitions_only(spark, tmp_path):
+    from firmaforge.streaming.bronze import KeyedTable
 
     schema = "k int, t int, v string"
-    table = BucketedTable(spark, str(tmp_path / "t"), schema, ["k"], buckets=4)
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, ["k"], buckets=4)
+    files = lambda: {str(f) for f in (tmp_path / "t").rglob("*.parquet")}
+    assert table.read().collect() == []
     batches = [[(i, 0, "a") for i in range(20)], [(1, 1, "b"), (2, -1, "late")], [(1, 2, "c"), (30, 0, "new")], []]
-    for n, rows in enumerate(batches):
+    for rows in batches:
         for _ in range(2):  # a repeated batch changes nothing
-            table.merge(spark.createDataFrame(rows, schema), ["t"], n)
-    got = {r.k: r.v for r in table.read(len(batches) - 1).collect()}
+            table.merge(spark.createDataFrame(rows, schema), ["t"])
+    got = {r.k: r.v for r in table.read().collect()}
     assert got == {i: "a" for i in range(20)} | {1: "c", 30: "new"}
-    versions = table.heads(3)
-    assert set(versions.values()) > {0} and max(versions.values()) == 2
+    before = files()
+    table.merge(spark.createDataFrame([(1, 3, "d")], schema), ["t"])
+    gone = before - files()
+    assert len({f.rsplit("/", 2)[1] for f in gone}) == 1  # one partition; the others keep their files
+    assert {r.k: r.v for r in table.read().collect()} == got | {1: "d"}
