@@ -139,7 +139,32 @@ def unify(records: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
     extra row per record and are reduced map-side. The second gathers distinct items only,
     which are what the result row holds anyway; :func:`company_items` gives them as rows.
     """
-    distinct = _distinct_items(records)
+    return unify_items(_distinct_items(records), as_of)
+
+
+def item_sums(records: DataFrame) -> DataFrame:
+    """The item rows and partial sums of :func:`unify`, to be stored and merged with later ones."""
+    rows = _distinct_items(records)
+    return rows.select(*GROUP, F.col("_i.kind").alias("kind"), F.col("_i.item").alias("item"), *SUMS)
+
+
+def merge_item_sums(stored: DataFrame, increment: DataFrame) -> DataFrame:
+    """Both as one: an item stands once, partial sums are added up. Raw rows are not read again."""
+    how = {"address": F.max, "first_seen": F.min, "last_updated": F.max}
+    both = stored.unionByName(increment).groupBy(*GROUP, "kind", "item")
+    return both.agg(*[how.get(c, F.sum)(c).cast(stored.schema[c].dataType).alias(c) for c in SUMS])
+
+
+def unify_sums(sums: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
+    """The companies of :func:`unify` out of stored item rows."""
+    return unify_items(sums.select(*GROUP, F.struct("kind", "item").alias("_i"), *SUMS), as_of)
+
+
+SUMS = ["address", "rating_sum", "rating_count", "reviews", "first_seen", "last_updated"]
+
+
+def unify_items(distinct: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
+    """The second aggregation of :func:`unify`."""
 
     def gathered(kind: str) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("_i.kind") == kind, F.col("_i.item"))))

@@ -7,7 +7,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+
 from firmaforge.operators.filters import compile_filters
+from firmaforge.session import cut, discard
 
 
 def land_json(df: DataFrame, path: str, by: str = "source_type", max_rows: int = 1_000_000) -> None:
@@ -122,6 +125,68 @@ def history(
     )
 
 
+def history_delta(
+    open_versions: DataFrame, increment: DataFrame, key: str, updated: str, ties: tuple[str, ...] = ()
+) -> DataFrame:
+    """Versions to be written after an increment: those that were open, and the new ones.
+
+    ``open_versions`` is the current version of each key, ``increment`` has later versions only
+    (a version that is not later than the open one of its key is an error, since closed versions
+    are not read again). Keys that the increment does not name are left out.
+    """
+    columns = increment.columns
+    order = [key, updated, *ties]
+    named = increment.select(F.col(key).alias("_key")).distinct()
+    touched = open_versions.join(named, F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(*columns)
+    late = F.struct(*[F.col(c) for c in order[1:]])
+    first = increment.groupBy(key).agg(F.min(late).alias("_first"))
+    before = touched.select(F.col(key).alias("_key"), late.alias("_open"))
+    wrong = before.join(first, F.col("_key").eqNullSafe(F.col(key))).filter(F.col("_first") <= F.col("_open"))
+    if not wrong.isEmpty():
+        raise ValueError("the increment holds versions that are not later than the stored ones")
+    return history(touched.unionByName(increment.select(*columns)), key, updated, ties=ties)
+
+
+def append_history(
+    spark: SparkSession, path: str, increment: DataFrame, load: int, key: str, updated: str,
+    ties: tuple[str, ...] = (), buckets: int = 64,
+) -> None:
+    """Close the open versions of the increment's keys and add its versions.
+
+    The table is partitioned by ``is_current``, the number of the load that closed a version and
+    a hash of the key. An increment reads the partitions of open versions that it touches. One
+    write replaces those and adds the versions that it closes, in partitions of its own number,
+    so a load that failed half-way is simply run again; one that was done is refused.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    staged_in = cut(increment)
+    time = staged_in.schema[updated].dataType
+    fields = [*staged_in.schema.fields, StructField("valid_from", time), StructField("valid_to", time)]
+    parts = ("is_current", "_load", "_bucket")
+    kinds = (BooleanType(), IntegerType(), IntegerType())
+    stored = StructType([*fields, *[StructField(n, k) for n, k in zip(parts, kinds, strict=True)]])
+    spark.createDataFrame([], stored).write.mode("ignore").partitionBy(*parts).parquet(path)
+    touched = [r[0] for r in staged_in.select(bucket).distinct().collect()]  # no more than there are buckets
+    open_ = spark.read.schema(stored).parquet(path).filter(F.col("is_current") & F.col("_bucket").isin(touched))
+    made = history_delta(open_, staged_in, key, updated, ties)
+    named = staged_in.select(F.col(key).alias("_key")).distinct()
+    others = open_.join(named, F.col(key).eqNullSafe(F.col("_key")), "left_anti").select(*made.columns)
+    rows = made.unionByName(others).withColumns(
+        {"_load": F.when(F.col("is_current"), 0).otherwise(load), "_bucket": bucket}
+    )
+    # Staged first, since what is overwritten is read here.
+    staged = cut(rows.select(*stored.names))
+    staged.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *parts
+    ).parquet(path)
+    discard(staged_in, staged)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    stored = spark.read.parquet(path).drop("_load", "_bucket")
+    return stored.withColumn("is_current", F.col("is_current").cast("boolean"))
+
+
 def search_documents(companies: DataFrame) -> DataFrame:
     """Flat search documents out of nested records, to be written as the search set."""
     no_texts = F.array().cast("array<string>")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from firmaforge.operators import facets as facet_ops
 from firmaforge.plans import gold, silver, views
+from firmaforge.session import cut
 from firmaforge.sources import raw
 from queries.company_sql import ADVICE_CASE, COMPANY, RATING, SEGMENTS, SOURCES
 from queries.registry import query
@@ -145,9 +146,8 @@ def silver_items(spark, d):
     return silver.company_items(views.union_view(spark, d))
 
 
-@query("silver_unify", _UNIFY)
-def silver_unify(spark, d):
-    return views.silver_view(spark, d).select(
+def _unified(companies):
+    return companies.select(
         "company_id",
         "legal_name",
         "city",
@@ -165,6 +165,21 @@ def silver_unify(spark, d):
     )
 
 
+@query("silver_unify", _UNIFY)
+def silver_unify(spark, d):
+    return _unified(views.silver_view(spark, d))
+
+
+@query("silver_two_loads", _UNIFY)
+def silver_two_loads(spark, d):
+    """The same from stored item rows of a first load, merged with those of a second."""
+    records = views.union_view(spark, d)
+    second = F.pmod(F.xxhash64("legal_name", "source_type"), F.lit(3)) == 0
+    stored = cut(silver.item_sums(records.filter(~second)))
+    merged = cut(silver.merge_item_sums(stored, silver.item_sums(records.filter(second))))
+    return _unified(silver.unify_sums(merged, views.AS_OF))
+
+
 @query(
     "silver_array_unnest",
     f"""WITH {COMPANY}, kw AS (SELECT company_no, unnest(keywords) AS keyword FROM company)

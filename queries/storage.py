@@ -99,6 +99,30 @@ def scd2_history(spark, d):
     )
 
 
+@query(
+    "scd2_two_loads",
+    """SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS valid_from,
+         strftime(lead(o_orderdate) OVER w, '%Y-%m-%d') AS valid_to, lead(o_orderkey) OVER w IS NULL AS is_current
+       FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
+)
+def scd2_two_loads(spark, d):
+    """Orders as versions of their customer, loaded in two increments of time."""
+    orders = views.table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    bounds = orders.agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi")).first()
+    middle = bounds["lo"] + (bounds["hi"] - bounds["lo"]) / 2
+    path = new_shared_path(spark, "history")
+    halves = (orders.filter(F.col("o_orderdate") <= middle), orders.filter(F.col("o_orderdate") > middle))
+    for load, half in enumerate(halves, 1):
+        sinks.append_history(spark, path, half, load, "o_custkey", "o_orderdate", ("o_orderkey",))
+    return sinks.read_history(spark, path).select(
+        "o_custkey",
+        "o_orderkey",
+        F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"),
+        F.date_format("valid_to", "yyyy-MM-dd").alias("valid_to"),
+        "is_current",
+    )
+
+
 @query(
     "change_hash",
     """SELECT c_custkey, sha256('{"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}') AS digest FROM customer""",
