@@ -38,10 +38,9 @@ SENSITIVE = re.compile(
 PART = re.compile(r"=+(?=[^=])")
 # A value, and the name in front of it; the name's sensitive word is a word of its own, so
 # "author" is none.
-NAME = re.compile(r"""(?a)([A-Za-z_][A-Za-z0-9_.-]*)["']?[\x20\t]*$""")
-ASSIGNED = re.compile(
-    r"""(?a)(?::=|=>|[:=])[\x20\t]*(?:"([^"\n]{6,512})"|'([^'\n]{6,512})'|([^\s"'`,;&<>()\[\]{}]{6,}))"""
-)
+NAME_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+ASSIGNS = re.compile(r":=|=>|[:=]")
+VALUE = re.compile(r"""(?a)[\x20\t]*+(?:"([^"\n]{6,}+)"|'([^'\n]{6,}+)'|([^\s"'`,;&<>()\[\]{}]{6,}))""")
 NAME_WORD = re.compile(
     r"(?ai:(?<![a-z])(?:passw(?:or)?ds?|passphrases?|pwd|secrets?|tokens?|(?:api|access|secret|private|auth|db|master)?keys?"
     r"|auth|authorization|cred(?:ential)?s?|bearer|private|signature|sig|session|salt|jwt|hmac)(?![a-z]))"
@@ -55,7 +54,6 @@ DICTIONARY_BYTES = 16 << 10
 NOVELTY = 0.5
 NEAR = 48
 LEAST_LONG = 16
-LONGEST_NAME = 128
 LEAST_VALUE = 6  # as in the assign pattern
 AROUND = 256
 
@@ -136,13 +134,28 @@ class Novelty:
         return sorted(out)
 
 
+def name_before(text: str, at: int) -> str:
+    """The name that ends in front of ``at``, a quote and blanks between them, of any length."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    at -= bool(at) and text[at - 1] in "\"'"
+    start = at
+    while start and text[start - 1] in NAME_LETTERS:
+        start -= 1
+    return text[start:at].lstrip("0123456789.-")
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of the strings to be measured, whole values of names first."""
     found = []
-    for m in ASSIGNED.finditer(text):
-        front = text[max(0, m.start() - LONGEST_NAME) : m.start()]
-        if SENSITIVE.search(front) and (name := NAME.search(front)) and NAME_WORD.search(CAMEL.sub("_", name[1])):
-            found.append(m.span(m.lastindex))
+    done = 0
+    for m in ASSIGNS.finditer(text):
+        # The name decides first, so that a value is read for each sensitive name only.
+        if m.start() < done or not (name := name_before(text, m.start())) or not NAME_WORD.search(CAMEL.sub("_", name)):
+            continue
+        if value := VALUE.match(text, m.end()):
+            found.append(value.span(value.lastindex))
+            done = value.end()
     for m in CANDIDATE.finditer(text):
         run, a, near = m[0], m.start(), max(0, m.start() - NEAR)
         bounds = [0, *(k for p in PART.finditer(run) for k in p.span()), len(run)]
