@@ -89,6 +89,10 @@ def test_queries_return_whole_tables(spark, name):
     rows = got.count()
     if name == "op1_html_extraction":
         assert rows == table(spark, SF_DIR, "pages").count()
+    elif name == "op11_filter_audit":  # all orders and steps of every source
+        assert rows == 120 * 5 * table(spark, SF_DIR, "documents").select("source").distinct().count()
+    elif name == "op13_embedding_whitening":
+        assert rows == 32 * table(spark, SF_DIR, "embeddings").count()
     elif name != "pipeline":
         assert rows == table(spark, SF_DIR, "documents").count()
     else:
