@@ -143,9 +143,15 @@ def distance_km(lat: Column, lon: Column, to_lat: float, to_lon: float) -> Colum
 
 
 def within_distance(
-    df: DataFrame, lat: float, lon: float, km: float = 10.0, lat_col: str = "lat", lon_col: str = "lon"
+    df: DataFrame,
+    lat: float,
+    lon: float,
+    km: float = 10.0,
+    lat_col: str = "lat",
+    lon_col: str = "lon",
+    tie: str | None = None,
 ) -> DataFrame:
-    """Rows within ``km``, nearest first.
+    """Rows within ``km``, nearest first; equally near ones by ``tie``, or by all other columns.
 
     A latitude band and, away from poles and date line, a longitude band come first: plain
     comparisons that skip row groups before any trigonometry.
@@ -160,9 +166,10 @@ def within_distance(
         if lon - span >= -180 and lon + span <= 180:
             near = near & F.col(lon_col).between(lon - span, lon + span)
     away = distance_km(F.col(lat_col), F.col(lon_col), lat, lon)
-    return (
-        df.filter(near).withColumn("distance_km", away).filter(F.col("distance_km") <= km).orderBy("distance_km")
-    )
+    # Maps and variants have no order.
+    ties = [tie] if tie else [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    found = df.filter(near).withColumn("distance_km", away).filter(F.col("distance_km") <= km)
+    return found.orderBy("distance_km", *ties)
 
 
 def point_lookup(index: DataFrame, stored: DataFrame, id_col: str, value: Any) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firmaforge.schemas import COMPANY_TYPES
@@ -124,6 +124,16 @@ def _finished(df: DataFrame) -> DataFrame:
     )
 
 
+def _counters(row_rules: list[Rule]) -> list[Column]:
+    """Two counts a rule: values looked at (e) and values that pass (p)."""
+    aggs = []
+    for i, rule in enumerate(row_rules):
+        counted = F.lit(True) if rule.nulls_count else rule.value.isNotNull()
+        aggs.append(F.count(F.when(counted, 1)).alias(f"e{i}"))
+        aggs.append(F.count(F.when(counted & rule.test, 1)).alias(f"p{i}"))
+    return aggs
+
+
 def run_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """One result row per rule.
 
@@ -133,11 +143,7 @@ def run_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
     spark = df.sparkSession
     present = [r for r in rules if r.kind != "column_exists" and (r.over is not None or r.column in df.columns)]
     row_rules = [r for r in present if r.kind != "unique"]
-    aggs = []
-    for i, rule in enumerate(row_rules):
-        counted = F.lit(True) if rule.nulls_count else rule.value.isNotNull()
-        aggs.append(F.count(F.when(counted, 1)).alias(f"e{i}"))
-        aggs.append(F.count(F.when(counted & rule.test, 1)).alias(f"p{i}"))
+    aggs = _counters(row_rules)
     results = []
     if row_rules:
         lines = F.array(
@@ -175,6 +181,55 @@ def run_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return _finished(reduce(DataFrame.unionByName, results))
 
 
+RUNS = "run string, rule string, column string, evaluated long, passed long, pass_share double, mostly double, success boolean"
+
+
+def write_checked(df: DataFrame, rules: list[Rule], path: str, runs_path: str, run: str) -> DataFrame:
+    """Write a layer and check it in the same pass; returns the result rows of this run.
+
+    The row rules are counted by ``DataFrame.observe`` in the tasks that write, so the plan has one
+    scan and the rows are computed once. Uniqueness needs a shuffle and takes a second look at the
+    written column alone. Tasks that are run again must not count twice, so the number of rows observed is
+    compared with the number written (file footers only); where they differ the rules are run on
+    the written table. The results are appended to the table of runs, partitioned by run, and
+    a run that is repeated replaces its own rows.
+    """
+    spark = df.sparkSession
+    row_rules = [r for r in rules if r.kind not in ("unique", "column_exists") and (r.over is not None or r.column in df.columns)]
+    seen = Observation()
+    observed = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *_counters(row_rules))
+    observed.write.mode("overwrite").parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    counts = seen.get
+    if counts["n_rows"] == written.count():
+        lines = [
+            (r.kind, r.column, counts[f"e{i}"], counts[f"p{i}"], float(r.mostly)) for i, r in enumerate(row_rules)
+        ]
+        ddl = "rule string, column string, evaluated long, passed long, mostly double"
+        results = _finished(spark.createDataFrame(lines, ddl))
+        others = [r for r in rules if r not in row_rules]
+        if others:
+            results = results.unionByName(run_rules(written, others))
+    else:
+        results = run_rules(written, rules)
+    # A few rows; only the partition of this run is replaced.
+    out = results.withColumn("run", F.lit(run)).coalesce(1)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(runs_path)
+    return stored_runs(spark, runs_path).filter(F.col("run") == run)
+
+
+def stored_runs(spark: SparkSession, runs_path: str) -> DataFrame:
+    """The result rows of all runs so far, for :func:`report` and :func:`trend`."""
+    return spark.read.schema(RUNS).parquet(runs_path)
+
+
+def trend(runs: DataFrame, run: str = "run") -> DataFrame:
+    """Each rule's share against the run before (by the order of run names)."""
+    before = Window.partitionBy("rule", "column").orderBy(run)
+    change = F.col("pass_share") - F.lag("pass_share").over(before)
+    return runs.select(run, "rule", "column", "pass_share", "success", change.alias("change"))
+
+
 def summary(results: DataFrame) -> DataFrame:
     """Counts and success percentage of one run."""
     ok = F.col("success")

@@ -2,9 +2,11 @@
 
 from queries import (  # noqa: F401
     facets,
+    geo,
     lake,
     matching,
     pages,
+    payloads,
     privacy,
     quality,
     records,

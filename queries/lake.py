@@ -228,8 +228,11 @@ def gold_from_raw(spark, d):
     f"""WITH {SEGMENTS} SELECT industry, count(*) AS n FROM segments GROUP BY 1""",
 )
 def gold_industry_any(spark, d):
+    """Two of three companies keep one keyword only, which is enough for any-of and not for all-of."""
+    companies = views.company_view(spark, d)
+    some = F.when(F.col("company_no") % 3 == 0, F.col("keywords")).otherwise(F.slice("keywords", 1, 1))
     return (
-        gold.segments(views.company_view(spark, d), views.AS_OF, match="any", ordered=False)
+        gold.segments(companies.withColumn("keywords", some), views.AS_OF, match="any", ordered=False)
         .groupBy("industry")
         .agg(F.count("*").alias("n"))
     )

@@ -141,33 +141,33 @@ def page_security(spark, d):
 
 
 def _site_pages(spark, d):
-    """Each page as the main page of a site of its own, with two contact pages beside it."""
-    pages = views.table(spark, d, "pages").select("page_id", ops.page_title(F.col("html")).alias("title"))
+    """Each page as the main page of a site of its own, with a contact page and an about page beside it.
+
+    All are parsed from their HTML; the contact page is the page with its footer.
+    """
+    bare = views.table(spark, d, "pages").select("page_id", F.col("html").alias("main"))
+    full = with_footer(spark, d).select("page_id", F.col("html").alias("contact"))
     site = F.concat(F.lit("https://www.s"), F.col("page_id"), F.lit(".example.com"))
-    none = F.lit(None).cast("string")
+    about = F.concat(
+        F.lit("<html><head><title>About</title></head><body><p>info@about"), F.col("page_id"), F.lit(".example.com</p></body></html>")
+    )
+    answered = F.when(F.col("page_id") % 2 == 0, 200).otherwise(404)
 
-    def page(path: str, title, address, status) -> F.Column:
-        return F.struct(
-            F.concat(site, F.lit(path)).alias("url"),
-            title.alias("title"),
-            address.alias("address"),
-            status.cast("int").alias("status_code"),
-        )
+    def page(path: str, html, status) -> F.Column:
+        return F.struct(F.concat(site, F.lit(path)).alias("url"), html.alias("html"), status.cast("int").alias("status_code"))
 
-    answered = F.when(F.col("page_id") % 2 == 0, 200).otherwise(404)
-    rows = F.array(
-        page("/", F.col("title"), F.lit("main"), F.lit(200)),
-        page("/contact", none, F.lit("contact"), answered),
-        page("/about", F.lit("About"), none, F.lit(200)),
-    )
-    return pages.select(F.inline(rows))
+    three = F.array(page("/", F.col("main"), F.lit(200)), page("/contact", F.col("contact"), answered), page("/about", about, F.lit(200)))
+    return ops.parse_pages(bare.join(full, "page_id").select(F.inline(three)))
 
 
 @query(
     "page_contact_merge",
     f"""WITH t AS (SELECT page_id, {_TITLE} AS title FROM pages)
         SELECT 'https://www.s' || page_id || '.example.com/' AS url, CASE WHEN page_id % 2 = 0 THEN title ELSE 'About' END AS title,
-          CASE WHEN page_id % 2 = 0 THEN 'contact' ELSE 'main' END AS address FROM t""",
+          CASE WHEN page_id % 2 = 0 THEN 'Adres: Cumhuriyet Cad. No ' || page_id || ' Ankara' END AS address,
+          CASE WHEN page_id % 2 = 0 THEN 'info@firm' || page_id || '.example.com,sales@firm' || page_id || '.example.com'
+            ELSE 'info@about' || page_id || '.example.com' END AS emails FROM t""",
 )
 def page_contact_merge(spark, d):
-    return ops.with_contact_page(_site_pages(spark, d)).select("url", "title", "address")
+    merged = ops.with_contact_page(_site_pages(spark, d))
+    return merged.select("url", "title", "address", F.array_join("emails", ",").alias("emails"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from firmaforge.operators import quality as q
 from firmaforge.plans import views
+from firmaforge.session import new_shared_path
 from queries.company_sql import COMPANY, SEGMENTS
 from queries.lake import segments
 from queries.registry import query
@@ -147,6 +148,26 @@ def quality_report(spark, d):
     return out.select(*[c for c in out.columns if c != "recommendations"], F.size("recommendations").cast("bigint").alias("advice"))
 
 
+def _stored_runs(spark, d):
+    """Two layers written and checked in one pass each; the second run is repeated and counts once."""
+    base = new_shared_path(spark, "checked")
+    layers = {"company": (flat_companies, q.company_rules()), "segment": (segments, q.segment_rules())}
+    for run in ("company", "segment", "segment"):
+        rows, rules = layers[run]
+        q.write_checked(rows(spark, d), rules, f"{base}/{run}", f"{base}/runs", run)
+    return q.stored_runs(spark, f"{base}/runs")
+
+
+@query(
+    "quality_stored_runs",
+    f"""{_RESULTS}, {SEGMENTS.replace(COMPANY + ',', '').strip()}, seg_lines AS ({' UNION ALL '.join(_SEG_LINES)})
+        SELECT 'company' AS run, rule, "column", CAST(evaluated AS BIGINT) AS evaluated, CAST(passed AS BIGINT) AS passed, success FROM results
+        UNION ALL SELECT 'segment', rule, "column", evaluated, passed, passed / evaluated >= mostly FROM seg_lines""",
+)
+def quality_stored_runs(spark, d):
+    return _stored_runs(spark, d).select("run", "rule", "column", "evaluated", "passed", "success")
+
+
 @query(
     "construction_rules",
     f"""WITH {_FLAT}, lines AS ({_line('not_null', 'legal_name', 'legal_name IS NOT NULL', 1, True)}
