@@ -149,7 +149,7 @@ def _site_pages(spark, d):
     full = with_footer(spark, d).select("page_id", F.col("html").alias("contact"))
     site = F.concat(F.lit("https://www.s"), F.col("page_id"), F.lit(".example.com"))
     about = F.concat(
-        F.lit("<html><head><title>About</title></head><body><p>info@about"), F.col("page_id"), F.lit(".example.com</p></body></html>")
+        F.lit("<html><head><title>About</title></head><body><p>Write to info@about"), F.col("page_id"), F.lit(".example.com</p></body></html>")
     )
     answered = F.when(F.col("page_id") % 2 == 0, 200).otherwise(404)
 
