@@ -30,6 +30,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,17 +68,37 @@ NOT_ARTICLE = set(
     "discussion disqus share sharing social related recommended recommendations newsletter subscribe subscription "
     "signup popup modal overlay login search widget widgets toolbar pagination pager skip".split()
 )
+LAYOUT = set(
+    "area bar bars block blocks body bottom box card cards col column columns container content contents desktop div "
+    "element entry first fixed float form global group head header heading holder id in inner item items js last left "
+    "line link links list main mobile module modules nested outer overlay page panel part placeholder policy post posts "
+    "primary rail region right root row section secondary shell site slot slots small stack static sticky story strip "
+    "tag tags text thread title top tree unit ui view wide wrap wrapper zone".split()
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = set("navigation banner complementary contentinfo search dialog alert menu menubar form".split())
 
 _DROP = re.compile(rf"<({'|'.join(UNSEEN)})\b(?>[^>]*)>.*?(?:</\1\s*>|\Z)", re.DOTALL | re.IGNORECASE)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>", re.DOTALL)
 _TOKEN = re.compile(
-    r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>(?:[^<>\"']|\"[^\"]{0,4000}\"|'[^']{0,4000}')*)|[^<>]*)>|([^<]+|<)"
+    # A quote opens a value only after "="; elsewhere it is a character like others.
+    r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>(?:[^<>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)|[^<>]*)>|([^<]+|<)"
 )
-_ATTR = re.compile(r"(?ai)\b(class|id|role|itemprop|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTR = re.compile(r"([^\s=\"'/<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+@lru_cache(20_000)
+def says_chrome(name: str) -> bool:
+    """Whether a class or id names a part that is no article.
+
+    One of its words must, and the others may only say how it is laid out: "site-footer" and
+    "comment-list" do, "ad-hoc", "market-share" and "comments-on-method" don't.
+    """
+    words = {w.lower() for w in _WORD.findall(name)}
+    return bool(words & NOT_ARTICLE) and all(w in NOT_ARTICLE or w in LAYOUT or w.isdigit() for w in words)
+
+
 class Element:
     __slots__ = ("tag", "key", "out", "by_name", "article", "children")
 
@@ -85,14 +106,16 @@ class Element:
         self.tag, self.children = tag, []
         found = {}
         for m in _ATTR.finditer(attrs) if attrs.strip() else ():
-            found[m[1].lower()] = m[2] or m[3] or m[4] or ""
+            # The first of attributes of one name counts.
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         named = found.get("class", "").split()
         self.key = tag + "".join(f".{c}" for c in named[:1])
-        words = {w.lower() for v in (*named, found.get("id", "")) for w in _WORD.findall(v)}
+        # The id of a heading names its subject.
+        names = named if tag in HEADINGS else (*named, found.get("id", ""))
         role = found.get("role", "").lower()
         self.article = tag in ("article", "main") or role in ("main", "article") or "articleBody" in found.get("itemprop", "")
         free = tag not in ("html", "body", "#page")
-        self.by_name = free and bool(words & NOT_ARTICLE)
+        self.by_name = free and any(map(says_chrome, names))
         self.out = tag in LEFT_OUT or (
             free
             and (
@@ -265,27 +288,33 @@ def of_element(element: Element, depth: int = 0, link: bool = False) -> Wrapper:
 
 
 def _common(a: list[Wrapper], b: list[Wrapper]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence of keys."""
+    """Places of a longest common subsequence of keys, exact at any length.
+
+    A row of the table of lengths is one number: bit k is zero where the common length of the
+    last k + 1 items of ``b`` exceeds that of the last k, so n by m items take n * m / 8 bytes.
+    """
     n, m = len(a), len(b)
-    if n * m > 250_000:  # very long lists: greedy, in order
-        out, j = [], 0
-        for i, x in enumerate(a):
-            for k in range(j, min(m, j + 200)):
-                if b[k].key == x.key:
-                    out.append((i, k))
-                    j = k + 1
-                    break
-        return out
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].key == b[j].key else max(best[i + 1][j], best[i][j + 1])
+    places: dict[str, int] = {}
+    for k, x in enumerate(reversed(b)):
+        places[x.key] = places.get(x.key, 0) | 1 << k
+    full = (1 << m) - 1
+    rows = [full]
+    for x in reversed(a):
+        v = rows[-1]
+        hit = v & places.get(x.key, 0)
+        rows.append(((v + hit) | (v - hit)) & full)
+
+    def length(i: int, j: int) -> int:
+        """Of what is left behind place i of ``a`` and j of ``b``."""
+        k = m - j
+        return k - (rows[n - i] & ((1 << k) - 1)).bit_count()
+
     out, i, j = [], 0, 0
     while i < n and j < m:
         if a[i].key == b[j].key:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif length(i + 1, j) >= length(i, j + 1):
             i += 1
         else:
             j += 1

@@ -1,5 +1,7 @@
 """HTML extraction: known articles inside of several templates, and the cases of the docstring."""
 
+import random
+
 from firmaforge.llm import wrappers as w
 
 WORDS = "alder birch cedar dogwood elm fir ginkgo hazel ivy juniper".split()
@@ -103,3 +105,37 @@ def test_region_checks_a_marked_teaser():
         for i in range(4)
     ]
     assert [t.split("\n")[0] for t in w.extract(pages)] == [f"H {i}" for i in range(4)]
+
+
+def test_subjects_of_headings_and_sections_are_no_chrome():
+    body = (
+        "<article class='post has-sidebar'><h1>T</h1><h2 id='search-results'>Results</h2><div class='ad-hoc'>Ad hoc.</div>"
+        "<div class='market-share'>Share.</div><section id='comments-on-method'><p>Method.</p></section>"
+        "<div class='comment-list'>first!</div><div id='site-footer'>foot</div><p class='alert'>Out.</p></article>"
+    )
+    assert w.extract([page(1, body)]) == ["T\nResults\nAd hoc.\nShare.\nMethod."]
+
+
+def test_attributes_of_any_length_and_stray_quotes():
+    long = "x > y < z " * 2000
+    body = f"<article><p data-json=\"{long}\">One.</p><p data-x='{long}' title=don't>Two's.</p><p title=\"class='ad'\">Three.</p></article>"
+    assert w.extract([page(1, body)]) == ["One.\nTwo's.\nThree."]
+
+
+def brute_common(a, b):
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def test_alignment_is_exact_at_any_length():
+    rng = random.Random(4)
+    for n, m in ((0, 3), (5, 0), (7, 9), (40, 70), (900, 800)):
+        a, b = ([rng.choice("abcdefgh") for _ in range(k)] for k in (n, m))
+        pairs = w._common([w.Wrapper(x) for x in a], [w.Wrapper(x) for x in b])
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        assert len(pairs) == brute_common(a, b)
