@@ -14,11 +14,11 @@ result row; other columns are ignored. Language, source and id are never inputs.
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +50,7 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 _PLAIN = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _RNG = np.random.default_rng(11)
 _T0, _T1, _T2 = (_RNG.integers(0, TRIGRAMS, 256, dtype=np.int32) for _ in range(3))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def family(lang: str) -> str:

@@ -42,7 +42,6 @@ LABELLED_ROWS = 20_000
 LEAST_TEXTS = 5
 ACCIDENTS = 0.01  # expected number of features that are there by chance
 CONFIDENCE = 2.0
-LEXICON = 20_000
 LETTERS = 32  # 0 word end, 1-26 a-z, 27-31 the other bytes by their last bits
 
 # Letters that other characters stand for.
@@ -278,12 +277,37 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = LA
     picked = (
         counts.filter(F.col("bad") >= LEAST_TEXTS)
         .filter((share > base) & (evidence >= float(np.log(max(tried, 1) / ACCIDENTS))))
-        .select("f", bound.alias("w"))
+        .select("f", bound.alias("w"), "bad", "n")
         .filter("w >= 0.2")
-        .orderBy(F.desc("w"), "f")
-        .limit(LEXICON)
     )
-    return {bytes(r["f"]): float(r["w"]) for r in picked.collect()}
+    # All of them: each needs its evidence among the labelled rows, which are bounded.
+    return without_borrowed({bytes(r["f"]): (float(r["w"]), int(r["bad"]), int(r["n"])) for r in picked.collect()})
+
+
+def without_borrowed(picked: dict[bytes, tuple[float, int, int]]) -> dict[bytes, float]:
+    """Weights of features, without beginnings that have theirs from a weighted word alone.
+
+    ``picked``: feature -> weight, toxic texts, texts. What other words with a beginning say is
+    left when the texts of its weighted words are taken away; the lesser of both weights
+    counts. A beginning that no other word shares keeps its weight.
+    """
+    held: dict[bytes, list[int]] = {}
+    for f, (_, bad, n) in picked.items():
+        for begin in features(f)[1:] if not f.endswith(b"*") else ():
+            total = held.setdefault(begin, [0, 0])
+            total[0] += bad
+            total[1] += n
+    weights = {}
+    for f, (w, bad, n) in picked.items():
+        words_bad, words_n = held.get(f, (0, 0))
+        rest, rest_bad = n - words_n, max(0, bad - words_bad)
+        if words_n and rest > 0:
+            share, z2 = min(1.0, rest_bad / rest), CONFIDENCE**2
+            spread = CONFIDENCE * np.sqrt(share * (1 - share) / rest + z2 / (4 * rest * rest))
+            w = min(w, float((share + z2 / (2 * rest) - spread) / (1 + z2 / rest)))
+        if w >= 0.2:
+            weights[f] = w
+    return weights
 
 
 class Scorer:

@@ -464,3 +464,14 @@ def test_ordinal_grades(spark, none):
     blank = grades.fit(docs, rated.limit(0))
     assert {r.expected_grade for r in grades.graded(docs, blank, ["doc_id"], 1).collect()} == {0.0}
     assert grades.graded(none, model, ["doc_id"], 1).count() == 0
+
+
+def test_beginnings_of_weighted_words_need_texts_of_their_own():
+    picked = {
+        b"loser": (0.95, 80, 80), b"lose*": (0.8, 82, 110),  # others that begin so are clean
+        b"idiot": (0.95, 80, 80), b"idio*": (0.96, 100, 100),  # others are as bad
+        b"moron": (0.9, 40, 40), b"moro*": (0.9, 40, 40), b"vile*": (0.7, 30, 32),
+    }
+    got = toxicity.without_borrowed(picked)
+    assert set(got) == set(picked) - {b"lose*"}
+    assert got[b"moro*"] == 0.9 and got[b"vile*"] == 0.7 and 0.8 < got[b"idio*"] < 0.96
