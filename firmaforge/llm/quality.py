@@ -2,10 +2,13 @@
 
 Each text is measured in one expression over its row. The shares that the rules look at are
 gathered in mergeable quantile sketches (KLL), one per language and source; sketches of a
-language's sources are merged for the language, and those of all languages for the corpus. A
-group's fences stand a number of quartile distances away from its quartiles, so each language
-and source gets its own; a group with few texts uses its language's, or the corpus's. The
-fences are joined back to the measures, and a text outside of a fence is not kept.
+language's sources are merged for the language, and those of all languages for the corpus.
+Fences are read from these sketches alone: the upper one is the 95th percentile, or four times
+the spread of the lower half above the median if that is further out; word length has a lower
+one too. A language's fences are pulled towards the corpus's and a source's towards its
+language's, the more the fewer texts it has, without a step at any size. The fences are joined
+back to the measures, and a text outside of a fence is not kept. Where 95 of 100 texts lack a
+kind of character, the fence is zero but for that pull.
 
 Defined results: null, empty and blank texts have no words and fail the base rule; null
 languages and sources are groups of their own; repeated rows each get a result row; on an
@@ -25,12 +28,11 @@ REPEATED_PERCENT = 30
 WINDOW = 8
 MORE_LINES = 5
 SKETCH_K = 800
-GROUP_ROWS = 300
-REACH = 6.0
+SHRINK_ROWS = 300
+REACH = 4.0
+LOW, MIDDLE, HIGH = 0.05, 0.5, 0.95
 
-# Measured share -> least quartile distance. A group whose texts are all alike
-# has no spread, and its fence must still let ordinary texts pass.
-LEAST_SPREAD = {"word_length": 0.4, "symbols": 0.04, "marks": 0.04, "dup_lines": 0.05, "repeated": 0.04}
+SHARES = ("word_length", "symbols", "marks", "dup_lines", "repeated")
 BELOW_TOO = ("word_length",)
 
 _BLANK = "[\\x20\\x09-\\x0D]+"
@@ -125,45 +127,51 @@ def base_failed() -> Column:
 
 def sketches(rows: DataFrame, lang: str, source: str) -> DataFrame:
     """One row per language and source: a sketch of each share, of texts that pass the base rule."""
-    names = list(LEAST_SPREAD)
     return (
         rows.filter(~base_failed())
         .select(F.col(lang).alias("lang_"), F.col(source).alias("source_"), *[v.alias(k) for k, v in shares().items()])
         .groupBy("lang_", "source_")
-        .agg(*[F.kll_sketch_agg_double(n, SKETCH_K).alias(n) for n in names])
+        .agg(*[F.kll_sketch_agg_double(n, SKETCH_K).alias(n) for n in SHARES])
     )
 
 
-def _fences(sketch: Column, name: str) -> Column:
-    q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-    spread = REACH * F.greatest(q3 - q1, F.lit(LEAST_SPREAD[name]))
-    low = q1 - spread if name in BELOW_TOO else F.lit(-1.0)
-    return F.struct(low.alias("low"), (q3 + spread).alias("high"))
+def _fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and for each share its low, high (of this group alone) and its number of texts n."""
 
+    def of(name):
+        at = lambda q: F.when(F.kll_sketch_get_n_double(name) > 0, F.kll_sketch_get_quantile_double(name, F.lit(q)))
+        low, middle, high = at(LOW), at(MIDDLE), at(HIGH)
+        lower = middle - REACH * (middle - low) if name in BELOW_TOO else F.lit(-1.0)
+        upper = F.greatest(high, middle + REACH * (middle - low))
+        n = F.kll_sketch_get_n_double(name).cast("double")
+        return F.struct(lower.alias("low"), upper.alias("high"), n.alias("n")).alias(name)
 
-def fences(groups: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    return sketches.select(*keys, *[of(n) for n in SHARES])
+
+
+def fences(groups: DataFrame, shrink_rows: int = SHRINK_ROWS) -> DataFrame:
     """Columns lang_, source_ and a struct low, high for each share.
 
-    A group of fewer than ``group_rows`` texts takes its language's merged sketch; a language
-    of fewer takes the corpus's.
+    ``shrink_rows``: the number of texts at which a group's own fence and the wider group's
+    weigh the same.
     """
-    names = list(LEAST_SPREAD)
     groups = cut(groups)
-    merged = lambda df: df.agg(*[F.kll_merge_agg_double(n, SKETCH_K).alias(n) for n in names])
+    merged = lambda df: df.agg(*[F.kll_merge_agg_double(n, SKETCH_K).alias(n) for n in SHARES])
     by_lang = cut(merged(groups.groupBy("lang_")))
-    # One row: a sketch of the corpus for each share.
-    corpus = merged(by_lang.groupBy()).first()
-    size = lambda sketch: F.kll_sketch_get_n_double(sketch)
-    of_lang = by_lang.select(F.col("lang_").alias("l_"), *[F.col(n).alias(f"{n}_l") for n in names])
-    joined = groups.join(of_lang, F.col("lang_").eqNullSafe(F.col("l_")))
+    # One row of numbers: the corpus's fences.
+    corpus = _fences(merged(by_lang.groupBy()), []).first()
 
-    def chosen(n):
-        own, lang = F.col(n), F.col(f"{n}_l")
-        all_ = F.lit(None).cast("binary") if corpus[n] is None else F.lit(corpus[n])
-        return F.when(size(own) >= group_rows, own).when(size(lang) >= group_rows, lang).otherwise(all_)
+    def pulled(own, wide):
+        share = F.lit(float(shrink_rows)) / (own["n"] + F.lit(float(shrink_rows)))
+        to = lambda side: (own[side] + (wide[side] - own[side]) * share).alias(side)
+        return F.struct(to("low"), to("high"))
 
-    picked = joined.select("lang_", "source_", *[chosen(n).alias(n) for n in names])
-    return picked.select("lang_", "source_", *[_fences(F.col(n), n).alias(n) for n in names])
+    fixed = lambda n: {side: F.lit(corpus[n][side]).cast("double") for side in ("low", "high")}
+    of_lang = _fences(by_lang, ["lang_"]).select(
+        F.col("lang_").alias("l_"), *[pulled(F.col(n), fixed(n)).alias(f"{n}_l") for n in SHARES]
+    )
+    joined = _fences(groups, ["lang_", "source_"]).join(of_lang, F.col("lang_").eqNullSafe(F.col("l_")))
+    return joined.select("lang_", "source_", *[pulled(F.col(n), F.col(f"{n}_l")).alias(n) for n in SHARES])
 
 
 def judged(rows: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFrame:
@@ -172,7 +180,7 @@ def judged(rows: DataFrame, limits: DataFrame, lang: str, source: str) -> DataFr
     for name, share in shares().items():
         limit = F.col(f"limits_.{name}")
         inside &= (share >= limit["low"]) & (share <= limit["high"])
-    held = limits.select("lang_", "source_", F.struct(*LEAST_SPREAD).alias("limits_"))
+    held = limits.select("lang_", "source_", F.struct(*SHARES).alias("limits_"))
     together = rows.join(
         held, F.col(lang).eqNullSafe(F.col("lang_")) & F.col(source).eqNullSafe(F.col("source_")), "left"
     )

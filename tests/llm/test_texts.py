@@ -381,11 +381,54 @@ def test_fences_differ_by_group(spark):
     odd = [(1000, " ".join(["abcdabcdabcdabcd" + str(i) for i in range(50)]), "s4"), (1001, rows[-1][1].replace(" ", " # "), "s16")]
     df = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows + odd], "doc_id long, text string, lang string, source string")
     measured = quality.measured(df, ["doc_id", "lang", "source"])
-    limits = quality.fences(quality.sketches(measured, "lang", "source"), group_rows=10)
+    limits = quality.fences(quality.sketches(measured, "lang", "source"), shrink_rows=10)
     got = quality.judged(measured, limits, "lang", "source").filter("not kept").select("doc_id").collect()
     assert sorted(r.doc_id for r in got) == [1000, 1001]
 
 
+def brute_kept(rows):
+    """kept of (lang, source, measures) by plain quantiles of each group's sorted shares."""
+    share = lambda n, chars, sym, marks, lines, dup, rep: (chars / n, sym / n, marks / n, dup / (lines + 5), rep / n)
+    passed = [(g, share(*m)) for *g, m in rows if m[0] >= 20 and 100 * m[6] <= 30 * m[0]]
+
+    def fences(pick):
+        out = []
+        for k in range(5):
+            v = sorted(s[k] for g, s in passed if pick(g))
+            low, middle, high = (v[max(0, -(-len(v) * p // 100) - 1)] for p in (5, 50, 95))
+            reach = 4.0 * (middle - low)
+            out.append((middle - reach if k == 0 else -1.0, max(high, middle + reach), len(v)))
+        return out
+
+    def pull(own, wide):
+        return [tuple(a + (b - a) * (300 / (o[2] + 300)) for a, b in zip(o[:2], w[:2])) + (o[2],) for o, w in zip(own, wide)]
+
+    limits, corpus = {}, fences(lambda g: True)
+    for lang, source in {tuple(g) for g, _ in passed}:
+        of_lang = pull(fences(lambda g: g[0] == lang), corpus)
+        limits[lang, source] = pull(fences(lambda g: g == [lang, source]), of_lang)
+    for lang, source, m in rows:
+        ok = m[0] >= 20 and 100 * m[6] <= 30 * m[0]
+        yield ok and all(f[0] - 1e-12 <= x <= f[1] + 1e-12 for x, f in zip(share(*m), limits[lang, source]))
+
+
+def test_kept_is_by_quantiles_of_the_groups(spark):
+    rng = random.Random(19)
+    rows = []
+    for i in range(600):
+        words = ["".join(rng.choices("abcdef", k=rng.choice((3, 4, 5, 5, 6)))) for _ in range(rng.randrange(10, 60))]
+        for mark in rng.choices(["", "#", "!", "\nsame line\nsame line\n", "abcdefabcdefabcdef"], k=2):
+            if rng.random() < 0.15:
+                words[rng.randrange(len(words))] += mark
+        rows.append((i, " ".join(words), rng.choice(["de", "en", None]), rng.choice(["s1", "s1", "s2", None])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = ["n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words"]
+    found = quality.measured(df, ["doc_id", "lang", "source"]).orderBy("doc_id").collect()
+    want = list(brute_kept([(r.lang, r.source, tuple(r[n] for n in names)) for r in found]))
+    got = [r.kept for r in quality.quality_rules(df).orderBy("doc_id").collect()]
+    assert got == want and 30 < got.count(False) < 300
+
+
 # Substring dedup
 
 
