@@ -446,13 +446,50 @@ def test_passages_resist_shifts(spark, none):
         start = rows[i][1].encode().index(shared.encode()) if i < 5 else None
         if start is not None and i < 4:
             span = got[i].removed[0]
-            assert start <= span.start + chunks.MOST_CHUNK and span.end - span.start > len(shared) // 2
+            assert span.start <= start and start + len(shared.encode()) <= span.end
     assert got[22].removed[-1].end == len(rows[0][1].encode())
     assert not any(got[i].removed for i in range(10, 15) if i in got)
     assert len(chunks.without_repeats(docs).collect()) == len(rows)
     assert chunks.passages(none).count() == 0
 
 
+def test_passages_of_51_words_are_found_whole(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for i in range(150):
+        passage = text_of(rng, 51)
+        pair = [[text_of(rng, rng.randrange(1, 40)), text_of(rng, rng.randrange(1, 40))] for _ in range(2)]
+        texts = [f"{a} {passage} {b}".encode() for a, b in pair]
+        at = [t.index(passage.encode()) for t in texts]
+        # By brute force: as far as both texts agree around the passage.
+        left, right, size = 0, 0, len(passage.encode())
+        while left < min(at) and texts[0][at[0] - left - 1] == texts[1][at[1] - left - 1]:
+            left += 1
+        while all(a + size + right < len(t) for a, t in zip(at, texts, strict=True)) and len(
+            {t[a + size + right] for a, t in zip(at, texts, strict=True)}
+        ) == 1:
+            right += 1
+        want[2 * i + 1] = (at[1] - left, at[1] + size + right)
+        rows += [(2 * i + k, t.decode()) for k, t in enumerate(texts)]
+    long = text_of(rng, 3000)
+    rows += [(1000, "x " + long), (1001, "y " + long), (None, rows[0][1]), (None, rows[0][1]), (1002, " ".join(long.split()[:45]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chunks.passages(docs).collect()
+    removed = {r.doc_id: [tuple(s) for s in r.removed] for r in got if r.doc_id is not None}
+    for i, span in want.items():
+        assert len(removed[i]) == 1
+        # A letter or two can differ where bytes agree in the middle of a character.
+        assert all(abs(a - b) <= 3 for a, b in zip(removed[i][0], span, strict=True)), (i, removed[i], span)
+    assert removed[1001] == [(1, len(rows[301][1].encode()))]
+    assert not removed.get(1002) and not any(removed.get(i) for i in range(0, 300, 2))
+    assert [[tuple(s) for s in r.removed] for r in got if r.doc_id is None] == [[(0, len(rows[0][1].encode()))]] * 2
+    # Few bytes at a time give the same, in more rounds.
+    texts = chunks.numbered(docs)
+    found = chunks.cut(chunks.runs(texts))
+    plain = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert plain(chunks.extended(texts, found, 4)) == plain(chunks.extended(texts, found))
+
+
 def test_chunks_are_cut_by_content():
     rng = random.Random(12)
     data = text_of(rng, 3000).encode()
