@@ -8,7 +8,8 @@ without a whole chunk in common.) A chunk whose 64-bit digest stands elsewhere t
 the copy of the smallest document id (null ids last, then the first row, then the first place in
 it) is the original. Repeats that touch form runs. The chunks at the ends of a passage differ
 with its surroundings, so each run is an anchor: at its ends it is compared byte by byte with the
-text that holds its chunks, as far as they agree. Runs that touch or overlap after that form
+text that holds its outermost chunk, as far as they agree; a run too short to be reported is compared
+with every text that holds a chunk of it, which may reach further. Runs that touch or overlap after that form
 passages, and those of ``least_words`` whole words (or ``LEAST_BYTES`` bytes, for writing without
 blanks) are reported.
 
@@ -155,11 +156,13 @@ def repeats(rows: DataFrame) -> DataFrame:
     )
 
 
-def runs(rows: DataFrame) -> DataFrame:
+def runs(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Runs of touching repeats, and what to compare at their ends.
 
-    asks: side (-1 left, 1 right), place, words up to it, and the other text's place, one for each
-    way in which the run lies against another text; none where the text itself ends.
+    asks: side (-1 left, 1 right), place, words up to it, and the other text's place; none where the
+    text itself ends. A run of fewer than ``least_words`` and ``LEAST_BYTES`` asks for each way in
+    which it lies against another text, a longer one for that of its outermost chunk: what stands
+    beyond it is less than a chunk, and can't decide whether it is reported.
     """
     found = repeats(rows)
     names = ["start", "size", "before", "upto", "tail", "later", "p_row", "p_start", "first_id"]
@@ -172,13 +175,17 @@ def runs(rows: DataFrame) -> DataFrame:
 
     def asked(run):
         lefts, rights = {}, {}
-        for c in run:
+        first, last = run[0], run[-1]
+        enough = last["upto"] - first["before"] >= least_words or last["start"] + last["size"] - first["start"] >= LEAST_BYTES
+        for c in (first, last) if enough else run:
             way = (c["p_row"], c["p_start"] - c["start"])
             end = c["start"] + c["size"]
             lefts.setdefault(way, (-1, c["start"], c["before"], c["p_row"], c["p_start"]))
             rights[way] = (1, end, c["upto"], c["p_row"], c["p_start"] + c["size"])
-        out = list(lefts.values()) if run[0]["start"] else []
-        out += [] if run[-1]["tail"] else list(rights.values())
+        if enough:
+            lefts, rights = dict([next(iter(lefts.items()))]), dict([list(rights.items())[-1]])
+        out = list(lefts.values()) if first["start"] else []
+        out += [] if last["tail"] else list(rights.values())
         return [dict(zip(("side", "at", "words", "p_row", "p_at"), a, strict=True)) for a in out]
 
     def run(batches):
@@ -321,7 +328,7 @@ def extended(rows: DataFrame, found: DataFrame, near: int = NEAR) -> DataFrame:
 
 def _passages(rows: DataFrame, least_words: int) -> DataFrame:
     """row, removed, shared, first_ids of the :func:`numbered` rows that have repeats."""
-    found = extended(rows, cut(runs(rows)))
+    found = extended(rows, cut(runs(rows, least_words)))
     id_kind = found.schema["first_ids"].dataType
     names = ["later", "start", "end", "before", "upto", "first_ids"]
     gathered = found.groupBy("row").agg(F.collect_list(F.struct(*names)).alias("found"))
