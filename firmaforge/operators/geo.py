@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import pi, sin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,28 +86,80 @@ def km_between(lat: Column, lon: Column, to_lat: Column, to_lon: Column) -> Colu
     return 2 * EARTH_KM * F.asin(F.sqrt(F.least(chord, F.lit(1.0))))
 
 
+# Places and points of a cell that one unit of comparing holds at most, roughly.
+TILE_ROWS = 2000
+
+
+def _chord(lat: Column, lon: Column) -> list[Column]:
+    """A point of the unit sphere, so that near and far are told apart by products alone."""
+    la, lo = F.radians(lat), F.radians(lon)
+    return [F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)]
+
+
+def _tiles(own: DataFrame, near: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the tile (_i, _j) of their cell that they meet in.
+
+    A cell of n places and m points has n / rows by m / rows tiles; a place goes to the tiles of its
+    slice, a point to those of its own, and a pair meets in one of them.
+    """
+    sizes = [
+        df.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias(f"_{name}"))
+        for df, name in ((own, "place_slices"), (near, "point_slices"))
+    ]
+    # Cells with one tile need no entry, and those that lack a side have no pair.
+    cut_up = sizes[0].join(sizes[1], "cell").filter("_place_slices > 1 or _point_slices > 1")
+
+    def sliced(df: DataFrame, side: str, mine: str, other: str, at: str, across: str) -> DataFrame:
+        known = df.join(cut_up, "cell", "left")
+        slice_ = F.pmod(F.xxhash64(side, F.lit(at)), F.coalesce(mine, F.lit(1))).cast("int")
+        copies = F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)
+        return known.select(*df.columns, slice_.alias(at), F.explode(copies).alias(across))
+
+    left = sliced(own, "place_key", "_place_slices", "_point_slices", "_i", "_j")
+    right = sliced(near, "point_key", "_point_slices", "_place_slices", "_j", "_i")
+    # Few bytes mean many comparisons, so these partitions are counted out and not left to be
+    # coalesced, or read from one file, by size.
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tuple(df.repartition(parts, "cell", "_i", "_j") for df in (left, right))
+
+
 def radius_join(
     places: DataFrame,
     points: DataFrame,
     km: float,
     place: tuple[str, str] = ("lat", "lon"),
     point: tuple[str, str] = ("lat", "lon"),
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """All pairs within ``km``: columns ``place`` and ``point`` (structs of the rows) and distance_km.
 
-    A place has one cell and is not multiplied; a point goes to the few cells around it, so the
-    smaller table should be ``points``. Two rows meet in one cell only, hence no pair comes twice,
-    and a cell with many rows is split by the skew handling of an ordinary join. Rows without
-    coordinates pair with none; columns of one name on both sides don't clash.
+    A place has one cell; a point goes to the few cells around it, so the smaller table should be
+    ``points``. Two rows meet in one cell only, hence no pair comes twice. A cell with many rows is cut
+    into tiles, which are compared apart from each other. Rows without coordinates pair with none;
+    columns of one name on both sides don't clash.
     """
     if not km > 0:
         raise ValueError("km must be positive")
     at = lambda side, names: [F.col(f"{side}.`{n}`").cast("double") for n in names]
     rows = lambda df, side: df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(side))
-    own = rows(places, "place").withColumn("cell", cell(*at("place", place), km)).filter("cell is not null")
-    near = rows(points, "point").select("point", F.explode(cells_around(*at("point", point), km)).alias("cell"))
+
+    def spread(side: str, df: DataFrame, names: tuple[str, str]) -> list[Column]:
+        axes = [c.alias(f"{side}_{n}") for c, n in zip(_chord(*at(side, names)), "xyz")]
+        # By its values, so that a repeated task deals it out alike; maps and variants have no hash.
+        hashed = [F.col(f"{side}.`{n}`") for n, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+        return [side, *axes, F.xxhash64(*hashed).alias(f"{side}_key")]
+
+    own = rows(places, "place").select(*spread("place", places, place), cell(*at("place", place), km).alias("cell"))
+    own = own.filter("cell is not null")
+    near = rows(points, "point").select(*spread("point", points, point), F.explode(cells_around(*at("point", point), km)).alias("cell"))
+    left, right = _tiles(own, near, tile_rows)
     away = km_between(*at("place", place), *at("point", point))
-    return own.join(near, "cell").select("place", "point", away.alias("distance_km")).filter(F.col("distance_km") <= km)
+    # Most rows of neighbouring cells are too far away, which the chord tells before any angle is
+    # worked out; it is taken a little too long, and the distance decides.
+    apart = sum(((F.col(f"place_{n}") - F.col(f"point_{n}")) * (F.col(f"place_{n}") - F.col(f"point_{n}")) for n in "xyz"), F.lit(0.0))
+    reach = 2 * sin(min(km / EARTH_KM, pi) / 2)
+    pairs = left.join(right, ["cell", "_i", "_j"]).filter(apart <= reach * reach + SLACK)
+    return pairs.select("place", "point", away.alias("distance_km")).filter(F.col("distance_km") <= km)
 
 
 def counted_within(places: DataFrame, points: DataFrame, km: float, point_id: str, **names) -> DataFrame:

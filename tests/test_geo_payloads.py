@@ -47,6 +47,19 @@ def test_radius_join_is_keyed(spark):
         geo.radius_join(df, df, 0.0)
 
 
+def test_crowded_cells_are_compared_in_tiles(spark):
+    """One cell of 600 places and 300 points: no partition holds all of it, and no pair is lost or doubled."""
+    rng = random.Random(3)
+    near = lambda n: [(i, 40.5 + rng.random() / 10, 29.5 + rng.random() / 10) for i in range(n)]
+    places, points = near(600), near(300) + [(300, 40.5, 29.5)] * 2
+    sides = [spark.createDataFrame(rows, "id int, lat double, lon double") for rows in (places, points)]
+    out = geo.radius_join(*sides, 8.0, tile_rows=50).select("place.id", F.col("point.id").alias("o"), F.spark_partition_id().alias("p"))
+    rows = out.collect()
+    want = sorted((i, j) for i, *a in places for j, *b in points if km(a, b) <= 8.0)
+    assert sorted((r[0], r[1]) for r in rows) == want
+    assert len({r["p"] for r in rows}) > 2
+
+
 def test_payloads_of_odd_shapes(spark):
     texts = ['{"a":1,"b":{"c":[1,2]}}', '{"a":"x","new":null}', "[1,2]", "7", "{}", "", "{broken", None]
     raw = spark.createDataFrame(list(enumerate(texts)), "id int, payload string")
