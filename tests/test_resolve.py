@@ -247,6 +247,22 @@ def test_grams_find_all_matches_and_few_others(spark):
     assert {k for k in found if max(k) < "000150"} == want and len(want) >= 10
 
 
+def test_few_profiles_of_a_key_stand_under_it_once(spark):
+    """Records are not multiplied by the letter pairs of their names unless many share the flags."""
+    cfg = r.MatchConfig()
+    rows = [(f"{i:03d}", f"Amber Trading Company F{i}", None, f"s{i // 4}.example", ["02121112233"], [f"i@s{i // 4}.example"], "Street 1") for i in range(80)]
+    prof = r._prepared(r.match_features(spark.createDataFrame(rows, FLAT)), False)[1]
+    seen = []
+    tiled = r._tiled
+    try:
+        r._tiled = lambda keyed, rows: seen.append(keyed.count()) or tiled(keyed, rows)
+        pairs = {rows: pairs_of(r.profile_matches(prof, r.MatchConfig(gram_rows=rows), cfg.exact)) for rows in (32, 3)}
+    finally:
+        r._tiled = tiled
+    assert seen[0] == 80 and seen[1] > 400
+    assert pairs[32] == pairs[3] and len(pairs[3]) > 20
+
+
 def pairs_of(df):
     return {(m.company_a_id, m.company_b_id) for m in df.select("company_a_id", "company_b_id").collect()}
 
