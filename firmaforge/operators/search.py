@@ -1,6 +1,6 @@
 """Ranked text search over term postings: multi-field, all-terms, fuzzy, prefix.
 
-An index is four stored tables: postings sorted by term, so that most row groups are
+An index is four stored tables: postings, each file sorted by term, so that most row groups are
 skipped, a vocabulary with the document frequency of each term of each field, its terms by what
 is left of them when a letter or two are deleted, and statistics of one row per field. A query
 finds its terms in the vocabulary first, near ones by looking up its own deletions, and then reads
@@ -34,6 +34,9 @@ SERVICE = {"legal_name": 2.0, "trade_name": 1.0, "keywords": 1.0, "city": 1.0}
 # Terms of one query that go into the scan of the postings as literals; more are joined.
 LITERAL_TERMS = 500
 
+# Bytes of a row group of the sorted tables: what a look-up reads of a file for one term.
+ROW_GROUP = 8 << 20
+
 
 @dataclass(frozen=True)
 class Index:
@@ -58,35 +61,42 @@ def build_index(
     """Write an index to ``path`` (a new folder in the shared one by default) and read it."""
     fields = list(fields)
     path = path or new_shared_path(df.sparkSession, "index")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def per_field(value) -> DataFrame:
+    def per_field(rows: DataFrame, value) -> DataFrame:
         lists = F.array(*[F.struct(F.lit(f).alias("field"), value(f).alias("value")) for f in fields])
-        return df.select(F.col(id_col).alias("id"), F.inline(lists))
+        return rows.select(F.col(id_col).alias("id"), F.inline(lists))
 
+    # Short rows make many terms, so they are dealt out by number and not by the size of files.
+    texts = df.select(*dict.fromkeys([id_col, *fields])).repartition(parts, id_col)
     postings = (
-        per_field(lambda f: _field_tokens(df, f, stop_words))
+        per_field(texts, lambda f: _field_tokens(df, f, stop_words))
         .select("id", "field", F.size("value").alias("length"), F.explode("value").alias("term"))
         .groupBy("id", "field", "term", "length")
         .agg(F.count("*").alias("tf"))
     )
     # The statistics are a pass of their own, so they count words and do not build them.
     counts = per_field(
-        lambda f: F.size(_field_tokens(df, f, stop_words)) if stop_words else token_count(_field_text(df, f))
+        df, lambda f: F.size(_field_tokens(df, f, stop_words)) if stop_words else token_count(_field_text(df, f))
     )
     stats = (
         counts.filter("value > 0")
         .groupBy("field")
         .agg(F.count("*").alias("docs"), F.avg("value").alias("mean_length"))
     )
-    # A term that very many documents share spans files.
-    by_term = postings.repartitionByRange("term", "id").sortWithinPartitions("term")
-    by_term.write.mode("overwrite").parquet(f"{path}/postings")
+    def store(rows: DataFrame, name: str) -> None:
+        rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{path}/{name}")
+
+    # Sorted where they were counted, by document and term: a term that very many documents share
+    # is spread, and nothing is shuffled again or worked out twice to find ranges.
+    store(postings.sortWithinPartitions("term"), "postings")
     written = df.sparkSession.read.parquet(f"{path}/postings")
     vocabulary = written.groupBy("field", "term").agg(F.count("*").alias("df"))
     vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
     terms = df.sparkSession.read.parquet(f"{path}/vocabulary")
-    near = terms.select(F.explode(deletions(F.col("term"))).alias("left"), "field", "term", "df")
-    near.repartitionByRange("left", "term").sortWithinPartitions("left").write.mode("overwrite").parquet(f"{path}/deletions")
+    near = terms.repartition(parts, "term").select(F.explode(deletions(F.col("term"))).alias("left"), "field", "term", "df")
+    # What is left of very many terms is spread likewise.
+    store(near.repartition("left", "term").sortWithinPartitions("left"), "deletions")
     stats.write.mode("overwrite").parquet(f"{path}/stats")
     return read_index(df.sparkSession, path)
 
@@ -206,8 +216,9 @@ def field_scores(index: Index, terms: list[str], fields: dict[str, float], fuzzy
             postings = postings.filter(F.col("term").isin(sorted({r["term"] for r in few})))
     else:
         postings = postings.filter(F.col("term").isin(terms))
-    # Statistics have one row per searched field.
-    known = postings.join(near, ["field", "term"]).join(F.broadcast(index.stats), "field")
+    # Terms within two edits of a query's: their number follows the alphabet, not the texts. Statistics
+    # have one row per searched field.
+    known = postings.join(F.broadcast(near), ["field", "term"]).join(F.broadcast(index.stats), "field")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     kept = 1 - F.col("edits") / F.length("wanted")

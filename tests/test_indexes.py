@@ -91,3 +91,22 @@ def test_history_of_two_loads(spark, tmp_path):
     assert got == sorted(map(str, sinks.history(df(rows), "k", "t").select(*names).collect()))
     with pytest.raises(ValueError):
         sinks.append_history(spark, path, df(rows[cut:]), 3, "k", "t")
+
+
+def test_many_near_terms_do_not_sort_the_postings(spark, monkeypatch):
+    """More near terms than fit literals are sent to the postings; these stay where they are."""
+    rows = [(f"{i:03d}", f"nation {i:04d} {i % 7}") for i in range(300)] + [("000", "nation 0000 0")]
+    df = spark.createDataFrame(rows, "id string, name string")
+    index = search.build_index(df, "id", ["name"])
+    few = sorted(tuple(r)[:4] for r in search.field_scores(index, ["0004", "nation"], {"name": 1.0}, True).collect())
+    monkeypatch.setattr(search, "LITERAL_TERMS", 1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = search.field_scores(index, ["0004", "nation"], {"name": 1.0}, True)
+        assert "SortMergeJoin" not in plan(scores)
+        assert sorted(tuple(r)[:4] for r in scores.collect()) == few and len(few) > 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # A repeated record counts its words together, as before.
+    assert index.postings.filter("id = '000' and term = 'nation'").select("tf").collect()[0].tf == 2
