@@ -60,7 +60,9 @@ class Ranks:
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         # The shard of a piece is Spark's own hash of it; the vocabulary is a fixed file.
-        pieces = spark.createDataFrame([(k.hex(), v) for k, v in ranks.items()], "piece string, rank int")
+        # An Arrow table goes to the JVM as it is; rows of Python would start another set of workers.
+        rows = {"piece": pa.array([k.hex() for k in ranks], pa.string()), "rank": pa.array(ranks.values(), pa.int32())}
+        pieces = spark.createDataFrame(pa.table(rows), "piece string, rank int")
         parts: list[dict[str, int]] = [{} for _ in range(SHARDS)]
         for piece, rank, shard in pieces.select("piece", "rank", _shard_of(F.col("piece"))).collect():
             parts[shard][piece] = rank

@@ -2,7 +2,9 @@
 
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from firmaforge.llm import bpe, decontaminate, queries, secrets, simhash, toxicity
@@ -82,6 +84,33 @@ def test_stages_take_odd_rows(spark):
         assert len(last) == (2 if data else 0)
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_batches_have_few_bytes(spark, tmp_path, name):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = "concat(id, repeat(' plain words', 1000))"
+    docs = spark.range(0, 400, 1, 1).selectExpr("id doc_id", f"{text} text", "'en' lang", "'s' source", f"length({text}) n_chars")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    before = spark.conf.get(key)
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        found = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sum(found) > 4 << 20 and max(found) <= corpus_pipeline.BATCH_BYTES + (1 << 16)
+
+
+def test_ranks_need_no_python_workers(spark, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("rows of Python")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", never)
+    rank = bpe.Ranks(spark, {b"a": 0, b"b": 1, b"ab": 2})
+    got = spark.range(1).select(rank.encode(F.lit("abba")).alias("ids")).first().ids
+    assert got == [2, 1, 0]
+
+
 @needs_tables
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_return_whole_tables(spark, name):
